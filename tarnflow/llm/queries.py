@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact, shards, simhash
+from . import bpe, decontaminate, exact, html_text, pii, secrets, shards, simhash, substrings, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shards.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return shards.shard_digests(spark, path)
@@ -24,15 +28,43 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sst_shards, op3_simhash_pivots, op4_string_tiling, op6_byte_bpe, op8_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_sst_shards,
+        op3_simhash_pivots,
+        op4_string_tiling,
+        op5_line_blocks,
+        op6_byte_bpe,
+        op7_suffix_levels,
+        op8_exact_dedup,
+        op9_pii_votes,
+        op10_secret_entropy,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact.ORACLE_SQL}
