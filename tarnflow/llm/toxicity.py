@@ -86,7 +86,7 @@ def without_copies(sample: DataFrame, hashes: int = 4) -> DataFrame:
     return sample.withColumn("minima", F.array(*minima)).dropDuplicates(["minima", "toxic"]).drop("minima")
 
 
-def mined_terms(sample: DataFrame, most: int, least: int = 5, share: float = 0.01, precision: float = 0.97) -> list[str]:
+def mined_terms(sample: DataFrame, most: int, least: int = 6, share: float = 0.01, precision: float = 0.97) -> list[str]:
     """Terms that labelled documents show to be toxic: `precision` of the documents that hold them are, and these are at
     least `least`, and a `share` of all toxic ones.
 
@@ -119,34 +119,42 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, pri
 
     known has, for each pattern, how many labelled rows are not toxic and toxic; they keep their labels, and have half the
     weight in all.
-    Every voter has a distribution of its three votes in each class (its accuracy); voters that agree within a class
-    more than chance are correlated, and a voter's log-odds are shared out among those it is correlated with.
+    Every voter has a distribution of its three votes in each class (its accuracy), estimated as if voters were
+    independent. Then the correlations that voters show within the classes are estimated, and in the last step a voter's
+    log-odds are shared out among those it is correlated with, so that agreeing voters do not count as so many witnesses.
     """
-    share = np.ones(patterns.shape[1])
-    post = 1 / (1 + np.exp(-np.clip(1.5 * patterns.sum(1) - 0.5, -6, 6)))
     weight = counts / counts.sum()
     told = known / max(1.0, known.sum())
-    for _ in range(rounds):
-        classes = (post * weight + told[:, 1], (1 - post) * weight + told[:, 0])
+    n = patterns.shape[1]
+    post = 1 / (1 + np.exp(-np.clip(1.5 * patterns.sum(1) - 0.5, -6, 6)))
+
+    def masses() -> tuple[np.ndarray, np.ndarray]:
+        return post * weight + told[:, 1], (1 - post) * weight + told[:, 0]
+
+    def posterior(share: np.ndarray) -> np.ndarray:
+        classes = masses()
         odds = np.zeros(patterns.shape)
-        for j in range(patterns.shape[1]):
+        for j in range(n):
             for v in (-1, 0, 1):
                 is_v = patterns[:, j] == v
                 p = [((m * is_v).sum() + 1e-4) / (m.sum() + 3e-4) for m in classes]
                 odds[is_v, j] = math.log(p[0] / p[1])
-        linked = np.zeros((patterns.shape[1],) * 2)
-        for m in classes:
-            if m.sum() > 1e-9:
-                centred = patterns - (patterns * m[:, None]).sum(0) / m.sum()
-                cov = (centred * m[:, None]).T @ centred / m.sum()
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                linked = np.maximum(linked, np.where(np.outer(sd, sd) > 1e-6, np.abs(cov / np.outer(sd, sd)), 0) * m.sum())
-        np.fill_diagonal(linked, 0)
-        share = 1 / (1 + np.where(linked > 0.1, linked, 0).sum(1))
         start = min(0.5, max(1e-3, 0.5 * prior + 0.5 * (post * weight).sum()))
         z = math.log(start / (1 - start)) + (odds * share).sum(1)
-        post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return post
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    for _ in range(rounds):
+        post = posterior(np.ones(n))
+    linked = np.zeros((n, n))
+    for m in masses():
+        if m.sum() > 1e-9:
+            centred = patterns - (patterns * m[:, None]).sum(0) / m.sum()
+            cov = (centred * m[:, None]).T @ centred / m.sum()
+            sd = np.sqrt(np.maximum(np.diag(cov), 0))
+            both = np.outer(sd, sd)
+            linked += np.where(both > 1e-6, np.abs(cov) / np.maximum(both, 1e-6), 0) * m.sum() / 2
+    np.fill_diagonal(linked, 0)
+    return posterior(1 / (1 + np.where(linked > 0.05, linked, 0).sum(1)))
 
 
 @dataclass
