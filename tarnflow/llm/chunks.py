@@ -3,15 +3,47 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 #: A run of spaces or other white space decides together with what follows it; only a lone space between two characters
 #: that are not white space is a certain cut, and it goes with what follows.
 LONE = re.compile(r"(?<=\S) (?=\S)")
+# White space besides space and line feed.
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+
+
+def parted(text: str) -> list[str]:
+    """text without its lone spaces, in parts; " ".join gives text."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACE):
+        return LONE.split(text)
+    return text.split(" ")
 
 
 def pieces(text: str) -> list[str]:
     """text, cut before each lone space; joined they give text."""
     if not text:
         return []
-    parts = LONE.split(text)
+    parts = parted(text)
     return [parts[0], *[" " + p for p in parts[1:]]]
+
+
+class Memory(dict):
+    """Values of the keys seen last: when `kept` are held, those not asked for since the last time are dropped."""
+
+    def __init__(self, kept: int):
+        super().__init__()
+        self.kept = kept
+        self.older: dict = {}
+
+    def kept_or(self, key: str, make: Callable[[str], object]) -> object:
+        """The value of a key that get() doesn't have: from before the last drop, or made."""
+        value = self.get(key)
+        if value is None:
+            value = self.older.pop(key, None)
+            if value is None:
+                value = make(key)
+            if len(self) >= self.kept:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shards.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    path = shards.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return shards.shard_digests(spark, path)
 
 

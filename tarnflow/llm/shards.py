@@ -17,17 +17,19 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import pieces
+from .chunks import Memory, parted
 from .common import scratch, stored
 
 MAGIC = b"TARNSST1"
@@ -175,50 +177,68 @@ class Shard:
 
 
 class WordIds:
-    """Text to ids as bytes by a tokenizers file; remembers the pieces between certain cuts."""
+    """Text to ids as bytes by the model of a byte-level BPE file of the tokenizers library; remembers recent parts.
 
-    def __init__(self, path: str, kept: int = 2_000_000):
+    The file's pre-tokenizer cuts texts by `pattern` and writes bytes as letters; both are done here for new parts only,
+    each word then goes through the library's model. That the file is of this kind is checked once on a sample text.
+    """
+
+    SAMPLE = "It's 12 o'clock,\n\n  and that\u00e9 \u4f60\u597d costs 3\u00bd $!  "
+
+    def __init__(self, path: str, pattern: str, kept: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept = kept
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.model, self.pattern = tokenizer.model, regex.compile(pattern)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.parts = Memory(kept)
+        want = tokenizer.encode(self.SAMPLE, add_special_tokens=False).ids
+        if np.frombuffer(self.encode([self.SAMPLE])[0], "<u4").tolist() != want:
+            raise ValueError(f"{path} is not a byte-level BPE tokenizer with this pattern")
+
+    def word(self, w: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def part(self, p: str) -> bytes:
+        return b"".join(map(self.word, self.pattern.findall(p)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        seen = set().union(*cut)
-        if len(self.known) > self.kept:
-            self.known.clear()
-        new = list(seen - self.known.keys())
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        out = []
+        for t in texts:
+            first, *rest = parted(t)
+            ids = [self.part(first), *map(self.parts.get, rest)]
+            if None in ids:
+                for i, known in enumerate(ids):
+                    if known is None:
+                        ids[i] = self.parts.kept_or(rest[i - 1], lambda p: self.part(" " + p))
+            out.append(b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, pattern: str) -> WordIds:
+    return WordIds(path, pattern)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, shard_chars: int = 32_000_000, path: str | None = None) -> str:
-    """Encodes every row's whole text, appends end_id, and writes shards of about shard_chars characters; gives the folder.
+def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, shard_bytes: int = 32_000_000, path: str | None = None) -> str:
+    """Encodes every row's whole text, appends end_id, and writes shards of about shard_bytes bytes of text; gives the folder.
 
     docs has doc_id and text; null text is empty, rows without a doc_id are left out, repeated doc_ids keep every row (in
     the order of their texts). Key ranges are dealt by Spark's range partitioning on doc_id, so each task writes one
-    shard from one sorted range and holds a slice of it at a time. The tokenizer file must stand on every worker and
-    split text before single spaces as byte-level BPE does.
+    shard from one sorted range and holds a slice of it at a time. The tokenizer file must stand on every worker; pattern is
+    how its pre-tokenizer cuts text.
     """
     spark = docs.sparkSession
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = source.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(chars) // shard_chars))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-int(size) // shard_bytes))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, writer, last, place = word_ids(tokenizer), ShardWriter(), None, 0
+        coder, writer, last, place = word_ids(tokenizer, pattern), ShardWriter(), None, 0
         for b in batches:
             ids, texts = b["doc_id"].tolist(), b["text"].tolist()
             for at in range(0, len(ids), 500):

@@ -102,7 +102,8 @@ def mined_terms(sample: DataFrame, most: int, least: int = 6, share: float = 0.0
                 for text, y in zip(b["text"].iloc[at : at + 1000], b["toxic"].iloc[at : at + 1000]):
                     (toxic if y == 1 else clean).update(terms_of(text)[0].keys())
                 terms = list(toxic.keys() | clean.keys())
-                yield pd.DataFrame({"term": terms, "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]})
+                if terms:
+                    yield pd.DataFrame({"term": terms, "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]})
 
     counted = sample.select("text", "toxic").mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     good = counted.where((F.col("a") >= least) & (F.col("a") >= precision * (F.col("a") + F.col("b"))))
