@@ -43,7 +43,8 @@ class Memory(dict):
             if value is None:
                 value = make(key)
             if len(self) >= self.kept:
-                self.older = dict(self)
+                self.older.clear()
+                self.older.update(self)
                 self.clear()
             self[key] = value
         return value

@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 import zstandard
@@ -185,7 +186,7 @@ class WordIds:
 
     SAMPLE = "It's 12 o'clock,\n\n  and that\u00e9 \u4f60\u597d costs 3\u00bd $!  "
 
-    def __init__(self, path: str, pattern: str, kept: int = 400_000):
+    def __init__(self, path: str, pattern: str, kept: int = 200_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -237,24 +238,28 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, sha
     parts = max(1, -(-int(size) // shard_bytes))
     end = int(end_id).to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, writer, last, place = word_ids(tokenizer, pattern), ShardWriter(), None, 0
+
+        def parts(out: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["part"])
+
         for b in batches:
-            ids, texts = b["doc_id"].tolist(), b["text"].tolist()
-            for at in range(0, len(ids), 500):
+            for at in range(0, b.num_rows, 200):
+                some = b.slice(at, 200).to_pydict()
                 out: list[bytes] = []
-                for doc_id, value in zip(ids[at : at + 500], coder.encode(texts[at : at + 500])):
+                for doc_id, value in zip(some["doc_id"], coder.encode(some["text"])):
                     place = place + 1 if doc_id == last else 0
                     last = doc_id
                     out += writer.add(key_of(doc_id, place), value + end)
                 if out:
-                    yield pd.DataFrame({"part": out})
+                    yield parts(out)
         if writer.keys:
-            yield pd.DataFrame({"part": list(writer.finish())})
+            yield parts(list(writer.finish()))
 
     path = path or scratch(spark, "shards")
     ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(run, "part binary").select(F.col("part").cast("string").alias("value")).write.text(path)
+    ordered.mapInArrow(run, "part binary").select(F.col("part").cast("string").alias("value")).write.text(path)
     return path
 
 
