@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, text_or_empty
+from .common import SPACES, stored, text_or_empty
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -23,10 +23,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     norm = F.translate("t", SPACES, "")
     keyed = base.select("doc_id", F.char_length("t").alias("n"), norm.alias("norm"))
     counted = keyed.groupBy(F.unhex(F.md5("norm")).alias("h"), "norm", "n").agg(F.count("*").alias("c"), F.min("doc_id").alias("d"))
-    groups = (
+    groups = stored(
         counted.select("h", F.unhex(F.sha2("norm", 256)).alias("s"), "n", "c", "d")
         .groupBy("h", "s")
-        .agg(F.sum("c").alias("group_size"), F.max_by("d", F.struct("n", (-F.col("d")).alias("m"))).alias("keep_id"))
+        .agg(F.sum("c").alias("group_size"), F.max_by("d", F.struct("n", (-F.col("d")).alias("m"))).alias("keep_id")),
+        "groups",
     )
     members = keyed.select("doc_id", F.unhex(F.md5("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("s"))
     return members.join(groups, ["h", "s"]).select(
