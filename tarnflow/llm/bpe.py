@@ -9,13 +9,12 @@ from functools import lru_cache
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import pieces
+from .chunks import Memory, pieces, slices
 
 #: Rows (token, next token) of not yet finished words; each step merges every word's leftmost pair of least rank. A pair
 #: knows the position of its second token (np), so only the pairs beside the merge change. A word without a mergeable
@@ -34,7 +33,7 @@ WITH RECURSIVE r(done, w, pos, np, tok, nx) AS (
           CASE WHEN j.pos = d.p THEN d.id ELSE j.tok END,
           CASE WHEN j.pos = d.p THEN d.q_nx WHEN j.np = d.p THEN d.id ELSE j.nx END
    FROM j LEFT JOIN d ON j.w = d.w WHERE d.q IS NULL OR j.pos <> d.q))
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, count(*) AS n FROM r WHERE done GROUP BY w ORDER BY w
+SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM r WHERE done GROUP BY w ORDER BY w
 """
 #: The same for long words, of which each step merges all pairs of the least rank, left to right, where that gives the
 #: same result: merges.alone marks tokens that can join a neighbour at a lower rank than their own, and those are merged
@@ -59,7 +58,7 @@ WITH RECURSIVE r(done, w, pos, np, tok, nx) AS (
      FROM j LEFT JOIN d ON d.w = j.w AND d.p = j.pos LEFT JOIN d gone ON gone.w = j.w AND gone.q = j.pos LEFT JOIN least ON least.w = j.w
      WHERE gone.w IS NULL)
    SELECT done, w, pos, np, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) FROM k))
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids, count(*) AS n FROM r WHERE done GROUP BY w ORDER BY w
+SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM r WHERE done GROUP BY w ORDER BY w
 """
 #: Words of more bytes than this go by ENCODE_LONG.
 LONG = 48
@@ -73,15 +72,15 @@ FROM (SELECT t.d, v.chars FROM coded t JOIN vocabulary v ON v.id = t.tok ORDER B
 class Coder:
     """A rank file loaded into an in-memory DuckDB; a worker process keeps one and a bounded memory of words."""
 
-    def __init__(self, path: str, pattern: str, words_kept: int = 1_500_000):
+    def __init__(self, path: str, pattern: str, kept: int = 250_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.ranks, self.pattern, self.words_kept = ranks, regex.compile(pattern), words_kept
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         splits = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, made = (pa.array(x, pa.int32()) for x in zip(*splits))
         early = {part for left, right, rank in splits for part in (left, right) if rank < part}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         for name, columns in (
             ("merges", {"l": l, "r": r, "id": made, "alone": pa.array(np.isin(made, list(early)))}),
             ("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])}),
@@ -89,17 +88,16 @@ class Coder:
             self.db.register("loaded", pa.table(columns))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
         self.db.unregister("loaded")
-        self.chunk_ids: dict[str, str] = {}
-        self.chunk_n: dict[str, int] = {}
+        self.known = Memory(kept)
 
-    def encode_words(self, words: list[str], step: int = 40_000) -> dict[str, tuple[str, int]]:
-        """word -> (its ids, joined by spaces; their number). Whole tokens are looked up, as the rank file's library does."""
-        out: dict[str, tuple[str, int]] = {}
+    def encode_words(self, words: list[str], step: int = 20_000) -> dict[str, str]:
+        """word -> its ids, joined by spaces. Whole tokens are looked up, as the rank file's library does."""
+        out: dict[str, str] = {}
         todo: list[tuple[str, bytes]] = []
         for w in words:
             b = w.encode()
             if (rank := self.ranks.get(b)) is not None:
-                out[w] = (str(rank), 1)
+                out[w] = str(rank)
             else:
                 todo.append((w, b))
         todo.sort(key=lambda x: len(x[1]))
@@ -124,29 +122,27 @@ class Coder:
             })
             self.db.register("word_tokens", word_tokens)
             got = self.db.sql(ENCODE_LONG if long else ENCODE).to_arrow_table()
-            out.update((part[w][0], (ids, k)) for w, ids, k in zip(*(got[c].to_pylist() for c in ("w", "ids", "n"))))
+            out.update((part[w][0], ids) for w, ids in zip(got["w"].to_pylist(), got["ids"].to_pylist()))
             at = end
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Adds chunks to the memory, which starts anew when it is full."""
-        if len(self.chunk_ids) > self.words_kept:
-            self.chunk_ids.clear()
-            self.chunk_n.clear()
-        new = [c for c in chunks if c not in self.chunk_ids]
-        split = [self.pattern.findall(c) for c in new]
-        coded = self.encode_words(list({w for ws in split for w in ws}))
-        for c, ws in zip(new, split):
-            self.chunk_ids[c] = " ".join(coded[w][0] for w in ws)
-            self.chunk_n[c] = sum(coded[w][1] for w in ws)
-
     def encode(self, texts: list[str]) -> list[tuple[str, int]]:
         """(decimal ids joined by one space, their number) of each text."""
         cut = [pieces(t) for t in texts]
-        seen = set().union(*cut) - self.chunk_ids.keys()
-        if seen:
-            self.learn(seen | (set().union(*cut) if len(self.chunk_ids) > self.words_kept else set()))
-        return [(" ".join(map(self.chunk_ids.__getitem__, c)), sum(map(self.chunk_n.__getitem__, c))) for c in cut]
+        ids = [list(map(self.known.get, c)) for c in cut]
+        absent = {p for c, found in zip(cut, ids) if None in found for p, x in zip(c, found) if x is None}
+        new = [p for p in absent if p not in self.known.older]
+        split = [self.pattern.findall(p) for p in new]
+        words = self.encode_words(list({w for ws in split for w in ws}))
+        made = {p: " ".join([words[w] for w in ws]) for p, ws in zip(new, split)}
+        made |= {p: self.known.older[p] for p in absent - made.keys()}
+        out = []
+        for c, found in zip(cut, ids):
+            text = " ".join([made[p] if x is None else x for p, x in zip(c, found)] if None in found else found)
+            out.append((text, text.count(" ") + 1 if text else 0))
+        for p, x in made.items():
+            self.known.kept_or(p, lambda _, x=x: x)
+        return out
 
     def decode(self, coded: list[str]) -> list[bytes]:
         """The bytes of each list of ids, by an ordered aggregation; ids are given as decimal text."""
@@ -166,16 +162,16 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `chars` characters, at least one text each: bounds what DuckDB holds at a time."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > chars:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+#: Bytes of text that a worker encodes, or of ids that it decodes, at a time.
+AT_ONCE = 3_000_000
+
+
+def with_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def batch(**columns: list | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -185,46 +181,42 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     merges of new words run as one recursive DuckDB query for each slice. Nothing is shuffled.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
-            texts = [t or "" for t in b["text"]]
-            for at, end in slices(texts):
-                got = c.encode(texts[at:end])
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at:end].values, "ids": [x for x, _ in got], "n_tokens": [n for _, n in got]})
+            for part in slices(b, "text", AT_ONCE):
+                got = c.encode(part.column(1).to_pylist())
+                yield batch(doc_id=part.column(0), ids=pa.array([x for x, _ in got], pa.string()), n_tokens=pa.array([n for _, n in got], pa.int64()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, ids string, n_tokens long")
+    return with_text(docs).mapInArrow(run, "doc_id long, ids string, n_tokens long")
 
 
 def decoded(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, bytes binary) of rows (doc_id, ids)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
-            ids = [x or "" for x in b["ids"]]
-            for at, end in slices(ids):
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[at:end].values, "bytes": c.decode(ids[at:end])})
+            for part in slices(b, "ids", AT_ONCE):
+                yield batch(doc_id=part.column(0), bytes=pa.array(c.decode([x or "" for x in part.column(1).to_pylist()]), pa.binary()))
 
-    return coded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: encodes, then decodes the ids, in one pass."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
-            texts = [t or "" for t in b["text"]]
-            for at, end in slices(texts):
-                got = c.encode(texts[at:end])
+            for part in slices(b, "text", AT_ONCE):
+                got = c.encode(part.column(1).to_pylist())
                 back = c.decode([ids for ids, _ in got])
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"].iloc[at:end].values,
-                    "n_tokens": [n for _, n in got],
-                    "ids_sha256": [hashlib.sha256(ids.encode()).hexdigest() for ids, _ in got],
-                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back],
-                })
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                yield batch(
+                    doc_id=part.column(0),
+                    n_tokens=pa.array([n for _, n in got], pa.int64()),
+                    ids_sha256=pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in got], pa.string()),
+                    decoded_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
+                )
+
+    return with_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A run of spaces or other white space decides together with what follows it; only a lone space between two characters
 #: that are not white space is a certain cut, and it goes with what follows.
@@ -48,3 +51,16 @@ class Memory(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that hold about `most` bytes in a column, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > most:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import slices
+
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -167,20 +169,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, s
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.where("item_id IS NOT NULL").collect()))
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, seed)
             vocabulary = sorted({w for _, t in sent.value for w in words(t)})
             known = {w: i + 1 for i, w in enumerate(vocabulary)}
             hashes = np.append(np.ones(1, np.uint64), token_ids(vocabulary))  # the first stands for any word that no item has
             for b in batches:
-                rows = []
-                for doc_id, text in zip(b["doc_id"], b["text"]):
-                    ws = words(text)
-                    ids = hashes[np.fromiter(map(known.get, ws, repeat(0)), np.int64, len(ws))]
-                    rows += [(doc_id, *m, m[1] / m[2]) for m in matches(ids, index, coverage)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "covered", "n_tokens", "n_tiles", "coverage"])
-
-        found = source.mapInPandas(run, schema)
+                for part in slices(b, "text", 2_000_000):
+                    rows = []
+                    for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
+                        ws = words(text)
+                        ids = hashes[np.fromiter(map(known.get, ws, repeat(0)), np.int64, len(ws))]
+                        rows += [(doc_id, *m, m[1] / m[2]) for m in matches(ids, index, coverage)]
+                    if rows:
+                        kinds = [pa.int64()] * 5 + [pa.float64()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "covered", "n_tokens", "n_tiles", "coverage"])
+
+        found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

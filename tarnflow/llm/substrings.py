@@ -14,9 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import slices
 from .common import shuffle_parts, stored, text_or_empty
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -170,22 +172,11 @@ class Family:
             yield level[np.append(same, False) | np.append(False, same)]
 
 
-def slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 SENT = "bucket int, sure boolean, rows binary"
 MARKS = "doc_id long, tie int, sure boolean, strings long"
 
 
-def sent(rows: np.ndarray, buckets: int, turn: int) -> pd.DataFrame:
+def sent(rows: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
     """Rows for the shuffle. Repeats inside the batch are known already: only the earliest of equal entries is compared further."""
     kept, lost = settled(rows)
     to = (kept["h"] % np.uint64(buckets)).astype(np.int64)
@@ -196,7 +187,7 @@ def sent(rows: np.ndarray, buckets: int, turn: int) -> pd.DataFrame:
     out = [(int(x["h"][0] % np.uint64(buckets)), False, packed(x)) for x in parts]
     if len(lost):
         out.append((turn % buckets, True, packed(lost)))
-    return pd.DataFrame(out, columns=["bucket", "sure", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "sure", "rows"])
 
 
 def compared(rows: DataFrame, buckets: int) -> DataFrame:
@@ -248,48 +239,44 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = 40, slice_by
         keyed = source.withColumn("tie", F.dense_rank().over(Window.partitionBy("doc").orderBy(F.md5("text"))) - 1)
     buckets = max(shuffle_parts(spark), -(-int(size) * 2 * np.dtype(ENTRY).itemsize // ((length - gram) * bucket_bytes)))
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for b in batches:
-            texts = [t.encode() for t in b["text"]]
-            ids, ties = b["doc"].to_numpy(), b["tie"].to_numpy()
-            for at, end in slices(texts, slice_bytes):
-                rows = entries(texts[at:end], ids[at:end], ties[at:end], length, gram)
+            for part in slices(b, "text", slice_bytes):
+                ids, ties, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).cast(pa.binary()).to_pylist()
+                rows = entries(texts, ids, ties, length, gram)
                 turn += 1
                 if len(rows):
-                    yield sent(rows, buckets, turn + int(ids[at]))
+                    yield sent(rows, buckets, turn + int(ids[0]))
 
-    marks = stored(compared(keyed.select("doc", "tie", "text").mapInPandas(suffixes, SENT), buckets), "marks")
+    marks = stored(compared(keyed.select("doc", "tie", "text").mapInArrow(suffixes, SENT), buckets), "marks")
     at_home = keyed.repartition(shuffle_parts(spark), *key)  # shuffled once: both joins below read the same exchange
     unsure = marks.where("NOT sure").withColumnRenamed("doc_id", "doc").groupBy(*key).agg(F.collect_list("strings").alias("asked"))
 
-    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for b in batches:
-            texts = [t.encode() for t in b["text"]]
-            asked = [strings_from(x) for x in b["asked"]]
-            ids, ties = b["doc"].to_numpy(), b["tie"].to_numpy()
-            for at, end in slices(texts, slice_bytes):
+            for part in slices(b, "text", slice_bytes):
+                ids, ties, texts = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).cast(pa.binary()).to_pylist()
                 turn += 1
-                rows = strings_of(texts[at:end], ids[at:end], ties[at:end], asked[at:end], length)
+                rows = strings_of(texts, ids, ties, [strings_from(x) for x in part.column(4).to_pylist()], length)
                 if len(rows):
-                    yield sent(rows, buckets, turn + int(ids[at]))
+                    yield sent(rows, buckets, turn + int(ids[0]))
 
-    one_by_one = compared(at_home.join(unsure, key).select("doc_id", "doc", "tie", "text", "asked").mapInPandas(single, SENT), buckets)
+    one_by_one = compared(at_home.join(unsure, key).select("doc_id", "doc", "tie", "text", "asked").mapInArrow(single, SENT), buckets)
     sure = marks.where("sure").unionByName(one_by_one.where("sure"))
     removed = sure.withColumnRenamed("doc_id", "doc").groupBy(*key).agg(F.collect_list("strings").alias("strings"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                out = [kept(t.encode(), s, length) for t, s in zip(part["text"], part["strings"])]
-                frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-                frame.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-                yield frame
+            for part in slices(b, "text", slice_bytes):
+                out = [kept(t, s, length) for t, s in zip(part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
-    return at_home.join(removed, key, "left").select("doc_id", "doc", "text", "strings").mapInPandas(cut, schema)
+    return at_home.join(removed, key, "left").select("doc_id", "doc", "text", "strings").mapInArrow(cut, schema)
 
 
 def strings_from(marks: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,12 @@ VOTERS = LEXICA + 4
 BINS = 3
 
 
+def each(texts: pa.Array) -> Iterator[str | None]:
+    """The texts, a few hundred at a time as Python strings."""
+    for at in range(0, len(texts), 200):
+        yield from texts.slice(at, 200).to_pylist()
+
+
 def terms_of(text: str | None) -> tuple[Counter, int]:
     """Words and word beginnings (marked by a final *) with their counts, and the number of words."""
     words = Counter(WORD.findall((text or "").lower()))
@@ -216,10 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, terms: int = 2
     learned = stored(learned.select("text", "toxic"), "labelled")
     lexicon = Lexicon(list(dict.fromkeys([*SEEDS, *mined_terms(learned, terms)]))[: terms + len(SEEDS)])
 
-    @F.pandas_udf("int")
-    def vote(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def vote(text: pa.Array) -> pa.Array:
         three = 3 ** np.arange(VOTERS)
-        return pd.Series([int(((np.array(votes(lexicon, t)) + 1) * three).sum()) for t in text], dtype="int32")
+        return pa.array([int(((np.array(votes(lexicon, t)) + 1) * three).sum()) for t in each(text)], pa.int32())
 
     counted = docs.select(vote(F.col("text").cast("string")).alias("votes")).groupBy("votes").count().collect()
     model = Model(lexicon, np.zeros(0))
@@ -234,9 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, terms: int = 2
     rate = known[:, 1].sum() / known.sum() if known.sum() else 0.05
     post = dict(zip(codes.tolist(), label_model(patterns, np.array([r["count"] for r in counted], float), known, rate)))
 
-    @F.pandas_udf("array<int>")
-    def featured(text: pd.Series) -> pd.Series:
-        return pd.Series([model.features(t) for t in text])
+    @F.arrow_udf("array<int>")
+    def featured(text: pa.Array) -> pa.Array:
+        return pa.array([model.features(t) for t in each(text)], pa.list_(pa.int32()))
 
     picked = docs.where("doc_id IS NOT NULL").where(~held_out()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(featured("text").alias("x"), vote("text").alias("votes")).collect()
@@ -245,9 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, terms: int = 2
 
 
 def scored(text: Column, model: Model) -> Column:
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in text], dtype="float64")
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(t) for t in each(text)], pa.float64())
 
     return score(text.cast("string"))
 
