@@ -50,9 +50,8 @@ def resampled_history(periods: DataFrame, realizations: int, seed: int) -> DataF
     """(realization, site, year, period, q): each cell of history from one year drawn at random, the same for all sites."""
     from ..functions.rng import uniform
 
-    years = periods.select("year").distinct().agg(F.array_sort(F.collect_set("year")).alias("years"))
-    cells = periods.select("year", "period").distinct().join(F.broadcast(years))  # one row: the list of years
-    cells = cells.select("year", "period", "years", F.explode(F.sequence(F.lit(0), F.lit(realizations - 1))).alias("realization"))
-    pick = F.floor(uniform(seed, "hist", "realization", "year", "period") * F.size("years")).cast("int")
-    drawn = cells.select("realization", "year", "period", F.get("years", pick).alias("from_year"))
+    years = sorted(r.year for r in periods.select("year").distinct().collect())  # as many as the record has
+    cells = periods.select("year", "period").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(realizations - 1))).alias("realization"))
+    pick = F.floor(uniform(seed, "hist", "realization", "year", "period") * len(years)).cast("int")
+    drawn = cells.select("realization", "year", "period", F.get(F.array(*map(F.lit, years)), pick).alias("from_year"))
     return drawn.join(periods.withColumnRenamed("year", "from_year"), ["from_year", "period"]).select("realization", "site", "year", "period", "q")

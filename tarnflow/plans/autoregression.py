@@ -49,7 +49,7 @@ class AR:
 
         start = F.transform("recent", lambda x: x["q"])
         path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: F.slice(a, self.lag + 1, steps))
-        rows = self.recent.join(F.broadcast(params), "site").select("site", F.posexplode(path).alias("step", "q"))
+        rows = self.recent.join(params, "site").select("site", F.posexplode(path).alias("step", "q"))
         return rows.select("site", (F.col("step") + 1).alias("step"), "q")
 
 

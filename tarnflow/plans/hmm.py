@@ -78,7 +78,7 @@ class HMMGenerator(Generator):
         x = monthly.where("q > 0").select("site", "ts", "q")
         self.factors = seasonal_factors(x) if self.season else None
         if self.season:
-            x = x.withColumn("month", F.month("ts")).join(F.broadcast(self.factors), ["site", "month"]).select("site", "ts", (F.col("q") / F.col("factor")).alias("q"))
+            x = x.withColumn("month", F.month("ts")).join(self.factors, ["site", "month"]).select("site", "ts", (F.col("q") / F.col("factor")).alias("q"))
         x = x.withColumn("q", F.ln("q")) if self.log else x
         k, rounds, tolerance = self.k, self.rounds, self.tolerance
 
@@ -116,4 +116,4 @@ class HMMGenerator(Generator):
         out = paths.select("realization", "site", ts.alias("ts"), (F.exp("x") if self.log else F.col("x")).alias("q"))
         if not self.season:
             return out
-        return out.withColumn("month", F.month("ts")).join(F.broadcast(self.factors), ["site", "month"]).select("realization", "site", "ts", (F.col("q") * F.col("factor")).alias("q"))
+        return out.withColumn("month", F.month("ts")).join(self.factors, ["site", "month"]).select("realization", "site", "ts", (F.col("q") * F.col("factor")).alias("q"))

@@ -15,7 +15,7 @@ from .base import Generator
 
 def complete_scores(monthly: DataFrame, moments: DataFrame) -> DataFrame:
     """(site, hist_idx, month, z): scores of years with all twelve months, numbered in order from 0."""
-    z = monthly.join(F.broadcast(moments), ["site", "month"]).withColumn("z", (F.col("q") - F.col("mu")) / F.col("sigma"))
+    z = monthly.join(moments, ["site", "month"]).withColumn("z", (F.col("q") - F.col("mu")) / F.col("sigma"))
     z = z.withColumn("_n", F.count("*").over(Window.partitionBy("site", "year"))).where("_n = 12")
     return z.select("site", (F.dense_rank().over(Window.partitionBy("site").orderBy("year")) - 1).alias("hist_idx"), "month", "z")
 
@@ -60,16 +60,16 @@ def bootstrap(spark, n_realizations: int, n_years: int, n_hist: int, seed: int)
     return rows.withColumn("hist_idx", F.floor(uniform(seed, "boot", "realization", "syn_year", "month") * n_hist).cast("int"))
 
 
-def gathered(boot: DataFrame, z: DataFrame) -> DataFrame:
-    """(realization, site, syn_year, month, x): the drawn scores; a draw beyond the last row takes the last."""
-    last = z.groupBy("site").agg(F.max("hist_idx").alias("last"))
-    drawn = boot.join(F.broadcast(last)).withColumn("hist_idx", F.least("hist_idx", "last"))  # every draw goes to every site: that is the ensemble's size
-    return drawn.join(z, ["site", "hist_idx", "month"]).select("realization", "site", "syn_year", "month", F.col("z").alias("x"))
+def gathered(boot: DataFrame, z: DataFrame, n_hist: int) -> DataFrame:
+    """(realization, site, syn_year, month, x): the drawn scores of every site; a draw beyond its last row takes the last."""
+    last = F.max("hist_idx").over(Window.partitionBy("site"))
+    ends = z.withColumn("_last", last).where("hist_idx = _last").select("site", F.explode(F.sequence(F.col("_last") + 1, F.greatest(F.lit(n_hist), F.col("_last") + 1))).alias("hist_idx"), "month", "z")
+    return boot.join(z.select("site", "hist_idx", "month", "z").unionByName(ends), ["hist_idx", "month"]).select("realization", "site", "syn_year", "month", F.col("z").alias("x"))
 
 
 def coloured(x: DataFrame, u: DataFrame) -> DataFrame:
     """(realization, site, syn_year, month, z): the row of twelve scores times U."""
-    joined = x.join(F.broadcast(u.withColumnRenamed("k", "month")), ["site", "month"])
+    joined = x.join(u.withColumnRenamed("k", "month"), ["site", "month"])
     return joined.groupBy("realization", "site", "syn_year", F.col("j").alias("month")).agg(F.sum(F.col("x") * F.col("u")).alias("z"))
 
 
@@ -80,7 +80,7 @@ def combined(z: DataFrame, shifted: DataFrame, combine: str = "reference") -> Da
     following = z.where("syn_year > 0").withColumn("syn_year", F.col("syn_year") - 1)
     autumn = following.where("month <= 6").withColumn("month", F.col("month") + 6) if combine == "reference" else following.where("month > 6")
     years = z.groupBy("realization").agg(F.max("syn_year").alias("n"))
-    return spring.unionByName(autumn).join(F.broadcast(years), "realization").where("syn_year < n").drop("n")
+    return spring.unionByName(autumn).join(years, "realization").where("syn_year < n").drop("n")
 
 
 class KirschGenerator(Generator):
@@ -118,7 +118,7 @@ class KirschGenerator(Generator):
             boot = bootstrap(self.z.sparkSession, n_realizations, n_years, self.n_hist, seed)
         elif boot.groupBy("realization").count().where(F.col("count") != (n_years + 1) * 12).head(1):
             raise ValueError(f"boot needs {(n_years + 1) * 12} draws a realization")
-        zc = combined(coloured(gathered(boot, self.z), self.u), coloured(gathered(boot, self.shifted), self.u_shifted), self.combine)
+        zc = combined(coloured(gathered(boot, self.z, self.n_hist), self.u), coloured(gathered(boot, self.shifted, self.n_hist), self.u_shifted), self.combine)
         q = F.col("z") * F.col("sigma") + F.col("mu")
         ts = F.make_date(F.col("syn_year") + self.last_year + 1, F.col("month"), F.lit(1))
-        return zc.join(F.broadcast(self.moments), ["site", "month"]).select("realization", "site", ts.alias("ts"), (F.exp(q) if self.log else q).alias("q"))
+        return zc.join(self.moments, ["site", "month"]).select("realization", "site", ts.alias("ts"), (F.exp(q) if self.log else q).alias("q"))

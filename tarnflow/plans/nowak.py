@@ -28,13 +28,12 @@ def candidate_days(flow: DataFrame, max_shift: int = 7, pad: str = "edge") -> Da
 
     cand numbers year and shift: y * (2 s + 1) + shift + s, y counting the record's years from 0.
     """
-    first = flow.agg(F.min(F.year("ts")).alias("y0"))
-    s = max_shift
+    y0, s = flow.agg(F.min(F.year("ts"))).first()[0], max_shift
     lengths = F.array(*map(F.lit, MONTH_DAYS))
-    years = flow.select(F.year("ts").alias("y")).distinct().join(F.broadcast(first))  # one row: the first year
+    years = flow.select(F.year("ts").alias("y")).distinct()
     shifts = F.explode(F.sequence(F.lit(-s), F.lit(s)))
-    windows = years.select("y", "y0", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).select("y", "y0", "month", shifts.alias("shift"))
-    windows = windows.select("month", ((F.col("y") - F.col("y0")) * (2 * s + 1) + F.col("shift") + s).alias("cand"), F.date_add(F.make_date("y", "month", F.lit(1)), F.col("shift")).alias("start"))
+    windows = years.select("y", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month")).select("y", "month", shifts.alias("shift"))
+    windows = windows.select("month", ((F.col("y") - F.lit(y0)) * (2 * s + 1) + F.col("shift") + s).alias("cand"), F.date_add(F.make_date("y", "month", F.lit(1)), F.col("shift")).alias("start"))
     days = windows.select("month", "cand", "start", F.explode(F.sequence(F.lit(1), F.get(lengths, F.col("month") - 1))).alias("day"))
     days = days.select("month", "cand", "day", F.date_add("start", F.col("day") - 1).alias("ts"))
     out = days.join(padded(flow, s, pad), "ts").select("month", "cand", "day", "site", "q")
@@ -63,7 +62,7 @@ def nearest(totals: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     keys = [c for c in queries.columns if c not in ("total",)]
     library = totals.groupBy("month").agg(F.collect_list(F.struct("cand", F.col("total").alias("c"))).alias("library"))
     near = F.slice(F.array_sort(F.transform("library", lambda x: F.struct(F.abs(x["c"] - F.col("total")).alias("distance"), x["cand"].alias("cand")))), 1, k)
-    return queries.join(F.broadcast(library), "month").select(*keys, "total", F.posexplode(near).alias("rank", "n")).select(*keys, "total", (F.col("rank") + 1).alias("rank"), "n.cand", "n.distance")
+    return queries.join(library, "month").select(*keys, "total", F.posexplode(near).alias("rank", "n")).select(*keys, "total", (F.col("rank") + 1).alias("rank"), "n.cand", "n.distance")
 
 
 def picked(near: DataFrame, keys: list[str], method: str, seed: int) -> DataFrame:

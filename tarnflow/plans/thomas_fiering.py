@@ -20,7 +20,7 @@ def stedinger_tau(monthly: DataFrame) -> DataFrame:
 def normalized(monthly: DataFrame, tau: DataFrame) -> DataFrame:
     """(site, year, month, x): ln(q - tau); null where q does not exceed tau."""
     gap = F.col("q") - F.col("tau")
-    return monthly.join(F.broadcast(tau), ["site", "month"]).select("site", "year", "month", F.ln(F.when(gap > 0, gap)).alias("x"))
+    return monthly.join(tau, ["site", "month"]).select("site", "year", "month", F.ln(F.when(gap > 0, gap)).alias("x"))
 
 
 def month_pair_rho(x: DataFrame, rho: str = "reference") -> DataFrame:

@@ -522,7 +522,7 @@ def bootstrap_indices(spark, sf):
 @query(f"WITH {SCORES}, {BOOT} SELECT realization, site, syn_year, z.month, round(z, 6) AS x FROM boot JOIN z USING (hist_idx, month)")
 def bootstrap_gather(spark, sf):
     m = months(spark, sf)
-    return rounded(kirsch.gathered(kirsch.bootstrap(spark, 4, 5, 6, 3), kirsch.complete_scores(m, stats.monthly_moments(m))))
+    return rounded(kirsch.gathered(kirsch.bootstrap(spark, 4, 5, 6, 3), kirsch.complete_scores(m, stats.monthly_moments(m)), 6))
 
 
 @query()

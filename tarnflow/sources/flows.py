@@ -39,7 +39,7 @@ def read_wide_csv(spark: SparkSession, path: str, date_column: str | None = None
     else:
         ts = F.to_date(F.col(date_column))
     cells = F.explode(F.array(*[F.struct(F.lit(s).alias("site"), F.col(f"`{s}`").cast("double").alias("q")) for s in sites]))
-    return wide.select(ts.alias("ts"), cells.alias("c")).select("c.site", "ts", "c.q")
+    return wide.withColumn("_ts", ts).select(F.col("_ts").alias("ts"), cells.alias("c")).select("c.site", "ts", "c.q")
 
 
 def write_wide_csv(flow: DataFrame, path: str) -> None:
