@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, stored, text_or_empty
@@ -36,10 +36,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns; one row also where a kept row is repeated whole."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    return out
+    """The rows of docs that stay, all columns: one of each group of equal texts, also where a row is repeated whole."""
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    # A doc_id says too little where it is repeated: rows are told apart by their text's digest, and one of each is left.
+    sha = F.sha2(F.translate(text_or_empty(), SPACES, ""), 256)
+    same = Window.partitionBy("doc_id", "_own").orderBy(F.char_length(text_or_empty()).desc(), "text")
+    told = docs.withColumn("_own", sha).withColumn("_turn", F.row_number().over(same)).where("_turn = 1").drop("_turn")
+    return told.join(kept.distinct(), told["doc_id"].eqNullSafe(kept["_keep"]) & (told["_own"] == kept["_sha"]), "left_semi").drop("_own")
 
 
 ORACLE_SQL = r"""

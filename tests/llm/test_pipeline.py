@@ -51,6 +51,13 @@ def test_hard_rows(spark, sf):
         assert {r.doc_id for r in docs.collect()} == ({1, 3, 4, None} if data else set())
 
 
+def test_exact_stage_with_repeated_ids(spark):
+    rows = [(3, "one text"), (3, "one text"), (3, "onetext"), (3, "another"), (1, "an other"), (None, "x"), (None, "x"), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in exact.drop_copies(docs).collect()), key=str)
+    assert got == sorted([(3, "one text"), (1, "an other"), (None, "x"), (None, "y")], key=str)
+
+
 def test_exact_stage_keeps_one(spark):
     docs = spark.createDataFrame([(5, "a b"), (2, "ab"), (9, "a  b")], "doc_id long, text string")
     assert ids(exact.drop_copies(docs)) == [9]
