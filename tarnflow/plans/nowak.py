@@ -104,6 +104,7 @@ class NowakDisaggregator:
         return nearest(self.totals, queries, n_neighbors or self.k)
 
     def disaggregate(self, monthly: DataFrame, n_neighbors: int | None = None, sample_method: str = "distance_weighted", seed: int = 0) -> DataFrame:
+        monthly = monthly.cache()  # read by the check, the search and the product
         if {r.site for r in monthly.select("site").distinct().collect()} != self.sites:
             raise ValueError("the monthly flows must have the fitted sites")
         picks = picked(self.find_neighbors(monthly, n_neighbors), ["realization", "ts", "month"], sample_method, seed)
