@@ -104,9 +104,9 @@ def mined_terms(sample: DataFrame, most: int, least: int = 6, share: float = 0.0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 1000):
+            for at in range(0, len(b), 250):
                 toxic, clean = Counter(), Counter()
-                for text, y in zip(b["text"].iloc[at : at + 1000], b["toxic"].iloc[at : at + 1000]):
+                for text, y in zip(b["text"].iloc[at : at + 250], b["toxic"].iloc[at : at + 250]):
                     (toxic if y == 1 else clean).update(terms_of(text)[0].keys())
                 terms = list(toxic.keys() | clean.keys())
                 if terms:
