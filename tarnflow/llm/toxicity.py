@@ -80,9 +80,7 @@ def votes(lexicon: Lexicon, text: str | None) -> list[int]:
     out.append(1 if len(hits) >= 2 else 0 if hits else -1)
     out.append(1 if total >= 2 and total * 400 >= n else -1 if not total else 0)
     out.append(1 if hits and MASKED.search(text or "") else 0)
-    t = text or ""
-    upper = sum(map(str.isupper, t[:: max(1, len(t) // 2000)])) if t else 0  # of letters spread over the whole text
-    out.append(1 if hits and upper * 2 > len(t[:: max(1, len(t) // 2000)]) else 0)
+    out.append(1 if hits and sum(map(str.isupper, text or "")) * 2 > len(text or "") else 0)
     return out
 
 
