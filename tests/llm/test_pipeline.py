@@ -1,5 +1,6 @@
 """The pipeline's stages: each works on what its predecessor kept, and its decisions take effect."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -61,3 +62,50 @@ def test_exact_stage_with_repeated_ids(spark):
 def test_exact_stage_keeps_one(spark):
     docs = spark.createDataFrame([(5, "a b"), (2, "ab"), (9, "a  b")], "doc_id long, text string")
     assert ids(exact.drop_copies(docs)) == [9]
+
+
+def brute_near(rows):
+    """The rows that stay when texts with five-word Jaccard similarity 0.8 or more are linked."""
+
+    def words_of(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return frozenset(zip(*(w[i:] for i in range(5)))) or frozenset([tuple(w)] if w else [])
+
+    sets = [words_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both)) and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return sorted(d for k, (d, _) in enumerate(rows) if d == min(rows[m][0] for m in range(len(rows)) if root[m] == root[k]))
+
+
+def test_near_stage_against_brute_force(spark, sf):
+    """Pairs at every similarity around the bound, a chain, a common passage, short texts and the test documents."""
+    rng = random.Random(5)
+    word = [f"w{i}" for i in range(4000)]
+    rows = []
+    common = rng.choices(word, k=40)
+    for n in (3, 5, 8, 9, 12, 30, 120, 600):
+        for _ in range(4):
+            base = rng.choices(word, k=n)
+            rows.append(base)
+            for changes in range(1, 7):
+                other = list(base)
+                for _ in range(changes):
+                    other[rng.randrange(n)] = rng.choice(word)
+                rows += [other, base + rng.choices(word, k=changes * max(1, n // 20))]
+    rows += [common + rng.choices(word, k=k % 25) for k in range(60)]
+    chain = rng.choices(word, k=100)
+    for k in range(12):
+        rows.append(list(chain))
+        chain[k * 8] = "x"
+    rng.shuffle(rows)
+    texts = [(k, " ".join(r)) for k, r in enumerate(rows)] + [(5000, "  "), (5001, None)]
+    texts += [(10_000 + r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = ids(corpus_pipeline.near_dedup_stage(spark, docs.repartition(3), sf))
+    assert got == brute_near(texts)
+    assert len(got) < len(texts) - 100
