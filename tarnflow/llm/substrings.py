@@ -3,7 +3,9 @@
 A string of `length` bytes is repeated when it also starts earlier. Suffixes are indexed where content says so: the
 string's least hash among its windows of `gram` bytes names its anchor, the same one in every copy. A suffix entry is
 (gram hash, hash of everything that the strings with this anchor span, place), and a suffix array is a run of entries
-sorted by those. Equal entries are whole repeats; entries that share only the gram are compared string by string.
+sorted by those. Equal entries are whole repeats; entries that share only the gram are compared string by string. Each
+hash has 64 bits and the two are of different kinds, so among n entries with one gram n * n / 2**65 are taken for equal
+that are not.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PLACE_BITS = np.uint64(24)
 #: An entry of a suffix array: h and c order it; doc, tie and lo say where its first string starts; span is how many
 #: further strings, one byte on each, have the same anchor.
-ENTRY = [("h", "<u8"), ("c", "<u4"), ("doc", "<i8"), ("tie", "<i4"), ("lo", "<u4"), ("span", "u1")]
+ENTRY = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("lo", "<u4"), ("span", "u1")]
 NO_DOC = -(1 << 63)
 
 
@@ -51,7 +54,8 @@ class Bytes:
         self.n = np.fromiter(map(len, texts), np.int64, len(texts))
         self.end = np.cumsum(self.n)
         self.start = self.end - self.n
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        self.joined = b"".join(texts)
+        data = np.frombuffer(self.joined, np.uint8)
         size = 1 << max(16, int(len(data)).bit_length())
         self.up, self.down = powers(int(BASE), size), powers(int(INVERSE), size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -60,6 +64,11 @@ class Bytes:
     def hashes(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         return (self.sums[to] - self.sums[at]) * self.down[at]
 
+    def digests(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Hashes of another kind, each from all bytes of its stretch."""
+        digest, data = xxhash.xxh3_64_intdigest, self.joined
+        return np.fromiter((digest(data[i:j]) for i, j in zip(at.tolist(), to.tolist())), np.uint64, len(at))
+
 
 def entries(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int, gram: int) -> np.ndarray:
     """The sparse suffix array entries of some texts, in text order."""
@@ -90,7 +99,7 @@ def entries(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int,
     out = np.empty(len(new), ENTRY)
     out["h"] = h[anchor]
     shape = ((anchor - lo) << 16 | (hi - lo)).astype(np.uint64)
-    out["c"] = mixed(b.hashes(lo, hi + length) + mixed(shape)) >> np.uint64(32)
+    out["c"] = b.digests(lo, hi + length) + mixed(shape)
     out["doc"], out["tie"], out["lo"], out["span"] = docs[doc], ties[doc], lo - b.start[doc], hi - lo
     return out
 
@@ -102,8 +111,7 @@ def strings_of(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, asked: li
     lo = np.concatenate([np.empty(0, np.int64), *asked])
     out = np.zeros(len(lo), ENTRY)
     at = lo + b.start[which]
-    raw = b.hashes(at, at + length)
-    out["h"], out["c"] = mixed(raw), mixed(raw + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)
+    out["h"], out["c"] = mixed(b.hashes(at, at + length)), b.digests(at, at + length)
     out["doc"], out["tie"], out["lo"] = docs[which], ties[which], lo
     return out
 

@@ -485,3 +485,24 @@ def test_held_out_accuracy(spark):
     pos, neg = np.array([s for s, y in rows if y]), np.array([s for s, y in rows if not y])
     auc = np.mean((pos[:, None] > neg[None, :]) + 0.5 * (pos[:, None] == neg[None, :]))
     assert auc > 0.9 and np.mean(neg >= 0.7) < 0.02
+
+
+# ---- repeated substrings: many surroundings of one gram
+
+
+def test_many_surroundings_of_one_gram():
+    """Strings that share only their anchor must not count as equal, however many there are."""
+    rng = np.random.default_rng(3)
+    grams = rng.integers(97, 123, (20_000, 40), dtype=np.uint8)
+    b = substrings.Bytes([g.tobytes() for g in grams])
+    h = substrings.mixed(b.hashes(b.start, b.end))
+    best = int(h.argmin())
+    rows = []
+    for k in range(6):
+        around = rng.integers(97, 123, (50_000, 160), dtype=np.uint8)
+        around[:, 60:100] = grams[best]
+        some = substrings.entries([x.tobytes() for x in around], np.arange(50_000) + k * 50_000, np.zeros(50_000, np.int32), 100, 40)
+        rows.append(some[some["h"] == h[best]])
+    rows = np.concatenate(rows)
+    assert len(rows) > 290_000
+    assert len(substrings.settled(rows)[1]) == 0
