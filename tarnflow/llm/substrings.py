@@ -27,6 +27,8 @@ from .common import shuffle_parts, stored, text_or_empty
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PLACE_BITS = np.uint64(24)
+#: So many bytes can be numbered in PLACE_BITS.
+PLACES = 1 << 24
 #: An entry of a suffix array: h and c order it; doc, tie and lo say where its first string starts; span is how many
 #: further strings, one byte on each, have the same anchor.
 ENTRY = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("lo", "<u4"), ("span", "u1")]
@@ -70,8 +72,24 @@ class Bytes:
         return np.fromiter((digest(data[i:j]) for i, j in zip(at.tolist(), to.tolist())), np.uint64, len(at))
 
 
-def entries(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """The sparse suffix array entries of some texts, in text order."""
+def entries(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int, gram: int, most: int = PLACES) -> np.ndarray:
+    """The sparse suffix array entries of some texts, in text order.
+
+    Texts of over `most` bytes (at most PLACES) together are taken one by one, and a longer one in pieces that overlap by length - 1 bytes.
+    """
+    if sum(map(len, texts)) <= most:
+        return entries_at_once(texts, docs, ties, length, gram)
+    out = [np.empty(0, ENTRY)]
+    for k, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, most - length + 1):
+            rows = entries_at_once([text[at : at + most]], docs[k : k + 1], ties[k : k + 1], length, gram)
+            rows["lo"] += np.uint32(at)
+            out.append(rows)
+    return np.concatenate(out)
+
+
+def entries_at_once(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The entries of texts that have PLACES bytes at most together."""
     b = Bytes(texts)
     total = int(b.end[-1]) if len(b.end) else 0
     grams = total - gram + 1
@@ -87,7 +105,7 @@ def entries(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, length: int,
         reach *= 2
     if reach < width:
         low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
-    anchor = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+    anchor = (low & np.uint64(PLACES - 1)).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), b.n)[: len(anchor)]
     strings = np.flatnonzero(np.arange(len(anchor)) + length <= b.end[doc])
     if not len(strings):
@@ -231,7 +249,7 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = 40, slice_by
     doc_id and text are one document, and each gets its result; different texts under one doc_id are ordered by their
     MD5.
 
-    Texts are cut into slices of about slice_bytes (a longer text is one slice); a task that compares entries gets about
+    Texts are read in slices of about slice_bytes (a longer text is one slice, indexed in pieces of that size); a task that compares entries gets about
     bucket_bytes of them.
     """
     spark = docs.sparkSession
@@ -252,7 +270,7 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = 40, slice_by
         for b in batches:
             for part in slices(b, "text", slice_bytes):
                 ids, ties, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).cast(pa.binary()).to_pylist()
-                rows = entries(texts, ids, ties, length, gram)
+                rows = entries(texts, ids, ties, length, gram, min(max(slice_bytes, 2 * length), PLACES))
                 turn += 1
                 if len(rows):
                     yield sent(rows, buckets, turn + int(ids[0]))

@@ -487,7 +487,7 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9 and np.mean(neg >= 0.7) < 0.02
 
 
-# ---- repeated substrings: many surroundings of one gram
+# ---- repeated substrings: many surroundings of one gram, and very long texts
 
 
 def test_many_surroundings_of_one_gram():
@@ -506,3 +506,20 @@ def test_many_surroundings_of_one_gram():
     rows = np.concatenate(rows)
     assert len(rows) > 290_000
     assert len(substrings.settled(rows)[1]) == 0
+
+
+def test_repeat_beyond_16_mb():
+    """A passage behind the first 2^24 bytes of a text has the same entries as its copy elsewhere."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 600, dtype=np.uint8).tobytes()
+    long = rng.integers(97, 123, (1 << 24) + 5000, dtype=np.uint8).tobytes()
+    marks = {}
+    family = substrings.Family()
+    for doc, text in ((0, passage), (1, long + passage)):
+        rows = substrings.entries([text], np.array([doc]), np.zeros(1, np.int32), 100, 40)
+        for lost in family.add(rows):
+            for r in lost:
+                marks.setdefault(int(r["doc"]), []).append(int(r["lo"]) << 8 | int(r["span"]))
+    assert list(marks) == [1]
+    assert all(len(long) <= m >> 8 for m in marks[1])
+    assert substrings.kept(long + passage, np.array(marks[1]), 100)[1] > 300
