@@ -609,15 +609,14 @@ def var_forecast(spark, sf):
 
 @query()
 def hmm_generate(spark, sf):
-    return rounded(hmm.HMMGenerator(max_iter=30).fit(monthly_series(spark, sf)).generate(2, 3, seed=4), 4)
+    return rounded(hmm.HMMGenerator().fit(monthly_series(spark, sf)).generate(2, 3, seed=4), 4)
 
 
 @query()
 def hmm_states(spark, sf):
-    return hmm.HMMGenerator(max_iter=30).fit(monthly_series(spark, sf)).states.select("site", "ts", "state")
+    return hmm.HMMGenerator().fit(monthly_series(spark, sf)).states.select("site", "ts", "state")
 
 
 @query()
 def find_scenario(spark, sf):
-    g = find.FINDGenerator(n_years=6, n_iterations=10, n_temp_reductions=2)
-    return rounded(g.fit(monthly_series(spark, sf).where("site IN ('L1', 'L2')")).generate(2, seed=2), 4)
+    return rounded(find.FINDGenerator().fit(monthly_series(spark, sf)).generate(2, seed=2), 4)

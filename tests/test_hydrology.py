@@ -340,3 +340,29 @@ def test_diagnostics(spark):
     assert drawn.count() == 4 * 2 * 2 * 2
     same = drawn.groupBy("realization", "year", "period").agg(F.countDistinct("q").alias("n")).where("n > 1")
     assert same.count() == 0
+
+
+def test_find_scenario_is_whole(spark, sf, monkeypatch):
+    """find_scenario reads all seven sites and anneals with the default options; the HMM queries iterate as often as by default."""
+    from tarnflow import queries
+
+    seen = {}
+
+    def generate(self, n_realizations=1, n_years=None, seed=0):
+        seen["options"], seen["years"] = self.o, n_years
+        seen["sites"] = {r.site for r in self.monthly.select("site").distinct().collect()}
+        return self.monthly
+
+    monkeypatch.setattr(find.FINDGenerator, "generate", generate)
+    queries.QUERIES["find_scenario"](spark, sf)
+    assert seen == {"options": find.Options(), "years": None, "sites": {f"L{n}" for n in range(1, 8)}}
+
+    def fit(self, monthly):
+        seen["rounds"] = self.rounds
+        raise StopIteration
+
+    monkeypatch.setattr(hmm.HMMGenerator, "fit", fit)
+    for name in ("hmm_generate", "hmm_states"):
+        with pytest.raises(StopIteration):
+            queries.QUERIES[name](spark, sf)
+        assert seen.pop("rounds") == 100
