@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,29 +16,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memory, pieces, slices
+from .chunks import Memory, Pieces, gathered, listed, slices
 
-#: Rows (token, next token) of not yet finished words; each step merges every word's leftmost pair of least rank. A pair
-#: knows the position of its second token (np), so only the pairs beside the merge change. A word without a mergeable
-#: pair comes out once more with done set, which ends it.
+#: Each step joins the token positions of all unfinished words with the merge table and contracts every word's leftmost
+#: pair of least rank. A word without a mergeable pair comes out once more with done set, which ends it.
 ENCODE = """
-WITH RECURSIVE r(done, w, pos, np, tok, nx) AS (
-  SELECT false, w, pos, pos + 1, tok, nx FROM word_tokens
+WITH RECURSIVE s(done, w, toks) AS (
+  SELECT false, w, toks FROM words
   UNION ALL
-  (WITH j AS MATERIALIZED (
-     SELECT r.w, r.pos, r.np, r.tok, r.nx, m.id, m.id::BIGINT * 4294967296 + r.pos AS rank
-     FROM r LEFT JOIN merges m ON m.l = r.tok AND m.r = r.nx WHERE NOT r.done),
-   least AS (SELECT w, min(rank) AS rank FROM j WHERE rank IS NOT NULL GROUP BY w),
-   merged AS (SELECT j.w, j.pos AS p, j.np AS q, j.id FROM j JOIN least USING (w, rank)),
-   d AS MATERIALIZED (SELECT merged.*, j.nx AS q_nx, j.np AS q_np FROM merged JOIN j ON j.w = merged.w AND j.pos = merged.q)
-   SELECT d.w IS NULL, j.w, j.pos, CASE WHEN j.pos = d.p THEN d.q_np ELSE j.np END,
-          CASE WHEN j.pos = d.p THEN d.id ELSE j.tok END,
-          CASE WHEN j.pos = d.p THEN d.q_nx WHEN j.np = d.p THEN d.id ELSE j.nx END
-   FROM j LEFT JOIN d ON j.w = d.w WHERE d.q IS NULL OR j.pos <> d.q))
-SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM r WHERE done GROUP BY w ORDER BY w
+  (WITH p AS (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, generate_subscripts(toks[2:], 1) AS i FROM s WHERE NOT done),
+   least AS (SELECT w, min(m.id::BIGINT * 65536 + i) AS x FROM p JOIN merges m ON m.l = p.l AND m.r = p.r GROUP BY w)
+   SELECT x IS NULL, s.w, CASE WHEN x IS NULL THEN toks ELSE toks[:x % 65536 - 1] || [(x // 65536)::INTEGER] || toks[x % 65536 + 2:] END
+   FROM s LEFT JOIN least USING (w) WHERE NOT s.done))
+SELECT w, array_to_string(toks, ' ') AS ids FROM s WHERE done ORDER BY w
 """
-#: The same for long words, of which each step merges all pairs of the least rank, left to right, where that gives the
-#: same result: merges.alone marks tokens that can join a neighbour at a lower rank than their own, and those are merged
+#: The same for long words, as rows (token, next token, its position) so that a step costs no copy of the word. It merges
+#: all pairs of the least rank, left to right, where that gives the same result: merges.alone marks tokens that can join a neighbour at a lower rank than their own, and those are merged
 #: one at a time. Of a run of one repeated token every other pair is taken (its tokens are equally long).
 ENCODE_LONG = """
 WITH RECURSIVE r(done, w, pos, np, tok, nx) AS (
@@ -60,8 +55,8 @@ WITH RECURSIVE r(done, w, pos, np, tok, nx) AS (
    SELECT done, w, pos, np, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) FROM k))
 SELECT w, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM r WHERE done GROUP BY w ORDER BY w
 """
-#: Words of more bytes than this go by ENCODE_LONG.
-LONG = 48
+#: Words of more bytes than this are long.
+SHORT = 64
 #: Bytes are carried as the code points 0 to 255, since a token need not be whole UTF-8. One thread keeps the rows' order.
 DECODE = """
 SELECT d, string_agg(chars, '') AS chars
@@ -80,7 +75,7 @@ class Coder:
         splits = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, made = (pa.array(x, pa.int32()) for x in zip(*splits))
         early = {part for left, right, rank in splits for part in (left, right) if rank < part}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.mkdtemp(prefix="duckdb-")})
         for name, columns in (
             ("merges", {"l": l, "r": r, "id": made, "alone": pa.array(np.isin(made, list(early)))}),
             ("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])}),
@@ -90,80 +85,83 @@ class Coder:
         self.db.unregister("loaded")
         self.known = Memory(kept)
 
-    def encode_words(self, words: list[str], step: int = 20_000) -> dict[str, str]:
-        """word -> its ids, joined by spaces. Whole tokens are looked up, as the rank file's library does."""
-        out: dict[str, str] = {}
-        todo: list[tuple[str, bytes]] = []
-        for w in words:
-            b = w.encode()
-            if (rank := self.ranks.get(b)) is not None:
-                out[w] = str(rank)
+    def encode_words(self, words: list[str], step: int = 40_000) -> list[str]:
+        """The ids of words, joined by spaces. Whole tokens are looked up, as the rank file's library does."""
+        raw = [w.encode() for w in words]
+        out = [None if rank is None else str(rank) for rank in map(self.ranks.get, raw)]
+        todo = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(raw[i]))
+        many = bisect.bisect_right(todo, SHORT, key=lambda i: len(raw[i]))
+        for part in [todo[at : min(at + step, many)] for at in range(0, many, step)] + [[i] for i in todo[many:]]:
+            some = [raw[i] for i in part]
+            n = np.fromiter(map(len, some), np.int64, len(some))
+            tok = self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]
+            if n[-1] > SHORT:
+                zeros = np.zeros(len(tok), np.int32)
+                following = np.append(tok[1:], -1).astype(np.int32)
+                self.db.register("word_tokens", pa.table({"w": zeros, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok, "nx": following}))
+                got = self.db.sql(ENCODE_LONG)
             else:
-                todo.append((w, b))
-        todo.sort(key=lambda x: len(x[1]))
-        at = 0
-        while at < len(todo):
-            end, size = at, 0
-            long = len(todo[at][1]) > LONG
-            while end < len(todo) and end - at < step and (end == at or size + len(todo[end][1]) <= step * 16) and (len(todo[end][1]) > LONG) == long:
-                size += len(todo[end][1])
-                end += 1
-            part = todo[at:end]
-            n = np.fromiter((len(b) for _, b in part), np.int64, len(part))
-            tok = self.byte_ids[np.frombuffer(b"".join(b for _, b in part), np.uint8)]
-            last = np.cumsum(n)
-            following = np.append(tok[1:], -1).astype(np.int32)
-            following[last - 1] = -1
-            word_tokens = pa.table({
-                "w": pa.array(np.repeat(np.arange(len(part), dtype=np.int32), n)),
-                "pos": pa.array((np.arange(len(tok)) - np.repeat(last - n, n)).astype(np.int32)),
-                "tok": pa.array(tok),
-                "nx": pa.array(following),
-            })
-            self.db.register("word_tokens", word_tokens)
-            got = self.db.sql(ENCODE_LONG if long else ENCODE).to_arrow_table()
-            out.update((part[w][0], ids) for w, ids in zip(got["w"].to_pylist(), got["ids"].to_pylist()))
-            at = end
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok))
+                self.db.register("words", pa.table({"w": pa.array(np.arange(len(some), dtype=np.int32)), "toks": toks}))
+                got = self.db.sql(ENCODE)
+            for i, ids in zip(part, listed(got.to_arrow_table()["ids"])):
+                out[i] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[str, int]]:
-        """(decimal ids joined by one space, their number) of each text."""
-        cut = [pieces(t) for t in texts]
-        ids = [list(map(self.known.get, c)) for c in cut]
-        absent = {p for c, found in zip(cut, ids) if None in found for p, x in zip(c, found) if x is None}
-        new = [p for p in absent if p not in self.known.older]
-        split = [self.pattern.findall(p) for p in new]
-        words = self.encode_words(list({w for ws in split for w in ws}))
-        made = {p: " ".join([words[w] for w in ws]) for p, ws in zip(new, split)}
-        made |= {p: self.known.older[p] for p in absent - made.keys()}
-        out = []
-        for c, found in zip(cut, ids):
-            text = " ".join([made[p] if x is None else x for p, x in zip(c, found)] if None in found else found)
-            out.append((text, text.count(" ") + 1 if text else 0))
-        for p, x in made.items():
-            self.known.kept_or(p, lambda _, x=x: x)
-        return out
+    def both_ways(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """The ids of words, and what the ids decode to."""
+        ids = self.encode_words(words)
+        return list(zip(ids, self.decode(ids)))
+
+    def encode(self, texts: pa.Array) -> Coded:
+        """The ids of each text, by its distinct words, and their bytes, decoded."""
+        words = Pieces(texts, self.pattern.findall)
+        return Coded(words, self.known.all_of(words, self.both_ways))
 
     def decode(self, coded: list[str]) -> list[bytes]:
         """The bytes of each list of ids, by an ordered aggregation; ids are given as decimal text."""
-        ids = [np.fromstring(c, np.int32, sep=" ") for c in coded]
-        tok = np.concatenate([np.empty(0, np.int32), *ids])
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+        n = np.fromiter((c.count(" ") + 1 if c else 0 for c in coded), np.int64, len(coded))
+        tok = np.array(" ".join(filter(None, coded)).split(), np.int32)
+        d = np.repeat(np.arange(len(coded), dtype=np.int32), n)
         self.db.register("coded", pa.table({"d": pa.array(d), "pos": pa.array(np.arange(len(tok), dtype=np.int32)), "tok": pa.array(tok)}))
         got = self.db.sql(DECODE).to_arrow_table()
-        out = [b""] * len(ids)
-        for d, chars in zip(got["d"].to_pylist(), got["chars"].to_pylist()):
+        out = [b""] * len(coded)
+        for d, chars in zip(listed(got["d"]), listed(got["chars"])):
             out[d] = chars.encode("latin-1")
         return out
 
 
+class Coded:
+    """Texts as ids: words, and for each distinct one its ids in decimal with what they decode to."""
+
+    def __init__(self, words: Pieces, made: list[tuple[str, bytes]]):
+        self.words, self.ids, self.bytes = words, [x for x, _ in made], [x for _, x in made]
+
+    def decimal(self) -> pa.Array:
+        """Each text's ids joined by one space."""
+        return self.words.joined(self.ids, pa.string(), " ")
+
+    def n_tokens(self) -> pa.Array:
+        return pa.array(self.words.summed(np.fromiter((x.count(" ") + 1 for x in self.ids), np.int64, len(self.ids))))
+
+    def numbers(self) -> np.ndarray:
+        """The ids of all texts, one after the other."""
+        n = np.fromiter((x.count(" ") + 1 for x in self.ids), np.int64, len(self.ids))
+        return gathered(np.array(" ".join(self.ids).split(), np.int32), n, self.words.codes)
+
+    def decoded(self) -> pa.Array:
+        """The bytes of each text's ids."""
+        return self.words.joined(self.bytes, pa.binary(), b"")
+
+
 @lru_cache(maxsize=1)
 def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
 #: Bytes of text that a worker encodes, or of ids that it decodes, at a time.
-AT_ONCE = 3_000_000
+AT_ONCE = 4_000_000
 
 
 def with_text(docs: DataFrame) -> DataFrame:
@@ -177,22 +175,23 @@ def batch(**columns: list | pa.Array) -> pa.RecordBatch:
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids string, n_tokens): decimal ids joined by one space, for every row. Null is the empty text, of no ids.
 
-    path is the rank file, found on every worker. Words repeat, so a worker's memory of them does most of the work; the
-    merges of new words run as one recursive DuckDB query for each slice. Nothing is shuffled.
+    Repeated rows stay repeated, and a null doc_id stays null. path is the rank file, found on every worker. Each slice is
+    cut into pieces, of which the distinct ones that were not seen lately go through one recursive DuckDB query. Nothing
+    is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
             for part in slices(b, "text", AT_ONCE):
-                got = c.encode(part.column(1).to_pylist())
-                yield batch(doc_id=part.column(0), ids=pa.array([x for x, _ in got], pa.string()), n_tokens=pa.array([n for _, n in got], pa.int64()))
+                got = c.encode(part.column(1))
+                yield batch(doc_id=part.column(0), ids=got.decimal(), n_tokens=got.n_tokens())
 
     return with_text(docs).mapInArrow(run, "doc_id long, ids string, n_tokens long")
 
 
 def decoded(coded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, bytes binary) of rows (doc_id, ids)."""
+    """(doc_id, bytes binary) of rows (doc_id, ids); null ids are none. Repeated rows stay repeated, and a null doc_id stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
@@ -203,20 +202,24 @@ def decoded(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: encodes, then decodes the ids, in one pass."""
+def digests(column: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column], pa.string())
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row, with ids also (ids array): encodes, then decodes the ids, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
             for part in slices(b, "text", AT_ONCE):
-                got = c.encode(part.column(1).to_pylist())
-                back = c.decode([ids for ids, _ in got])
-                yield batch(
-                    doc_id=part.column(0),
-                    n_tokens=pa.array([n for _, n in got], pa.int64()),
-                    ids_sha256=pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in got], pa.string()),
-                    decoded_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                )
-
-    return with_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                got = c.encode(part.column(1))
+                decimal, n = got.decimal(), got.n_tokens()
+                columns = {"doc_id": part.column(0), "n_tokens": n, "ids_sha256": digests(decimal), "decoded_sha256": digests(got.decoded())}
+                if ids:
+                    offsets = np.concatenate([[0], np.cumsum(n.to_numpy())]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got.numbers()))
+                yield batch(**columns)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
+    return with_text(docs).mapInArrow(run, schema)

@@ -1,56 +1,112 @@
-"""Cutting texts where byte-level BPE always cuts, so that what stands between can be remembered."""
+"""Cutting texts where byte-level BPE always cuts, so that each distinct piece of a slice is encoded once."""
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A run of spaces or other white space decides together with what follows it; only a lone space between two characters
 #: that are not white space is a certain cut, and it goes with what follows.
 LONE = re.compile(r"(?<=\S) (?=\S)")
-# White space besides space and line feed.
-OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+# White space besides the space.
+OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts in which some space is not a certain cut.
+UNSURE = f"^ | $| [ {OTHER_SPACE}]|[{OTHER_SPACE}] "
 
 
-def parted(text: str) -> list[str]:
-    """text without its lone spaces, in parts; " ".join gives text."""
-    if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACE):
-        return LONE.split(text)
-    return text.split(" ")
+def parted(texts: pa.Array) -> pa.ListArray:
+    """Texts without their lone spaces, in parts; " ".join gives a text."""
+    unsure = pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False).astype(bool)
+    lists = pc.split_pattern(texts.filter(pa.array(~unsure)), " ").cast(pa.list_(pa.string()))
+    if not unsure.any():
+        return lists
+    other = pa.array([LONE.split(t) for t in texts.filter(pa.array(unsure)).to_pylist()], pa.list_(pa.string()))
+    order = np.argsort(np.concatenate([np.flatnonzero(~unsure), np.flatnonzero(unsure)]), kind="stable")
+    return pa.concat_arrays([lists, other]).take(pa.array(order))
 
 
-def pieces(text: str) -> list[str]:
-    """text, cut before each lone space; joined they give text."""
-    if not text:
-        return []
-    parts = parted(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+def listed(values: pa.Array) -> list:
+    """The values as Python objects; faster than one scalar after the other."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+class Pieces:
+    """Texts as numbers of distinct pieces; a text's pieces joined give the text.
+
+    Texts are cut before each lone space, and then, where a piece is more than letters behind its space, by `split`.
+    """
+
+    def __init__(self, texts: pa.Array, split: Callable[[str], list[str]] | None = None):
+        parts = parted(texts.cast(pa.string()))
+        coded = parts.flatten().dictionary_encode()
+        self.offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))])
+        codes = coded.indices.to_numpy().astype(np.int64)
+        words = listed(coded.dictionary)
+        first = self.offsets[:-1]
+        heads, back = np.unique(codes[first], return_inverse=True)
+        codes[first] = len(words) + back
+        distinct = [" " + w for w in words] + [words[i] for i in heads.tolist()]  # some only stand at the beginning of a text
+        if split is None:
+            self.distinct, self.codes = distinct, codes
+        else:
+            letters = listed(pc.utf8_is_alpha(coded.dictionary))
+            letters += [letters[i] for i in heads.tolist()]
+            cut = [[d] if one else split(d) for d, one in zip(distinct, letters)]
+            coded = pa.array(list(itertools.chain.from_iterable(cut)), pa.string()).dictionary_encode()
+            n = np.fromiter(map(len, cut), np.int64, len(cut))
+            self.codes = gathered(coded.indices.to_numpy(), n, codes)
+            self.offsets = np.concatenate([[0], np.cumsum(n[codes])])[self.offsets]
+            self.distinct = listed(coded.dictionary)
+        self.counts = np.bincount(self.codes, minlength=len(self.distinct))
+
+    def joined(self, values: list, kind: pa.DataType, between: str | bytes) -> pa.Array:
+        """For each text, the values of its pieces joined."""
+        taken = pa.array(values, kind).take(pa.array(self.codes))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(self.offsets.astype(np.int32)), taken), between)
+
+    def summed(self, numbers: np.ndarray) -> np.ndarray:
+        """For each text, the sum of its pieces' numbers."""
+        return np.diff(np.concatenate([[0], np.cumsum(numbers[self.codes])])[self.offsets])
+
+
+def gathered(values: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """values in runs of n, the runs that codes name one after the other."""
+    start, m = np.cumsum(n) - n, n[codes]
+    at = np.repeat(start[codes] - (np.cumsum(m) - m), m)
+    return values[at + np.arange(len(at))]
 
 
 class Memory(dict):
-    """Values of the keys seen last: when `kept` are held, those not asked for since the last time are dropped."""
+    """Values of pieces that are met more than once in a slice; when `kept` are held, those not asked for since the last time are dropped."""
 
     def __init__(self, kept: int):
         super().__init__()
         self.kept = kept
         self.older: dict = {}
 
-    def kept_or(self, key: str, make: Callable[[str], object]) -> object:
-        """The value of a key that get() doesn't have: from before the last drop, or made."""
-        value = self.get(key)
-        if value is None:
-            value = self.older.pop(key, None)
-            if value is None:
-                value = make(key)
-            if len(self) >= self.kept:
-                self.older.clear()
-                self.older.update(self)
-                self.clear()
-            self[key] = value
-        return value
+    def all_of(self, pieces: Pieces, make: Callable[[list[str]], list]) -> list:
+        """The values of the distinct pieces; those that are not held are made together."""
+        keys = pieces.distinct
+        out = list(map(self.get, keys))
+        absent = [i for i, x in enumerate(out) if x is None]
+        held = self.older.get
+        for i in absent:
+            out[i] = held(keys[i])
+        new = [i for i in absent if out[i] is None]
+        for i, x in zip(new, make([keys[i] for i in new]) if new else []):
+            out[i] = x
+        often = pieces.counts > 1
+        worth = [i for i in absent if often[i]]
+        if len(self) + len(worth) > self.kept:
+            self.older = dict(self)
+            self.clear()
+        self.update((keys[i], out[i]) for i in worth)
+        return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
