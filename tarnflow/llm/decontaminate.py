@@ -9,10 +9,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import slices
+from .common import stored, text_or_empty
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -101,20 +103,19 @@ def narrowed(doc: np.ndarray, seeds: np.ndarray, seed: int, reach: int) -> np.nd
 
 
 class Index:
-    """Benchmark items by seed: the hash of every window of `seed` words, or the whole of a shorter item."""
+    """Benchmark rows by seed: the hash of every window of `seed` words, or the whole of a shorter text. Rows are numbered in the given order."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], seed: int):
+    def __init__(self, texts: list[str | None], seed: int):
         self.seed = seed
-        self.items = {int(i): token_ids(words(t)) for i, t in rows if i is not None}
-        self.items = {i: t for i, t in self.items.items() if len(t)}
+        self.items = {i: ids for i, t in enumerate(texts) if len(ids := token_ids(words(t)))}
         pairs: dict[int, list[tuple[np.ndarray, int]]] = {}
         for i, t in self.items.items():
             width = min(seed, len(t))
             pairs.setdefault(width, []).append((window_hashes(t, width), i))
         self.by_width = {}
-        for width, rows_ in pairs.items():
-            h = np.concatenate([x for x, _ in rows_])
-            owner = np.concatenate([np.full(len(x), i, np.int64) for x, i in rows_])
+        for width, rows in pairs.items():
+            h = np.concatenate([x for x, _ in rows])
+            owner = np.concatenate([np.full(len(x), i, np.int64) for x, i in rows])
             order = np.argsort(h, kind="stable")
             self.by_width[width] = (h[order], owner[order])
 
@@ -145,52 +146,73 @@ def matches(doc: np.ndarray, index: Index, coverage: float) -> list[tuple[int, i
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, seed: int = 5, block_chars: int = 32_000_000) -> DataFrame:
-    """(doc_id, item_id, covered, n_tokens, n_tiles, coverage) for each document that holds a benchmark item.
+COLUMNS = {"doc_id": pa.int64(), "item_id": pa.int64(), "covered": pa.int64(), "n_tokens": pa.int64(), "n_tiles": pa.int64(), "coverage": pa.float64(), "th": pa.int64()}
 
-    Words are runs of \\w, lower-cased. A document and an item meet when they share a seed of `seed` words in a row (an
-    item of fewer words is one seed). Their greedy tiles then cover a share of the item's words, wherever in the document
-    the pieces stand and in whatever order; `coverage` or more is a leak. Null or wordless texts on either side match
-    nothing; rows without an id on the benchmark side are ignored; repeated rows give one result row each, and an
-    item_id that is repeated counts with its last text in (item_id, text) order.
 
-    The benchmark is a stated query set: it is cut into blocks of at most `block_chars` characters, whatever its size,
-    and only one block at a time is sent to the workers; the documents are scanned whole for each block. A benchmark of
-    ordinary size is one block. Documents are never shuffled.
-    """
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, seed: int, block_chars: int) -> DataFrame:
+    """The rows of contaminated() with th, the hash of the document's text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) * 2 // block_chars)) if total > block_chars else 1
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, covered long, n_tokens long, n_tiles long, coverage double"
-    out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.where("item_id IS NOT NULL").collect()))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, seed)
+    total = int(items.agg(F.sum(F.length("text"))).first()[0] or 0)
+    blocks = max(1, -(-total * 2 // block_chars)) if total > block_chars else 1
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("th"), F.col("text").cast("string").alias("text"))
+
+    def scan(k: int) -> tuple[DataFrame, Broadcast]:
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = sorted({(r.item_id is not None, r.item_id or 0, r.text) for r in part.collect()})
+        sent = spark.sparkContext.broadcast([(i if known else None, t) for known, i, t in rows])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = [i for i, _ in sent.value]
+            index = Index([t for _, t in sent.value], seed)
             vocabulary = sorted({w for _, t in sent.value for w in words(t)})
             known = {w: i + 1 for i, w in enumerate(vocabulary)}
             hashes = np.append(np.ones(1, np.uint64), token_ids(vocabulary))  # the first stands for any word that no item has
             for b in batches:
                 for part in slices(b, "text", 2_000_000):
-                    rows = []
-                    for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
+                    found = []
+                    for doc_id, th, text in zip(*(c.to_pylist() for c in part.columns)):
                         ws = words(text)
-                        ids = hashes[np.fromiter(map(known.get, ws, repeat(0)), np.int64, len(ws))]
-                        rows += [(doc_id, *m, m[1] / m[2]) for m in matches(ids, index, coverage)]
-                    if rows:
-                        kinds = [pa.int64()] * 5 + [pa.float64()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "covered", "n_tokens", "n_tiles", "coverage"])
+                        tokens = hashes[np.fromiter(map(known.get, ws, repeat(0)), np.int64, len(ws))]
+                        found += [(doc_id, ids[m[0]], *m[1:], m[1] / m[2], th) for m in matches(tokens, index, coverage)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), COLUMNS.values())], list(COLUMNS))
 
-        found = source.mapInArrow(run, schema)
+        return source.mapInArrow(run, "doc_id long, item_id long, covered long, n_tokens long, n_tiles long, coverage double, th long"), sent
+
+    if blocks == 1:
+        return scan(0)[0]
+    out = None
+    for k in range(blocks):  # one block at a time is collected and sent; its findings are written before the next
+        found, sent = scan(k)
+        found = stored(found, "leaks")
+        sent.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item; all columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, seed: int = 5, block_chars: int = 32_000_000) -> DataFrame:
+    """(doc_id, item_id, covered, n_tokens, n_tiles, coverage) for each document that holds a benchmark item.
+
+    Words are runs of \\w, lower-cased. A document and an item meet when they share a seed of `seed` words in a row (an
+    item of fewer words is one seed). Their greedy tiles then cover a share of the item's words, wherever in the document
+    the pieces stand and in whatever order; `coverage` or more is a leak. Null or wordless texts on either side match
+    nothing. Repeated documents give one result row each. Every benchmark row counts: without an item_id it is reported
+    under null, several texts under one item_id are looked for each, and a row that is repeated whole counts once.
+
+    The benchmark is a stated query set: it is cut into blocks of at most `block_chars` characters, whatever its size,
+    and only one block at a time is held by the driver and the workers; the documents are scanned whole for each block. A
+    benchmark of ordinary size is one block. Documents are never shuffled.
+    """
+    return leaks(docs, benchmark, coverage, seed, block_chars).drop("th")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, seed: int = 5, block_chars: int = 32_000_000) -> DataFrame:
+    """The rows of docs that hold no benchmark item; all columns.
+
+    Rows are told apart by doc_id and text: of several texts under one doc_id only those that leak go, and a leaking row
+    without a doc_id goes too. Null and empty texts stay; repeated rows share their fate.
+    """
+    bad = leaks(docs, benchmark, coverage, seed, block_chars).select(F.col("doc_id").alias("_bad"), F.col("th").alias("_th")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_th"])
+    return docs.join(bad, same, "left_anti")

@@ -19,21 +19,28 @@ from .spans import apart, joined, matches
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. The look-behinds and \G only spare vain starts inside a run, and possessive quantifiers
 # vain steps back; what matches is the same. Card numbers are read where JOIN stands for one space or hyphen between digits.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 JOIN, OTHER = "\x01", "\x02"
 CARD = f"[0-9][0-9{JOIN}]++"
 # Looser patterns for further candidates.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{2,63}+(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z]{2,12}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z]++",
+    "ip": r"(?<![0-9])[0-9]{1,3}+(?:\x20?[\[(](?:\.|(?i:dot))[\])]\x20?[0-9]{1,3}+){3}(?![0-9])",
+    "card": r"(?<![0-9./_])[0-9]{4}+(?:[./_\xA0][0-9]{4,6}+){2}(?:[./_\xA0][0-9]{3,5}+)?(?![0-9])",
     "phone": r"(?<![0-9+.-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?0?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
 }
-LOOSE_GATE = {"email": r"[\[(](?i:at)[\])]", "phone": r"[0-9]\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}"}
+LOOSE_GATE = {
+    "email": r"[\[(](?i:at)[\])]",
+    "ip": r"[0-9]\x20?[\[(](?:\.|(?i:dot))[\])]",
+    "card": r"[0-9]{4}[./_\xA0][0-9]{4}",
+    "phone": r"[0-9]\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}",
+}
 # Gazetteers (top-level domains, issuer prefixes, calling codes) and words of the context, by kind.
 GAZETTEER = {
     "email": r"(?i)(?:\.|dot[\])]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|example)$",
-    "ip": r"^(?:10|127|172|192|[1-9][0-9]?|1[0-9]{2}|2[0-1][0-9]|22[0-3])\.",
+    "ip": r"^(?:10|127|172|192|[1-9][0-9]?|1[0-9]{2}|2[0-1][0-9]|22[0-3])(?![0-9])",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^(?:\+|00)?(?:1|33|34|39|44|49|41|43|351|32|31)?[\x20(.-]*[0-9]{2,4}",
 }
@@ -45,6 +52,9 @@ CONTEXT = {
 }
 REACH = 40
 LABELERS = ("shape", "check", "gazetteer", "context", "alone")
+#: What the span classifier sees besides the votes, each 1 or -1: a word of any kind's context close by, an end of a
+#: sentence or line behind the span, and a span of 12 characters or more.
+FEATURES = ("other context", "ends", "long")
 CANDIDATE = "array<struct<s:int,e:int,m:string,g:string>>"
 
 
@@ -82,7 +92,7 @@ def checked(kind: str, m: Column) -> Column:
     if kind == "phone":
         return F.when(n.between(10, 13), 1).when(n.between(9, 15), 0).otherwise(-1)
     if kind == "ip":
-        return F.when(small_parts(m), 1).otherwise(-1)
+        return F.when(small_parts(F.regexp_replace(m, "[^0-9]+", ".")), 1).otherwise(-1)
     return F.when(F.char_length(m) <= 254, 1).otherwise(-1)
 
 
@@ -103,7 +113,8 @@ def base_spans(t: Column) -> dict[str, Column]:
 
 
 def voted(t: Column, found: Column, kind: str, base: bool) -> Column:
-    """found with its labelers' votes, each 1, 0 or -1."""
+    """found with its labelers' votes, each 1, 0 or -1, and the classifier's further features."""
+    others = "|".join(f"(?:{v})" for k, v in CONTEXT.items() if k != kind)
 
     def vote(x: Column) -> Column:
         before = F.substring(t, F.greatest(x["s"] + 1 - REACH, F.lit(1)), x["s"] - F.greatest(x["s"] - REACH, F.lit(0)))
@@ -115,7 +126,13 @@ def voted(t: Column, found: Column, kind: str, base: bool) -> Column:
             F.when(F.concat(before, F.lit(" \n "), after).rlike(CONTEXT[kind]), 1).otherwise(0),
             F.when(F.concat(F.substring(before, -6, 6), F.lit(" "), F.substring(after, 1, 6)).rlike("[0-9]"), -1).otherwise(1),
         )
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.array(*[v.cast("int") for v in votes]).alias("votes"))
+        features = (
+            F.when(F.concat(before, F.lit(" \n "), after).rlike(others), 1).otherwise(-1),
+            F.when(after.rlike(r"^[\x20)\]]*(?:[.!?;\n]|$)"), 1).otherwise(-1),
+            F.when(F.char_length(x["m"]) >= 12, 1).otherwise(-1),
+        )
+        ints = [F.array(*[v.cast("int") for v in some]) for some in (votes, features)]
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), ints[0].alias("votes"), ints[1].alias("features"))
 
     return F.transform(found, vote)
 
@@ -147,6 +164,18 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 5
     return prior, table, post
 
 
+def weights_of(counts: dict[tuple[tuple[int, ...], tuple[int, ...]], float]) -> list[float]:
+    """The classifier of one kind from (votes, features) -> how many candidates have them: a posterior for each pattern of
+    votes, and on these a model over votes and features."""
+    votes: dict[tuple[int, ...], float] = {}
+    for (v, _), n in counts.items():
+        votes[v] = votes.get(v, 0.0) + n
+    patterns = sorted(votes.items())
+    post = dict(zip((v for v, _ in patterns), reliabilities(patterns)[2]))
+    rows = sorted(counts.items())
+    return train([((*v, *f), n) for (v, f), n in rows], [post[v] for (v, _), _ in rows])
+
+
 def train(patterns: list[tuple[tuple[int, ...], float]], labels: list[float], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> list[float]:
     """Weights of a logistic model, the bias last, on soft labels weighted by their counts; plain gradient descent."""
     n, total = len(patterns[0][0]), sum(c for _, c in patterns)
@@ -171,7 +200,7 @@ def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
     a kind without candidates trains nothing and adds nothing.
 
     The texts are read once: spans and votes go to a stored table, of which only the counts of vote patterns (at most
-    4 x 3^5 rows, however large the input) come to the driver, where the two small models are fitted.
+    4 x 3^5 x 2^3 rows, however large the input) come to the driver, where the two small models are fitted.
     """
     t = F.col("t")
     base = docs.select("doc_id", text_or_empty().alias("t"))
@@ -182,16 +211,17 @@ def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
     parts += [voted(t, apart(F.col(f"loose_{k}"), *all_base, *[F.col(f"loose_{x}") for x in list(LOOSE)[:i]]), k, False) for i, k in enumerate(LOOSE)]
     found = stored(one.select("doc_id", F.concat(*parts).alias("spans")), "candidates")
 
-    each = found.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes").agg(F.count("*").alias("n"))
-    patterns: dict[str, list[tuple[tuple[int, ...], float]]] = {}
-    for r in sorted(each.collect(), key=lambda r: (r.kind, r.votes)):
-        patterns.setdefault(r.kind, []).append((tuple(r.votes), float(r.n)))
-    weights = {k: train(p, reliabilities(p)[2]) for k, p in patterns.items()}
+    each = found.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.votes", "x.features").agg(F.count("*").alias("n"))
+    counts: dict[str, dict] = {}
+    for r in each.collect():
+        counts.setdefault(r.kind, {})[tuple(r.votes), tuple(r.features)] = float(r.n)
+    weights = {k: weights_of(c) for k, c in sorted(counts.items())}
 
     def score(x: Column) -> Column:
         out = F.lit(0.0)
         for k, w in weights.items():
-            z = reduce(lambda a, b: a + b, [F.lit(w[-1]), *[F.lit(w[j]) * F.get(x["votes"], F.lit(j)) for j in range(len(w) - 1)]])
+            seen = [F.get(x["votes"], F.lit(j)) for j in range(len(LABELERS))] + [F.get(x["features"], F.lit(j)) for j in range(len(FEATURES))]
+            z = reduce(lambda a, b: a + b, [F.lit(w[-1]), *[F.lit(c) * v for c, v in zip(w, seen)]])
             out = F.when(x["kind"] == k, 1 / (1 + F.exp(-z))).otherwise(out)
         return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .spans import apart, joined, matches, placed
+from .spans import apart, joined, let, matches, placed
 
 # The base patterns. Runs of hex and access keys carry their least length, since only a maximal run can match.
 NAMES = "(?i:password|passwd|secret|token|api_?key)"
@@ -24,7 +24,7 @@ ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     "|^[A-Za-z]*(?:[-_/+=][A-Za-z]*)*+$|^[0-9+/_=-]*$|^[A-Za-z]+[0-9]{1,4}$"
     "|(?i:example|sample|placeholder|changeme|xxxx|your_?|test_?key|abcdefgh|01234567|12345678)|(?i:^sha(?:1|256|512)-)"
-    "|^(?:/?[a-z0-9_-]{1,15}/)+[a-z0-9_-]*$"
+    "|^(?:/?[a-z0-9_-]{1,15}/)++[a-z0-9_-]*$"
 )
 
 
@@ -39,28 +39,34 @@ def xlogx(c: Column) -> Column:
 def window_entropy(m: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits a character, of the windows of an ASCII string of at least `window` characters.
 
-    Walks the string once with the counts of the current window: what enters adds to its count, what leaves is taken
-    off, and the sum of c*log2(c) follows from the two counts that change.
+    Walks the string once with the counts of the current window, held as the code points of a string of 128: what
+    enters adds to its count, what leaves is taken off, and the sum of c*log2(c) follows from the two counts that change.
     """
-    codes = F.transform(F.split(m, ""), lambda c: F.ascii(c))
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(codes, i - window)).alias("old")))
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
 
-    def count(acc: Column, code: Column) -> Column:
-        return F.get(acc["counts"], code)
+    def count(counts: Column, code: Column) -> Column:
+        return F.ascii(F.substring(counts, code + 1, F.lit(1)))
 
     def step(acc: Column, x: Column) -> Column:
-        new, old = x["new"], x["old"]
-        moved = old.isNull() | (new != old)
-        gained = F.when(moved, xlogx(count(acc, new) + 1) - xlogx(count(acc, new))).otherwise(0.0)
-        lost = F.when(old.isNotNull() & moved, xlogx(count(acc, old)) - xlogx(count(acc, old) - 1)).otherwise(0.0)
-        total = acc["sum"] + gained - lost
-        n = F.least(acc["n"] + 1, F.lit(window))
-        counts = F.transform(acc["counts"], lambda c, i: c + F.when(i == new, 1).otherwise(0) - F.when(i == old, 1).otherwise(0))
-        best = F.when(n == window, F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), n.alias("n"), best.alias("best"))
-
-    return F.aggregate(steps, zero, step, lambda acc: acc["best"])
+        def moved(n: Column) -> Column:
+            gained, lost = xlogx(n["new"] + 1) - xlogx(n["new"]), F.when(x["old"] >= 0, xlogx(n["old"]) - xlogx(n["old"] - 1)).otherwise(0.0)
+            entered = F.overlay(acc["counts"], F.char(n["new"] + 1), x["new"] + 1, F.lit(1))
+            counts = F.when(x["old"] >= 0, F.overlay(entered, F.char(n["old"] - 1), x["old"] + 1, F.lit(1))).otherwise(entered)
+            total = acc["sum"] + gained - lost
+            best = F.when(x["whole"], F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"])
+            return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+
+        now = F.struct(count(acc["counts"], x["new"]).alias("new"), F.when(x["old"] >= 0, count(acc["counts"], x["old"])).otherwise(0).alias("old"))
+        same = F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum"), acc["best"].alias("best"))
+        return F.when(x["new"] == x["old"], same).otherwise(let(now, moved))
+
+    def walk(codes: Column) -> Column:
+        steps = F.transform(
+            codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(codes, i - window)).otherwise(-1).alias("old"), (i >= window - 1).alias("whole"))
+        )
+        zero = F.struct(F.repeat(F.char(F.lit(0)), F.lit(128)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        return F.aggregate(steps, zero, step, lambda acc: acc["best"])
+
+    return let(F.transform(F.split(m, ""), lambda c: F.ascii(c)), walk)
 
 
 def secrets(docs: DataFrame) -> DataFrame:
