@@ -18,6 +18,7 @@ from .sources import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The whole years of the table, for what bootstraps or pads years. Everything else goes from its first to its last day.
 FIRST, LAST = "1995-01-01", "2000-12-31"
 
 
@@ -43,8 +44,10 @@ def flow(spark: SparkSession, sf: str) -> DataFrame:
     return li.groupBy(F.concat(F.lit("L"), F.col("l_linenumber")).alias("site"), F.to_date("l_shipdate").alias("ts")).agg(F.sum("l_quantity").alias("q"))
 
 
-def dense(spark: SparkSession, sf: str) -> DataFrame:
-    return flows.densified(flow(spark, sf), FIRST, LAST)
+def dense(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    q = flow(spark, sf)
+    first, last = (FIRST, LAST) if whole else map(str, q.agg(F.min("ts"), F.max("ts")).first())
+    return flows.densified(q, first, last)
 
 
 def by_flag(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,24 +61,27 @@ def members(spark: SparkSession, sf: str) -> DataFrame:
     return li.groupBy(F.col("l_linenumber").cast("int").alias("realization"), F.col("l_returnflag").alias("site"), F.to_date("l_shipdate").alias("ts")).agg(F.sum("l_quantity").alias("q"))
 
 
-def months(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.monthly_totals(dense(spark, sf))
+def months(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return cal.monthly_totals(dense(spark, sf, whole))
 
 
-def monthly_series(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.resampled(dense(spark, sf), "MS")
+def monthly_series(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return cal.resampled(dense(spark, sf, whole), "MS")
 
 
 FLOW = "flow AS (SELECT 'L' || l_linenumber AS site, CAST(l_shipdate AS DATE) AS ts, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
-DENSE = FLOW + f""", dense AS (SELECT s.site, d.ts, coalesce(f.q, 0) AS q FROM (SELECT DISTINCT site FROM flow) s
-  CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS ts) d LEFT JOIN flow f ON f.site = s.site AND f.ts = d.ts)"""
-MONTHS = DENSE + """, months AS (SELECT site, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, sum(q) AS q FROM dense GROUP BY 1, 2, 3),
+DAYS = """, dense AS (SELECT s.site, d.ts, coalesce(f.q, 0) AS q FROM (SELECT DISTINCT site FROM flow) s
+  CROSS JOIN (SELECT CAST(unnest(generate_series({first}, {last}, INTERVAL 1 DAY)) AS DATE) AS ts) d LEFT JOIN flow f ON f.site = s.site AND f.ts = d.ts)"""
+DENSE = FLOW + DAYS.format(first="(SELECT min(ts) FROM flow)", last="(SELECT max(ts) FROM flow)")
+WHOLE = FLOW + DAYS.format(first=f"DATE '{FIRST}'", last=f"DATE '{LAST}'")
+TOTALS = """, months AS (SELECT site, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, sum(q) AS q FROM dense GROUP BY 1, 2, 3),
  series AS (SELECT site, make_date(year, month, 1) AS ts, q FROM months)"""
-SCORES = MONTHS + """, moments AS (SELECT site, month, avg(q) AS mu, stddev_samp(q) AS sigma FROM months GROUP BY 1, 2),
+MONTHS, WHOLE_MONTHS = DENSE + TOTALS, WHOLE + TOTALS
+SCORES = WHOLE_MONTHS + """, moments AS (SELECT site, month, avg(q) AS mu, stddev_samp(q) AS sigma FROM months GROUP BY 1, 2),
  z AS (SELECT m.site, m.year, m.month, (m.q - o.mu) / o.sigma AS z, CAST(dense_rank() OVER (PARTITION BY m.site ORDER BY m.year) - 1 AS INTEGER) AS hist_idx FROM months m JOIN moments o USING (site, month))"""
 FLAG = "flag AS (SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS ts, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2)"
 MEMBERS = "members AS (SELECT CAST(l_linenumber AS INTEGER) AS realization, l_returnflag AS site, CAST(l_shipdate AS DATE) AS ts, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3)"
-INDEX = SCORES + """, idx0 AS (SELECT site, ts, sum(q) OVER w AS q, count(q) OVER w AS n FROM series WINDOW w AS (PARTITION BY site ORDER BY ts ROWS 2 PRECEDING)),
+INDEX = MONTHS + """, idx0 AS (SELECT site, ts, sum(q) OVER w AS q, count(q) OVER w AS n FROM series WINDOW w AS (PARTITION BY site ORDER BY ts ROWS 2 PRECEDING)),
  idx AS (SELECT site, ts, (q - avg(q) OVER m) / stddev_samp(q) OVER m AS ssi FROM idx0 WHERE n = 3 WINDOW m AS (PARTITION BY site, month(ts)))"""
 
 
@@ -213,7 +219,7 @@ def monthly_mean_std(spark, sf):
 
 @query(f"WITH {SCORES} SELECT site, year, month, round(z, 6) AS z FROM z")
 def standardize(spark, sf):
-    return rounded(stats.standardized(months(spark, sf)))
+    return rounded(stats.standardized(months(spark, sf, whole=True)))
 
 
 @query(f"WITH {MONTHS} SELECT site, year, month, round(q, 6) AS q FROM months")
@@ -225,19 +231,19 @@ def destandardize_roundtrip(spark, sf):
 
 @query(f"WITH {SCORES} SELECT site, hist_idx, month, round(z, 6) AS z FROM z")
 def complete_year_scores(spark, sf):
-    m = months(spark, sf)
+    m = months(spark, sf, whole=True)
     return rounded(kirsch.complete_scores(m, stats.monthly_moments(m)))
 
 
 @query(f"WITH {SCORES} SELECT site, CASE WHEN month <= 6 THEN hist_idx - 1 ELSE hist_idx END AS hist_idx, CASE WHEN month <= 6 THEN month + 6 ELSE month - 6 END AS month, round(z, 6) AS z FROM z WHERE NOT (month <= 6 AND hist_idx = 0) AND NOT (month > 6 AND hist_idx = 5)")
 def half_year_shift(spark, sf):
-    m = months(spark, sf)
+    m = months(spark, sf, whole=True)
     return rounded(kirsch.half_year_shifted(kirsch.complete_scores(m, stats.monthly_moments(m))))
 
 
 @query(f"WITH {SCORES} SELECT a.site, a.month AS m1, b.month AS m2, round(corr(a.z, b.z), 6) AS r FROM z a JOIN z b ON a.site = b.site AND a.hist_idx = b.hist_idx GROUP BY 1, 2, 3")
 def intermonth_corr(spark, sf):
-    m = months(spark, sf)
+    m = months(spark, sf, whole=True)
     return rounded(stats.month_correlations(kirsch.complete_scores(m, stats.monthly_moments(m))))
 
 
@@ -474,7 +480,7 @@ def hashed_draws(spark, sf):
     return spark.range(500).select(F.col("id").alias("k"), F.round(uniform(7, "demo", "id"), 9).alias("u"), F.round(normal(7, "demo", "id"), 6).alias("e"))
 
 
-TAU = MONTHS + """, t AS (SELECT site, month, max(q) AS a, min(q) AS b, median(q) AS c FROM months GROUP BY 1, 2),
+TAU = WHOLE_MONTHS + """, t AS (SELECT site, month, max(q) AS a, min(q) AS b, median(q) AS c FROM months GROUP BY 1, 2),
  tau AS (SELECT site, month, CASE WHEN a + b - 2 * c = 0 THEN 0 ELSE greatest((a * b - c * c) / (a + b - 2 * c), 0) END AS tau FROM t),
  x AS (SELECT site, year, month, CASE WHEN q > tau THEN ln(q - tau) END AS x FROM months JOIN tau USING (site, month))"""
 RHO = TAU + """, k AS (SELECT *, row_number() OVER (PARTITION BY site, month ORDER BY year) AS k FROM x),
@@ -483,18 +489,18 @@ RHO = TAU + """, k AS (SELECT *, row_number() OVER (PARTITION BY site, month ORD
 
 @query(f"WITH {TAU} SELECT site, month, round(tau, 6) AS tau FROM tau")
 def stedinger_tau(spark, sf):
-    return rounded(thomas_fiering.stedinger_tau(months(spark, sf)))
+    return rounded(thomas_fiering.stedinger_tau(months(spark, sf, whole=True)))
 
 
 @query(f"WITH {TAU} SELECT site, year, month, round(x, 6) AS x FROM x")
 def stedinger_norm(spark, sf):
-    m = months(spark, sf)
+    m = months(spark, sf, whole=True)
     return rounded(thomas_fiering.normalized(m, thomas_fiering.stedinger_tau(m)))
 
 
 @query(f"WITH {RHO} SELECT site, month, round(rho, 6) AS rho FROM rho")
 def tf_rho(spark, sf):
-    m = months(spark, sf)
+    m = months(spark, sf, whole=True)
     return rounded(thomas_fiering.month_pair_rho(thomas_fiering.normalized(m, thomas_fiering.stedinger_tau(m))))
 
 
@@ -508,7 +514,7 @@ def tf_rho(spark, sf):
  SELECT realization, site, make_date(1995 + t // 12, t % 12 + 1, 1) AS ts, round(CASE WHEN q < 0 THEN q_min ELSE q END, 3) AS q
  FROM (SELECT realization, path.site, t, exp(CASE WHEN x < 0 THEN x_min ELSE x END) + tau AS q FROM path JOIN tau ON tau.site = path.site AND tau.month = t % 12 + 1 JOIN least_ ON least_.site = path.site) JOIN q_least USING (site)""")
 def tf_generate(spark, sf):
-    return rounded(thomas_fiering.ThomasFieringGenerator().fit(dense(spark, sf)).generate(3, 5, seed=11), 3)
+    return rounded(thomas_fiering.ThomasFieringGenerator().fit(dense(spark, sf, whole=True)).generate(3, 5, seed=11), 3)
 
 
 BOOT = f"boot AS (SELECT CAST(r AS INTEGER) AS realization, CAST(y AS INTEGER) AS syn_year, CAST(m AS INTEGER) AS month, CAST(floor({uniform_sql(repr('3'), repr('boot'), 'r', 'y', 'm')} * 6) AS INTEGER) AS hist_idx FROM range(4) a(r), range(6) b(y), range(1, 13) c(m))"
@@ -521,21 +527,21 @@ def bootstrap_indices(spark, sf):
 
 @query(f"WITH {SCORES}, {BOOT} SELECT realization, site, syn_year, z.month, round(z, 6) AS x FROM boot JOIN z USING (hist_idx, month)")
 def bootstrap_gather(spark, sf):
-    m = months(spark, sf)
+    m = months(spark, sf, whole=True)
     return rounded(kirsch.gathered(kirsch.bootstrap(spark, 4, 5, 6, 3), kirsch.complete_scores(m, stats.monthly_moments(m)), 6))
 
 
 @query()
 def kirsch_monthly(spark, sf):
-    return rounded(kirsch.KirschGenerator().fit(dense(spark, sf)).generate(3, 4, seed=1))
+    return rounded(kirsch.KirschGenerator().fit(dense(spark, sf, whole=True)).generate(3, 4, seed=1))
 
 
 @query()
 def kirsch_nowak_daily(spark, sf):
-    return rounded(nowak.KirschNowakGenerator().fit(dense(spark, sf)).generate(2, 2, seed=1))
+    return rounded(nowak.KirschNowakGenerator().fit(dense(spark, sf, whole=True)).generate(2, 2, seed=1))
 
 
-CANDS = DENSE + f""", padded AS (SELECT site, ts, q FROM dense UNION ALL SELECT d.site, CAST(DATE '{FIRST}' - i * INTERVAL 1 DAY AS DATE), d.q FROM dense d, range(1, 8) t(i) WHERE d.ts = DATE '{FIRST}'
+CANDS = WHOLE + f""", padded AS (SELECT site, ts, q FROM dense UNION ALL SELECT d.site, CAST(DATE '{FIRST}' - i * INTERVAL 1 DAY AS DATE), d.q FROM dense d, range(1, 8) t(i) WHERE d.ts = DATE '{FIRST}'
   UNION ALL SELECT d.site, CAST(DATE '{LAST}' + i * INTERVAL 1 DAY AS DATE), d.q FROM dense d, range(1, 8) t(i) WHERE d.ts = DATE '{LAST}'),
  win AS (SELECT CAST(m AS INTEGER) AS month, CAST(y * 15 + s + 7 AS INTEGER) AS cand, CAST(make_date(1995 + CAST(y AS INTEGER), CAST(m AS INTEGER), 1) + s * INTERVAL 1 DAY AS DATE) AS begins, [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m] AS n FROM range(6) a(y), range(1, 13) b(m), range(-7, 8) c(s)),
  cand_days AS (SELECT w.month, w.cand, CAST(date_diff('day', w.begins, p.ts) + 1 AS INTEGER) AS day, p.site, p.q FROM win w JOIN padded p ON p.ts >= w.begins AND p.ts < w.begins + n * INTERVAL 1 DAY),
@@ -549,34 +555,34 @@ CANDS = DENSE + f""", padded AS (SELECT site, ts, q FROM dense UNION ALL SELECT
 
 
 def _raised(spark, sf):
-    m = cal.resampled(dense(spark, sf), "MS")
+    m = cal.resampled(dense(spark, sf, whole=True), "MS")
     return m.select(F.lit(0).alias("realization"), "site", "ts", (F.col("q") * 1.1).alias("q"))
 
 
 @query(f"WITH {CANDS} SELECT * FROM totals")
 def nowak_candidates(spark, sf):
-    return nowak.candidate_totals(nowak.candidate_days(dense(spark, sf)))
+    return nowak.candidate_totals(nowak.candidate_days(dense(spark, sf, whole=True)))
 
 
 @query(f"WITH {CANDS} SELECT month, cand, site, day, round(p, 9) AS p FROM profile")
 def nowak_profiles(spark, sf):
-    return rounded(nowak.profiles(nowak.candidate_days(dense(spark, sf))), 9)
+    return rounded(nowak.profiles(nowak.candidate_days(dense(spark, sf, whole=True))), 9)
 
 
 @query(f"WITH {CANDS} SELECT realization, ts, month, CAST(rank AS INTEGER) AS rank, cand, round(distance, 4) AS distance FROM near")
 def knn_topk(spark, sf):
-    return rounded(nowak.NowakDisaggregator().fit(dense(spark, sf)).find_neighbors(_raised(spark, sf)).drop("total"), 4)
+    return rounded(nowak.NowakDisaggregator().fit(dense(spark, sf, whole=True)).find_neighbors(_raised(spark, sf)).drop("total"), 4)
 
 
 @query(f"WITH {CANDS} SELECT * FROM pick")
 def knn_weighted_pick(spark, sf):
-    near = nowak.NowakDisaggregator().fit(dense(spark, sf)).find_neighbors(_raised(spark, sf))
+    near = nowak.NowakDisaggregator().fit(dense(spark, sf, whole=True)).find_neighbors(_raised(spark, sf))
     return nowak.picked(near, ["realization", "ts", "month"], "distance_weighted", 9)
 
 
 @query(f"WITH {CANDS}, d AS (SELECT m.realization, m.site, m.ts, m.q, p.day, p.p FROM mon m JOIN pick k ON k.ts = m.ts JOIN profile p ON p.month = k.month AND p.cand = k.cand AND p.site = m.site), e AS (SELECT * FROM d UNION ALL SELECT realization, site, ts, q, 29, p FROM d WHERE month(ts) = 2 AND day = 28 AND day(last_day(ts)) = 29) SELECT realization, site, CAST(ts + (day - 1) * INTERVAL 1 DAY AS DATE) AS ts, round(q * p / sum(p) OVER (PARTITION BY realization, site, ts), 6) AS q FROM e")
 def nowak_disaggregate(spark, sf):
-    return rounded(nowak.NowakDisaggregator().fit(dense(spark, sf)).disaggregate(_raised(spark, sf), seed=9))
+    return rounded(nowak.NowakDisaggregator().fit(dense(spark, sf, whole=True)).disaggregate(_raised(spark, sf), seed=9))
 
 
 @query(f"WITH {MONTHS}, r AS (SELECT site, month, q / ((sum(q) OVER (PARTITION BY site ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) + sum(q) OVER (PARTITION BY site ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 24) AS r, count(*) OVER (PARTITION BY site ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS n FROM (SELECT site, ts, CAST(month(ts) AS INTEGER) AS month, q FROM series)), m AS (SELECT site, month, avg(r) FILTER (n = 13) AS m FROM r GROUP BY 1, 2) SELECT site, month, round(m / avg(m) OVER (PARTITION BY site), 6) AS factor FROM m")
