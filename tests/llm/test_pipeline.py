@@ -1,13 +1,18 @@
 """The pipeline's stages: each works on what its predecessor kept, and its decisions take effect."""
 
+import hashlib
 import random
 import re
 
 import corpus_pipeline
-from tarnflow.llm import decontaminate, exact, simhash, toxicity
+from tarnflow.llm import decontaminate, exact, toxicity
 from tarnflow.llm.common import stored, table
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def ids(df):
     return sorted(r.doc_id for r in df.select("doc_id").collect())
 
@@ -21,6 +26,7 @@ def test_stages(spark, sf):
         kept = stored(stage(spark, before, sf), name)
         if name == "encoding":
             assert ids(kept) == ids(before)
+            assert all(len(r.ids) == r.n_tokens and sha(" ".join(map(str, r.ids))) == r.ids_sha256 for r in kept.collect())
             continue
         assert kept.columns == columns
         rows = {r.doc_id: r.text for r in before.collect()}
@@ -33,7 +39,7 @@ def test_stages(spark, sf):
                 best[k] = min(best.get(k, (0, 1 << 62)), (-len(t or ""), d)) if k in best else (-len(t or ""), d)
             want = [d for _, d in best.values()]
         elif name == "near_dedup":
-            want = [r.doc_id for r in simhash.near_groups(before).collect() if r.doc_id == r.component_id]
+            want = brute_near(list(rows.items()))
         else:
             bad = {r.doc_id for r in decontaminate.contaminated(before, bench).collect()}
             want = [d for d in rows if d not in bad]
