@@ -1,4 +1,4 @@
-"""Standardised streamflow indices: fitted per series and calendar month, applied to the same or to new values."""
+"""Standardised streamflow indices: fitted per series and calendar period, applied to the same or to new values."""
 
 from __future__ import annotations
 
@@ -15,8 +15,29 @@ from .windows import normal_scores, rolling
 KEYS = ["site"]
 
 
-def with_month(sums: DataFrame) -> DataFrame:
-    return sums.withColumn("month", F.month("ts"))
+#: How values are grouped for a fit: the number of a value's period, and how many there are in a cycle.
+PERIODS = {"month": (F.month, 12), "week": (F.weekofyear, 53), "dayofyear": (F.dayofyear, 366), "all": (lambda ts: F.lit(1), 1)}
+
+
+def with_period(sums: DataFrame, freq: str = "month", around: int = 0) -> DataFrame:
+    """sums with their period; with `around`, each value once for every period within so many of its own, round the cycle."""
+    number, cycle = PERIODS[freq]
+    if not around:
+        return sums.withColumn("period", number("ts"))
+    near = F.explode(F.sequence(F.lit(-around), F.lit(around)))
+    return sums.withColumn("_near", near).withColumn("period", F.pmod(number("ts") - 1 + F.col("_near"), F.lit(cycle)) + 1).drop("_near")
+
+
+def normal_params(values: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mu, sigma)."""
+    return values.where("q IS NOT NULL").groupBy(*by).agg(F.avg("q").alias("mu"), F.stddev_samp("q").alias("sigma"))
+
+
+def normal_ssi(sums: DataFrame, by: list[str] = KEYS, params: DataFrame | None = None, freq: str = "month") -> DataFrame:
+    """(by, ts, ssi): standardised values; null where a period has no variance."""
+    keys, values = [*by, "period"], with_period(sums, freq)
+    params = normal_params(values, keys) if params is None else params
+    return values.join(params, keys, "left").select(*by, "ts", F.try_divide(F.col("q") - F.col("mu"), F.col("sigma")).alias("ssi"))
 
 
 def gamma_params(values: DataFrame, by: list[str]) -> DataFrame:
@@ -41,10 +62,10 @@ def pearson3_params(values: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def gamma_ssi(sums: DataFrame, by: list[str] = KEYS, prob_zero: bool = False, params: DataFrame | None = None) -> DataFrame:
+def gamma_ssi(sums: DataFrame, by: list[str] = KEYS, prob_zero: bool = False, params: DataFrame | None = None, freq: str = "month") -> DataFrame:
     """(by, ts, ssi) of (by, ts, q), with params fitted here unless given. With prob_zero, zeros have probability p0."""
-    keys = [*by, "month"]
-    values = with_month(sums)
+    keys = [*by, "period"]
+    values = with_period(sums, freq)
     params = gamma_params(values, keys) if params is None else params
     x = gamma_cdf(F.col("q"), F.col("shape"), F.col("scale"))
     out = values.join(params, keys, "left").withColumn("_f", x)
@@ -52,10 +73,10 @@ def gamma_ssi(sums: DataFrame, by: list[str] = KEYS, prob_zero: bool = False, pa
     return out.withColumn("_p", cdf).select(*by, "ts", norm_ppf("_p").alias("ssi"))
 
 
-def pearson3_ssi(sums: DataFrame, by: list[str] = KEYS, params: DataFrame | None = None, limit: float = 4.0) -> DataFrame:
+def pearson3_ssi(sums: DataFrame, by: list[str] = KEYS, params: DataFrame | None = None, limit: float = 4.0, freq: str = "month") -> DataFrame:
     """(by, ts, ssi), clipped to +-limit. The tail follows the sign of the skew."""
-    keys = [*by, "month"]
-    values = with_month(sums)
+    keys = [*by, "period"]
+    values = with_period(sums, freq)
     params = pearson3_params(values, keys) if params is None else params
     j = values.join(params, keys, "left")
     g = gamma_cdf(F.abs(F.col("q") - F.col("xi")), F.col("alpha"), F.col("beta"))
@@ -68,48 +89,58 @@ def pearson3_ssi(sums: DataFrame, by: list[str] = KEYS, params: DataFrame | None
     return j.withColumn("_p", p).select(*by, "ts", F.least(F.greatest(norm_ppf("_p"), F.lit(-limit)), F.lit(limit)).alias("ssi"))
 
 
-def normal_scores_ssi(sums: DataFrame, by: list[str] = KEYS, train: DataFrame | None = None) -> DataFrame:
-    """(by, ts, ssi) by ranks in the training values of the same month; beyond them it is null."""
-    keys = [*by, "month"]
-    values = with_month(sums)
-    scored = normal_scores(with_month(train if train is not None else sums).select(*keys, "q"), values, keys)
+def normal_scores_ssi(sums: DataFrame, by: list[str] = KEYS, train: DataFrame | None = None, freq: str = "month", around: int = 0) -> DataFrame:
+    """(by, ts, ssi) by ranks in the training values of the same period; beyond them it is null."""
+    keys = [*by, "period"]
+    values = with_period(sums, freq)
+    scored = normal_scores(with_period(train if train is not None else sums, freq, around).select(*keys, "q"), values, keys)
     return scored.select(*by, "ts", norm_ppf("cdf").alias("ssi"))
 
 
 @dataclass
 class SSI:
-    """fit on one record, transform another. dist: gamma, pearson3 or normal_scores; agg_func: sum or mean."""
+    """fit on one record, transform another. dist: gamma, pearson3, normal or normal_scores; agg_func: sum or mean.
+
+    freq says which values are fitted together (see PERIODS; dayofyear for daily series), and fit_window takes those of
+    so many periods before and behind as well.
+    """
 
     window: int = 12
     dist: str = "gamma"
     agg_func: str = "sum"
     prob_zero: bool = False
+    freq: str = "month"
+    fit_window: int = 0
     by: list[str] = field(default_factory=lambda: list(KEYS))
     params: DataFrame | None = None
     train: DataFrame | None = None
 
     def __post_init__(self):
-        if self.dist not in ("gamma", "pearson3", "normal_scores") or self.agg_func not in ("sum", "mean"):
+        if self.dist not in ("gamma", "pearson3", "normal", "normal_scores") or self.agg_func not in ("sum", "mean"):
             raise ValueError(f"unknown dist or agg_func: {self.dist}, {self.agg_func}")
+        if self.freq not in PERIODS or not 0 <= 2 * self.fit_window < max(2, PERIODS[self.freq][1]):
+            raise ValueError(f"unknown freq or too wide a fit_window: {self.freq}, {self.fit_window}")
 
     def sums(self, flow: DataFrame) -> DataFrame:
         return rolling(flow, self.window, self.agg_func, self.by) if self.window > 1 else flow.select(*self.by, "ts", "q")
 
     def fit(self, flow: DataFrame) -> SSI:
         self.train = self.sums(flow)
-        values, keys = with_month(self.train), [*self.by, "month"]
+        values, keys = with_period(self.train, self.freq, self.fit_window), [*self.by, "period"]
         if self.dist != "normal_scores":
-            self.params = (gamma_params if self.dist == "gamma" else pearson3_params)(values, keys)
+            self.params = {"gamma": gamma_params, "pearson3": pearson3_params, "normal": normal_params}[self.dist](values, keys)
         return self
 
     def apply(self, sums: DataFrame) -> DataFrame:
         if self.train is None:
             raise RuntimeError("fit() first")
         if self.dist == "normal_scores":
-            return normal_scores_ssi(sums, self.by, self.train)
+            return normal_scores_ssi(sums, self.by, self.train, self.freq, self.fit_window)
         if self.dist == "gamma":
-            return gamma_ssi(sums, self.by, self.prob_zero, self.params)
-        return pearson3_ssi(sums, self.by, self.params)
+            return gamma_ssi(sums, self.by, self.prob_zero, self.params, self.freq)
+        if self.dist == "normal":
+            return normal_ssi(sums, self.by, self.params, self.freq)
+        return pearson3_ssi(sums, self.by, self.params, freq=self.freq)
 
     def transform(self, flow: DataFrame) -> DataFrame:
         return self.apply(self.sums(flow))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
+from ..operators.calendar import checked_non_negative
 from .base import Generator
 from .kirsch import KirschGenerator
 
@@ -108,7 +109,7 @@ class NowakDisaggregator:
         if {r.site for r in monthly.select("site").distinct().collect()} != self.sites:
             raise ValueError("the monthly flows must have the fitted sites")
         picks = picked(self.find_neighbors(monthly, n_neighbors), ["realization", "ts", "month"], sample_method, seed)
-        return disaggregated(monthly, self.profile, picks)
+        return checked_non_negative(disaggregated(monthly, self.profile, picks))
 
 
 class KirschNowakGenerator(Generator):

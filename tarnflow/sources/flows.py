@@ -53,7 +53,10 @@ def write_ensemble(ensemble: DataFrame, path: str, by: str = "realization") -> N
 
 
 def realization_numbers(ensemble: DataFrame) -> DataFrame:
-    """The distinct realizations; `realization_7` is 7, other text stays."""
+    """The distinct realizations; `realization_7` is 7, other text and whole numbers stay; ValueError for labels of any other type."""
+    kind = dict(ensemble.dtypes)["realization"]
+    if kind not in ("string", "tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"realizations are text or whole numbers, not {kind}")
     name = F.col("realization").cast("string")
     number = F.regexp_extract(name, r"^realization_(\d+)$", 1)
     return ensemble.select(F.when(number != "", number).otherwise(name).alias("realization")).distinct()

@@ -366,3 +366,36 @@ def test_find_scenario_is_whole(spark, sf, monkeypatch):
         with pytest.raises(StopIteration):
             queries.QUERIES[name](spark, sf)
         assert seen.pop("rounds") == 100
+
+
+def test_index_options(spark):
+    """A normal index by day of the year, with neighbouring days in the fit, against numpy; unknown options raise."""
+    rng = np.random.default_rng(8)
+    days = [day(d, dt.date(1999, 1, 1)) for d in range(3 * 365)]
+    q = rng.gamma(2, 3, len(days))
+    flow = spark.createDataFrame([("s", d, float(v)) for d, v in zip(days, q)], FLOW)
+    got = {r.ts: r.ssi for r in ssi.SSI(window=1, dist="normal", freq="dayofyear", fit_window=2).fit_transform(flow).collect()}
+    number = np.array([d.timetuple().tm_yday for d in days])
+    for i in range(0, len(days), 50):
+        apart = np.abs(number - number[i])
+        pool = q[np.minimum(apart, 366 - apart) <= 2]
+        assert abs(got[days[i]] - (q[i] - pool.mean()) / pool.std(ddof=1)) < 1e-9
+    every = {r.ts: r.ssi for r in ssi.SSI(window=1, dist="normal", freq="all").fit_transform(flow).collect()}
+    assert abs(every[days[7]] - (q[7] - q.mean()) / q.std(ddof=1)) < 1e-9
+    for bad in ({"dist": "beta"}, {"freq": "hour"}, {"freq": "month", "fit_window": 6}):
+        with pytest.raises(ValueError):
+            ssi.SSI(**bad)
+    with pytest.raises(ValueError):
+        flows.realization_numbers(spark.createDataFrame([(1.5,)], "realization double"))
+
+
+def test_special_functions_of_arrays():
+    """The array forms against the scalar ones and the standard library."""
+    x = np.concatenate([np.linspace(-12, 12, 241), [np.nan, np.inf, -np.inf]])
+    want = np.array([special.norm_p(v) for v in x])
+    got = special.norm_p_all(x)
+    assert np.allclose(got[:241], want[:241], rtol=1e-11, atol=0) and np.isnan(got[241]) and got[242:].tolist() == [1.0, 0.0]
+    p = np.concatenate([np.logspace(-15, -0.31, 200), 1 - np.logspace(-12, -0.31, 200), [0.5, 0.0, 1.0, np.nan]])
+    assert np.allclose(special.norm_q_all(p), [special.norm_q(v) for v in p], rtol=1e-9, atol=1e-12, equal_nan=True)
+    a, v = (z.ravel() for z in np.meshgrid([0.05, 0.5, 1.0, 3.3, 40.0, 900.0], [0.0, 1e-6, 0.3, 1.0, 4.2, 39.0, 60.0, 950.0]))
+    assert np.allclose(special.gamma_pq(a, v)[0], [special.gamma_p(i, j) for i, j in zip(a, v)], rtol=1e-10, atol=1e-14)
