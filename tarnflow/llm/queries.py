@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact, html_text, pii, secrets, shards, simhash, substrings, toxicity
+from . import bpe, decontaminate, exact, html_text, importance, manifest, mixing, pii, secrets, shards, simhash, substrings, toxicity
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_pii_votes,
         op10_secret_entropy,
+        op11_importance,
+        op12_mixture,
+        op13_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": exact.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
+    "op12_mixture": mixing.ORACLE_SQL,
+    "op13_manifest": manifest.ORACLE_SQL,
+}
