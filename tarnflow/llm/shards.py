@@ -190,8 +190,8 @@ class Shard:
 class Tokens:
     """Texts to ids as bytes by the tokenizers library; each distinct piece of a slice is encoded once, recent ones are remembered.
 
-    Pieces are cut where a byte-level pre-tokenizer always cuts; the library does the rest. Text that spells a special
-    token is text.
+    Pieces are cut where a byte-level pre-tokenizer always cuts, lone spaces; the library does the rest, so text that spells
+    a special token becomes that token. Such a token must not reach over a space: ValueError otherwise.
     """
 
     def __init__(self, path: str, kept: int = 250_000):
@@ -199,9 +199,11 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if "ByteLevel" not in json.loads(self.tokenizer.to_str())["pre_tokenizer"].values():
+        state = json.loads(self.tokenizer.to_str())
+        if "ByteLevel" not in state["pre_tokenizer"].values():
             raise ValueError(f"{path} is not a byte-level tokenizer")
-        self.tokenizer.encode_special_tokens = True
+        if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in state["added_tokens"]):
+            raise ValueError(f"{path} has added tokens that depend on the spaces beside them")
         self.known = Memory(kept)
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
