@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import gamma_cdf, norm_cdf, norm_ppf
+from ..functions.special import digamma, gamma_cdf, given, norm_cdf, norm_ppf, trigamma
 from .stats import l_moments
 from .windows import normal_scores, rolling
 
@@ -40,15 +41,44 @@ def normal_ssi(sums: DataFrame, by: list[str] = KEYS, params: DataFrame | None =
     return values.join(params, keys, "left").select(*by, "ts", F.try_divide(F.col("q") - F.col("mu"), F.col("sigma")).alias("ssi"))
 
 
-def gamma_params(values: DataFrame, by: list[str]) -> DataFrame:
-    """(by, shape, scale, p0): Thom's closed form on positive values; p0 is the share of zeros."""
+def positive_means(values: DataFrame, by: list[str]) -> DataFrame:
+    """(by, m, u, p0): mean of the positive values, the log of it less the mean log, and the share of the others."""
     pos = F.when(F.col("q") > 0, F.col("q"))
     m = values.where("q IS NOT NULL").groupBy(*by).agg(F.avg(pos).alias("m"), F.avg(F.ln(pos)).alias("g"), F.avg((F.col("q") <= 0).cast("double")).alias("p0"))
-    u = F.ln("m") - F.col("g")
-    shape = F.try_divide(1 + F.sqrt(1 + 4 * u / 3), 4 * u)
+    return m.select(*by, "m", (F.ln("m") - F.col("g")).alias("u"), "p0")
+
+
+def gamma_params(values: DataFrame, by: list[str]) -> DataFrame:
+    """(by, shape, scale, p0): Thom's closed form on positive values; p0 is the share of zeros."""
+    m = positive_means(values, by)
+    shape = F.try_divide(1 + F.sqrt(1 + 4 * F.col("u") / 3), 4 * F.col("u"))
     return m.select(*by, shape.alias("shape"), F.try_divide(F.col("m"), shape).alias("scale"), "p0")
 
 
+#: Newton steps on the inverse shape; from Thom's start, which is off by 2 % at most, the error is squared by each.
+STEPS = 6
+
+
+def gamma_ml_params(values: DataFrame, by: list[str]) -> DataFrame:
+    """(by, shape, scale, p0): the most likely gamma distribution of the positive values, at location 0.
+
+    The likelihood depends on their mean and mean log alone, which Spark sums by map-side combining; its maximum, where
+    ln(shape) - digamma(shape) equals the log of the mean less the mean log, is found by a fold of Newton steps for each
+    series and period. Without two different positive values there is none (null).
+    """
+    m = positive_means(values, by)
+
+    def newton(u: Column) -> Column:
+        def step(k: Column, _: Column) -> Column:
+            off = F.ln(k) - digamma(k) - u
+            return 1 / (1 / k + off / (k * k * (1 / k - trigamma(k))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), (1 + F.sqrt(1 + 4 * u / 3)) / (4 * u), step)
+
+    fit = m.withColumn("shape", F.when(F.col("u") > 1e-12, given(F.col("u"), body=newton)))
+    return fit.select(*by, "shape", (F.col("m") / F.col("shape")).alias("scale"), "p0")
+
+
 def pearson3_params(values: DataFrame, by: list[str]) -> DataFrame:
     """(by, alpha, beta, xi, t3, l1, l2) from L-moments, by approximate relations; without skew a normal fits (alpha null)."""
     m = l_moments(values, by)
@@ -62,17 +92,42 @@ def pearson3_params(values: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def gamma_ssi(sums: DataFrame, by: list[str] = KEYS, prob_zero: bool = False, params: DataFrame | None = None, freq: str = "month") -> DataFrame:
-    """(by, ts, ssi) of (by, ts, q), with params fitted here unless given. With prob_zero, zeros have probability p0."""
+@dataclass(frozen=True)
+class Distribution:
+    """A distribution for an index: params(values (by, q), by) fits one row a series and period, and cdf(q) uses its columns.
+
+    With a column p0 among the parameters, the share of zeros, an index may count zeros apart (prob_zero).
+    """
+
+    params: Callable[[DataFrame, list[str]], DataFrame]
+    cdf: Callable[[Column], Column]
+
+
+def _gamma_cdf(q: Column) -> Column:
+    return gamma_cdf(q, F.col("shape"), F.col("scale"))
+
+
+DISTRIBUTIONS = {"gamma": Distribution(gamma_params, _gamma_cdf), "gamma_ml": Distribution(gamma_ml_params, _gamma_cdf)}
+
+
+def distribution_ssi(sums: DataFrame, dist: Distribution, by: list[str] = KEYS, prob_zero: bool = False, params: DataFrame | None = None, freq: str = "month") -> DataFrame:
+    """(by, ts, ssi) of (by, ts, q) by any distribution, fitted here unless params are given.
+
+    With prob_zero, zeros have probability p0. Values of periods without a fit, and those of probability 0 or 1, are null.
+    """
     keys = [*by, "period"]
     values = with_period(sums, freq)
-    params = gamma_params(values, keys) if params is None else params
-    x = gamma_cdf(F.col("q"), F.col("shape"), F.col("scale"))
-    out = values.join(params, keys, "left").withColumn("_f", x)
+    params = dist.params(values, keys) if params is None else params
+    out = values.join(params, keys, "left").withColumn("_f", dist.cdf(F.col("q")))
     cdf = F.when(F.col("q") == 0, F.col("p0")).otherwise(F.col("p0") + (1 - F.col("p0")) * F.col("_f")) if prob_zero else F.col("_f")
     return out.withColumn("_p", cdf).select(*by, "ts", norm_ppf("_p").alias("ssi"))
 
 
+def gamma_ssi(sums: DataFrame, by: list[str] = KEYS, prob_zero: bool = False, params: DataFrame | None = None, freq: str = "month") -> DataFrame:
+    """(by, ts, ssi) by Thom's gamma distribution."""
+    return distribution_ssi(sums, DISTRIBUTIONS["gamma"], by, prob_zero, params, freq)
+
+
 def pearson3_ssi(sums: DataFrame, by: list[str] = KEYS, params: DataFrame | None = None, limit: float = 4.0, freq: str = "month") -> DataFrame:
     """(by, ts, ssi), clipped to +-limit. The tail follows the sign of the skew."""
     keys = [*by, "period"]
@@ -99,14 +154,16 @@ def normal_scores_ssi(sums: DataFrame, by: list[str] = KEYS, train: DataFrame |
 
 @dataclass
 class SSI:
-    """fit on one record, transform another. dist: gamma, pearson3, normal or normal_scores; agg_func: sum or mean.
+    """fit on one record, transform another. agg_func: sum or mean.
+
+    dist: gamma (Thom's closed form), gamma_ml (maximum likelihood), pearson3, normal, normal_scores, or a Distribution.
 
     freq says which values are fitted together (see PERIODS; dayofyear for daily series), and fit_window takes those of
     so many periods before and behind as well.
     """
 
     window: int = 12
-    dist: str = "gamma"
+    dist: str | Distribution = "gamma"
     agg_func: str = "sum"
     prob_zero: bool = False
     freq: str = "month"
@@ -116,11 +173,16 @@ class SSI:
     train: DataFrame | None = None
 
     def __post_init__(self):
-        if self.dist not in ("gamma", "pearson3", "normal", "normal_scores") or self.agg_func not in ("sum", "mean"):
+        known = isinstance(self.dist, Distribution) or self.dist in (*DISTRIBUTIONS, "pearson3", "normal", "normal_scores")
+        if not known or self.agg_func not in ("sum", "mean"):
             raise ValueError(f"unknown dist or agg_func: {self.dist}, {self.agg_func}")
         if self.freq not in PERIODS or not 0 <= 2 * self.fit_window < max(2, PERIODS[self.freq][1]):
             raise ValueError(f"unknown freq or too wide a fit_window: {self.freq}, {self.fit_window}")
 
+    @property
+    def distribution(self) -> Distribution:
+        return self.dist if isinstance(self.dist, Distribution) else DISTRIBUTIONS[self.dist]
+
     def sums(self, flow: DataFrame) -> DataFrame:
         return rolling(flow, self.window, self.agg_func, self.by) if self.window > 1 else flow.select(*self.by, "ts", "q")
 
@@ -128,7 +190,8 @@ class SSI:
         self.train = self.sums(flow)
         values, keys = with_period(self.train, self.freq, self.fit_window), [*self.by, "period"]
         if self.dist != "normal_scores":
-            self.params = {"gamma": gamma_params, "pearson3": pearson3_params, "normal": normal_params}[self.dist](values, keys)
+            fits = {"pearson3": pearson3_params, "normal": normal_params}
+            self.params = (fits[self.dist] if self.dist in fits else self.distribution.params)(values, keys)
         return self
 
     def apply(self, sums: DataFrame) -> DataFrame:
@@ -136,11 +199,11 @@ class SSI:
             raise RuntimeError("fit() first")
         if self.dist == "normal_scores":
             return normal_scores_ssi(sums, self.by, self.train, self.freq, self.fit_window)
-        if self.dist == "gamma":
-            return gamma_ssi(sums, self.by, self.prob_zero, self.params, self.freq)
         if self.dist == "normal":
             return normal_ssi(sums, self.by, self.params, self.freq)
-        return pearson3_ssi(sums, self.by, self.params, freq=self.freq)
+        if self.dist == "pearson3":
+            return pearson3_ssi(sums, self.by, self.params, freq=self.freq)
+        return distribution_ssi(sums, self.distribution, self.by, self.prob_zero, self.params, self.freq)
 
     def transform(self, flow: DataFrame) -> DataFrame:
         return self.apply(self.sums(flow))

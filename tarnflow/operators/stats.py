@@ -109,16 +109,30 @@ def box_stats(flow: DataFrame, by: list[str]) -> DataFrame:
     return flow.join(q, by).groupBy(*by, "q1", "q2", "q3").agg(F.min(F.when(near, F.col("q"))).alias("low"), F.max(F.when(near, F.col("q"))).alias("high"))
 
 
-def rank_sum(flow: DataFrame, sample: str, first: str, by: list[str]) -> DataFrame:
-    """(by, n1, n2, z): Wilcoxon's rank-sum statistic of the sample named `first` against the rest; ties get mean ranks."""
-    w = Window.partitionBy(*by)
-    rank = F.rank().over(w.orderBy("q")) + (F.count("*").over(Window.partitionBy(*by, "q")) - 1) / 2
-    ranked = flow.where("q IS NOT NULL").withColumn("_r", rank).withColumn("_one", (F.col(sample) == first).cast("int"))
+def _rank_sums(flow: DataFrame, first: Column, by: list[str]) -> DataFrame:
+    rank = F.rank().over(Window.partitionBy(*by).orderBy("q")) + (F.count("*").over(Window.partitionBy(*by, "q")) - 1) / 2
+    ranked = flow.where("q IS NOT NULL").withColumn("_r", rank).withColumn("_one", first.cast("int"))
     s = ranked.groupBy(*by).agg(F.sum("_one").alias("n1"), F.sum(1 - F.col("_one")).alias("n2"), F.sum(F.col("_r") * F.col("_one")).alias("s"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     return s.select(*by, "n1", "n2", ((F.col("s") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
 
 
+def rank_sum(flow: DataFrame, sample: str, first: str, by: list[str]) -> DataFrame:
+    """(by, n1, n2, z): Wilcoxon's rank-sum statistic of the sample named `first` against the rest; ties get mean ranks."""
+    return _rank_sums(flow, F.col(sample) == first, by)
+
+
+def rank_sum_pairs(flow: DataFrame, sample: str, by: list[str]) -> DataFrame:
+    """(by, first, second, n1, n2, z): the statistic for each pair of samples, in name order.
+
+    Every row goes to the pairs that its sample is part of; the names of all samples travel as one array.
+    """
+    names = flow.select(sample).distinct().agg(F.collect_list(sample).alias("_names"))
+    other = F.explode(F.array_remove("_names", F.col(sample)))
+    both = flow.crossJoin(F.broadcast(names)).withColumn("_other", other).withColumn("first", F.least(sample, "_other")).withColumn("second", F.greatest(sample, "_other"))
+    return _rank_sums(both, F.col(sample) == F.col("first"), [*by, "first", "second"])
+
+
 def levene(flow: DataFrame, sample: str, by: list[str]) -> DataFrame:
     """(by, k, n, w): Levene's statistic about the samples' medians; its p-value is f_sf(w, k - 1, n - k)."""
     centre = flow.groupBy(*by, sample).agg(F.median("q").alias("_m"))

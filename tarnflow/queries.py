@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.rng import normal, uniform
 from .operators import calendar as cal
 from .operators import drought, ensemble, ssi, stats, windows
-from .plans import autoregression, find, hmm, kirsch, nowak, thomas_fiering
+from .plans import autoregression, hmm, kirsch, nowak, thomas_fiering
 from .sources import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,31 @@ def normal_sql(seed: int, stream: str, *keys: str) -> str:
     return f"(sqrt(-2 * ln({uniform_sql(repr(str(seed)), repr(stream + 'u'), *keys)})) * cos(2 * pi() * {uniform_sql(repr(str(seed)), repr(stream + 'v'), *keys)}))"
 
 
+def gamma_p_sql(a: str, x: str) -> str:
+    """The regularised lower incomplete gamma function as a sum of Poisson-like terms."""
+    term = f"lambda j_: exp(({a} + j_) * ln({x}) - {x} - lgamma({a} + j_ + 1))"
+    return f"CASE WHEN {x} <= 0 THEN 0.0 ELSE list_sum(list_transform(range(CAST(80 + greatest({x} - {a}, 0) + 12 * sqrt({x}) AS BIGINT)), {term})) END"
+
+
+def norm_cdf_sql(z: str) -> str:
+    return f"(0.5 + sign({z}) * 0.5 * ({gamma_p_sql('0.5', f'({z} * {z} / 2)')}))"
+
+
+def norm_ppf_sql(p: str) -> str:
+    """Newton steps from the middle, which approach the quantile from within."""
+    return f"CASE WHEN {p} > 0 AND {p} < 1 THEN list_reduce([0.0::DOUBLE] || list_transform(range(40), lambda i: {p}), lambda z, p: z - ({norm_cdf_sql('z')} - p) * sqrt(2 * pi()) * exp(z * z / 2)) END"
+
+
+def f_sf_sql(f: str, d1: str, d2: str) -> str:
+    """The incomplete beta function's power series, from the side where it converges fast."""
+
+    def series(a: str, b: str, x: str) -> str:
+        return f"list_sum(list_transform(range(3000), lambda j_: exp(lgamma({a} + {b} + j_) - lgamma({b}) - lgamma({a} + j_ + 1) + ({a} + j_) * ln({x}) + {b} * ln(1 - {x}))))"
+
+    a, b, x = f"({d2} / 2.0)", f"({d1} / 2.0)", f"({d2} / ({d2} + {d1} * {f}))"
+    return f"CASE WHEN {x} >= 1 THEN 1.0 WHEN {x} > ({a} + 1) / ({a} + {b} + 2) THEN 1 - {series(b, a, f'(1 - {x})')} ELSE {series(a, b, x)} END"
+
+
 def index(spark: SparkSession, sf: str) -> DataFrame:
     """A standardised index: trailing three-month sums as z scores by calendar month."""
     sums = windows.rolling(monthly_series(spark, sf), 3)
@@ -362,6 +387,10 @@ def zscore_index(spark, sf):
     return rounded(index(spark, sf))
 
 
+def events_sql(by: str) -> str:
+    return EVENTS.replace("PARTITION BY site", f"PARTITION BY {by}").replace("SELECT site, min(ts)", f"SELECT {by}, min(ts)").replace("GROUP BY site, g", f"GROUP BY {by}, g")
+
+
 EVENTS = """, runs AS (SELECT *, sum(CASE WHEN ssi < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY site ORDER BY ts) AS g, max(CASE WHEN ssi >= 0 OR ssi IS NULL THEN ts END) OVER (PARTITION BY site) AS over FROM idx),
  found AS (SELECT site, min(ts) AS first_day, max(ts) AS "end", count(*) AS duration, sum(ssi) AS magnitude, min(ssi) AS severity, max(CASE WHEN ssi <= -1 THEN ts END) AS critical_day FROM runs WHERE ssi < 0 GROUP BY site, g, over HAVING min(ssi) <= -1 AND max(ts) < over)"""
 
@@ -391,7 +420,7 @@ def l_moments(spark, sf):
     return rounded(stats.l_moments(months(spark, sf), ["site", "month"]))
 
 
-@query(f"WITH {MONTHS}, m AS (SELECT site, month, avg(q) FILTER (q > 0) AS m, ln(avg(q) FILTER (q > 0)) - avg(ln(q)) FILTER (q > 0) AS u, avg(CASE WHEN q <= 0 THEN 1.0 ELSE 0.0 END) AS p0 FROM months GROUP BY 1, 2), k AS (SELECT *, (1 + sqrt(1 + 4 * u / 3)) / (4 * u) AS k FROM m) SELECT site, month, round(k, 4) AS shape, round(m / k, 4) AS scale, p0 FROM k")
+@query(f"WITH {MONTHS}, m AS (SELECT site, month, avg(q) FILTER (q > 0) AS m, ln(avg(q) FILTER (q > 0)) - avg(ln(q)) FILTER (q > 0) AS u, avg(CASE WHEN q <= 0 THEN 1.0 ELSE 0.0 END) AS p0 FROM months GROUP BY 1, 2), k AS (SELECT *, (1 + sqrt(1 + 4 * u / 3)) / (4 * u) AS k FROM m) SELECT site, month, round(k, 4) AS shape, round(m / k, 4) AS scale, round(p0, 4) AS p0 FROM k")
 def gamma_thom_params(spark, sf):
     return rounded(ssi.gamma_params(months(spark, sf), ["site", "month"]), 4)
 
@@ -401,22 +430,61 @@ def pearson3_params(spark, sf):
     return rounded(ssi.pearson3_params(months(spark, sf), ["site", "month"]), 3)
 
 
-@query()
+SUMS3 = MONTHS + ", sums3 AS (SELECT site, ts, sum(q) OVER w AS q FROM series WINDOW w AS (PARTITION BY site ORDER BY ts ROWS 2 PRECEDING) QUALIFY count(*) OVER w = 3)"
+THOM = """SELECT {by}, month(ts) AS month, avg(q) FILTER (q > 0) AS m, ln(avg(q) FILTER (q > 0)) - avg(ln(q)) FILTER (q > 0) AS u, avg(CASE WHEN q <= 0 THEN 1.0 ELSE 0.0 END) AS p0 FROM {sums} GROUP BY ALL"""
+
+
+def _gamma_index(sums: str, by: str) -> str:
+    """The index of a table of sums, by Thom's gamma distribution, as table idx."""
+    return f""", means AS ({THOM.format(by=by, sums=sums)}), fits AS (SELECT *, (1 + sqrt(1 + 4 * u / 3)) / (4 * u) AS k FROM means),
+ probs AS (SELECT {", ".join("s." + c for c in by.split(", "))}, ts, {gamma_p_sql("k", "(q * k / m)")} AS p FROM {sums} s JOIN fits f ON f.month = month(s.ts) AND {" AND ".join(f"f.{c} = s.{c}" for c in by.split(", "))}),
+ idx AS (SELECT {by}, ts, {norm_ppf_sql("p")} AS ssi FROM probs)"""
+
+
+@query(f"WITH {SUMS3}{_gamma_index('sums3', 'site')} SELECT site, ts, round(ssi, 6) AS ssi FROM idx")
 def ssi_gamma(spark, sf):
     return rounded(ssi.SSI(window=3).fit_transform(monthly_series(spark, sf)))
 
 
-@query()
+#: Digamma and trigamma by recurrence to 20 beyond, and their asymptotic series there.
+PSI = "(ln(k + 20) - 0.5 / (k + 20) - 1 / (12 * pow(k + 20, 2)) + 1 / (120 * pow(k + 20, 4)) - 1 / (252 * pow(k + 20, 6)) - list_sum(list_transform(range(20), lambda i: 1 / (k + i))))"
+PSI1 = "(1 / (k + 20) + 0.5 / pow(k + 20, 2) + 1 / (6 * pow(k + 20, 3)) - 1 / (30 * pow(k + 20, 5)) + 1 / (42 * pow(k + 20, 7)) + list_sum(list_transform(range(20), lambda i: 1 / pow(k + i, 2))))"
+ML = f""", newton(site, month, m, u, p0, step, k) AS (
+  SELECT site, month, m, u, p0, 0, 0.5 / u FROM means WHERE u > 1e-12
+  UNION ALL SELECT site, month, m, u, p0, step + 1, greatest(k - (ln(k) - {PSI} - u) / (1 / k - {PSI1}), k / 2) FROM newton WHERE step < 60)"""
+
+
+@query(f"WITH RECURSIVE {MONTHS}, means AS ({THOM.format(by='site', sums='series')}){ML} SELECT site, CAST(month AS INTEGER) AS month, round(k, 4) AS shape, round(m / k, 4) AS scale, round(p0, 4) AS p0 FROM newton WHERE step = 60")
+def gamma_ml_params(spark, sf):
+    return rounded(ssi.gamma_ml_params(months(spark, sf), ["site", "month"]), 4)
+
+
+@query(f"WITH RECURSIVE {SUMS3}, means AS ({THOM.format(by='site', sums='sums3')}){ML}, probs AS (SELECT s.site, s.ts, {gamma_p_sql('k', '(q * k / m)')} AS p FROM sums3 s JOIN newton f ON f.site = s.site AND f.month = month(s.ts) WHERE step = 60) SELECT site, ts, round({norm_ppf_sql('p')}, 6) AS ssi FROM probs")
+def ssi_gamma_ml(spark, sf):
+    return rounded(ssi.SSI(window=3, dist="gamma_ml").fit_transform(monthly_series(spark, sf)))
+
+
+LMOM3 = LMOM.replace("FROM months", "FROM (SELECT site, month(ts) AS month, q FROM sums3)")
+
+
+@query(f"""WITH {SUMS3}{LMOM3}, pars AS (SELECT *, l3 / l2 AS t3, 4 / pow(l3 / l2, 2) AS a, 0.5 * l2 * abs(l3 / l2) AS b, l1 - 2 * l2 / (l3 / l2) AS xi FROM l),
+ cdfs AS (SELECT s.site, s.ts, CASE WHEN abs(t3) < 1e-6 THEN {norm_cdf_sql("((q - l1) / (l2 * sqrt(pi())))")} WHEN t3 > 0 THEN CASE WHEN q > xi THEN {gamma_p_sql("a", "((q - xi) / b)")} ELSE 0 END ELSE CASE WHEN q < xi THEN 1 - ({gamma_p_sql("a", "((xi - q) / b)")}) ELSE 1 END END AS f FROM sums3 s JOIN pars p ON p.site = s.site AND p.month = month(s.ts)),
+ inner_ AS (SELECT site, ts, least(greatest(f, 1e-12), 1 - 1e-12) AS p FROM cdfs)
+SELECT site, ts, round(least(greatest({norm_ppf_sql("p")}, -4.0), 4.0), 6) AS ssi FROM inner_""")
 def ssi_pearson3(spark, sf):
     return rounded(ssi.SSI(window=3, dist="pearson3").fit_transform(monthly_series(spark, sf)))
 
 
-@query()
+@query(f"WITH {SUMS3}, cdfs AS (SELECT a.site, a.ts, (count(*) FILTER (b.q < a.q) + 0.5) / count(*) AS p FROM sums3 a JOIN sums3 b ON b.site = a.site AND month(b.ts) = month(a.ts) GROUP BY a.site, a.ts, a.q) SELECT site, ts, round({norm_ppf_sql('p')}, 6) AS ssi FROM cdfs")
 def normal_scores_ssi(spark, sf):
     return rounded(ssi.SSI(window=3, dist="normal_scores").fit_transform(monthly_series(spark, sf)))
 
 
-@query()
+@query(f"""WITH {MEMBERS}, m AS (SELECT realization, site, date_trunc('month', ts)::DATE AS ts, sum(q) AS q FROM members GROUP BY 1, 2, 3),
+ sums6 AS (SELECT realization, site, ts, sum(q) OVER w AS q FROM m WINDOW w AS (PARTITION BY realization, site ORDER BY ts ROWS 5 PRECEDING) QUALIFY count(*) OVER w = 6),
+ cut AS (SELECT * FROM sums6 WINDOW w AS (PARTITION BY realization, site) QUALIFY row_number() OVER (PARTITION BY realization, site ORDER BY ts) BETWEEN 2 AND count(*) OVER w - 6)
+ {_gamma_index("cut", "realization, site")}{events_sql("realization, site")}
+SELECT realization, site, CAST(row_number() OVER (PARTITION BY realization, site ORDER BY "end") AS INTEGER) AS drought_id, critical_day AS "start", "end", duration, round(magnitude, 6) AS magnitude, round(severity, 6) AS severity FROM found""")
 def drought_events_from_flows(spark, sf):
     m = cal.resampled(members(spark, sf), "MS", by=["realization", "site"])
     return rounded(drought.flow_events(m, 6, ssi.gamma_ssi, ["realization", "site"]))
@@ -430,22 +498,33 @@ def site_pairs_dispersion(spark, sf):
 # ---- tests
 
 
-@query(f"WITH {MONTHS}, t AS (SELECT year % 2 AS half, site, month, q FROM months WHERE site IN ('L1', 'L2')), r AS (SELECT month, site, rank() OVER (PARTITION BY month ORDER BY q) + (count(*) OVER (PARTITION BY month, q) - 1) / 2 AS r FROM t), s AS (SELECT month, count(*) FILTER (site = 'L1') AS n1, count(*) FILTER (site = 'L2') AS n2, sum(r) FILTER (site = 'L1') AS s FROM r GROUP BY 1) SELECT month, n1, n2, round((s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 6) AS z FROM s")
+PAIRS = MONTHS + """, pairs AS (SELECT m.month, least(m.site, o.site) AS first_site, greatest(m.site, o.site) AS second_site, m.site, m.q FROM months m JOIN (SELECT DISTINCT site FROM months) o ON o.site <> m.site),
+ ranks AS (SELECT *, rank() OVER (PARTITION BY month, first_site, second_site ORDER BY q) + (count(*) OVER (PARTITION BY month, first_site, second_site, q) - 1) / 2 AS r FROM pairs),
+ rank_sums AS (SELECT month, first_site, second_site, count(*) FILTER (site = first_site) AS n1, count(*) FILTER (site = second_site) AS n2, sum(r) FILTER (site = first_site) AS s FROM ranks GROUP BY 1, 2, 3),
+ wilcoxon AS (SELECT month, first_site, second_site, n1, n2, (s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z FROM rank_sums)"""
+
+
+@query(f'WITH {PAIRS} SELECT month, first_site AS "first", second_site AS "second", n1, n2, round(z, 6) AS z FROM wilcoxon')
 def rank_sum(spark, sf):
-    return rounded(stats.rank_sum(months(spark, sf).where("site IN ('L1', 'L2')"), "site", "L1", ["month"]))
+    return rounded(stats.rank_sum_pairs(months(spark, sf), "site", ["month"]))
+
 
+LEVENE = """, c AS (SELECT *, abs(q - median(q) OVER (PARTITION BY month, site)) AS d FROM months), g AS (SELECT month, site, count(*) AS c, avg(d) AS a, sum(d * d) AS s FROM c GROUP BY 1, 2), h AS (SELECT month, count(*) AS k, CAST(sum(c) AS BIGINT) AS n, sum(c * a) AS t, sum(c * a * a) AS b, sum(s) AS s FROM g GROUP BY 1),
+ levene AS (SELECT month, k, n, (n - k) / (k - 1) * (b - t * t / n) / (s - b) AS w FROM h)"""
 
-@query(f"WITH {MONTHS}, c AS (SELECT *, abs(q - median(q) OVER (PARTITION BY month, site)) AS d FROM months), g AS (SELECT month, site, count(*) AS c, avg(d) AS a, sum(d * d) AS s FROM c GROUP BY 1, 2), h AS (SELECT month, count(*) AS k, CAST(sum(c) AS BIGINT) AS n, sum(c * a) AS t, sum(c * a * a) AS b, sum(s) AS s FROM g GROUP BY 1) SELECT month, k, n, round((n - k) / (k - 1) * (b - t * t / n) / (s - b), 6) AS w FROM h")
+
+@query(f"WITH {MONTHS}{LEVENE} SELECT month, k, n, round(w, 6) AS w FROM levene")
 def levene_stat(spark, sf):
     return rounded(stats.levene(months(spark, sf), "site", ["month"]))
 
 
-@query()
+@query(f"""WITH {PAIRS}{LEVENE} SELECT month, first_site AS "first", second_site AS "second", round(2 * {norm_cdf_sql("(-abs(z))")}, 6) AS rank_sum_p, round({f_sf_sql("w", "(k - 1)", "(n - k)")}, 6) AS levene_p FROM wilcoxon JOIN levene USING (month)""")
 def test_p_values(spark, sf):
     from .functions.special import f_sf, norm_cdf
 
-    r = rank_sum(spark, sf).select("month", (2 * norm_cdf(-F.abs("z"))).alias("rank_sum_p"))
-    v = levene_stat(spark, sf).select("month", f_sf(F.col("w"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")).alias("levene_p"))
+    m = months(spark, sf)
+    r = stats.rank_sum_pairs(m, "site", ["month"]).select("month", "first", "second", (2 * norm_cdf(-F.abs("z"))).alias("rank_sum_p"))
+    v = stats.levene(m, "site", ["month"]).select("month", f_sf(F.col("w"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")).alias("levene_p"))
     return rounded(r.join(v, "month"))
 
 
@@ -621,8 +700,3 @@ def hmm_generate(spark, sf):
 @query()
 def hmm_states(spark, sf):
     return hmm.HMMGenerator().fit(monthly_series(spark, sf)).states.select("site", "ts", "state")
-
-
-@query()
-def find_scenario(spark, sf):
-    return rounded(find.FINDGenerator().fit(monthly_series(spark, sf)).generate(2, seed=2), 4)

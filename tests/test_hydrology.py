@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions import rng, special
 from tarnflow.operators import calendar as cal
 from tarnflow.operators import drought, ensemble, ssi, stats, windows
-from tarnflow.plans import autoregression, find, hmm, kirsch, nowak, thomas_fiering
+from tarnflow.plans import autoregression, hmm, kirsch, nowak, thomas_fiering
 from tarnflow.sources import flows
 from tarnflow.streaming.totals import streamed_totals
 
@@ -39,12 +40,76 @@ def monthly(hist):
     return cal.resampled(hist, "MS").cache()
 
 
-def test_special_functions():
-    assert abs(special.gamma_p(1.0, 2.0) - (1 - math.exp(-2))) < 1e-14
-    assert abs(special.gamma_p(0.5, 3.0) - math.erf(math.sqrt(3))) < 1e-13
-    assert abs(special.gamma_p(2.0, 9.0) - (1 - 10 * math.exp(-9))) < 1e-13
-    assert abs(special.beta_i(2, 3, 0.4) - sum(math.comb(4, k) * 0.4**k * 0.6 ** (4 - k) for k in range(2, 5))) < 1e-13
-    assert abs(special.norm_p(special.norm_q(0.123)) - 0.123) < 1e-12 and math.isnan(special.norm_q(1.2))
+def brute_gamma_p(a, x):
+    """A sum of Poisson-like terms."""
+    if x <= 0 or math.isinf(x):
+        return float(x > 0)
+    return min(1.0, math.fsum(math.exp((a + k) * math.log(x) - x - math.lgamma(a + k + 1)) for k in range(int(80 + max(x - a, 0) + 12 * math.sqrt(x)))))
+
+
+def brute_beta_i(a, b, x):
+    if x > (a + 1) / (a + b + 2):
+        return 1 - brute_beta_i(b, a, 1 - x)
+    return math.fsum(math.exp(math.lgamma(a + b + k) - math.lgamma(b) - math.lgamma(a + k + 1) + (a + k) * math.log(x) + b * math.log1p(-x)) for k in range(4000)) if x > 0 else 0.0
+
+
+def test_special_functions(spark):
+    """Against the standard library and sums of other series; arguments outside a domain give null."""
+    c, nan, inf = F.col, math.nan, math.inf
+    x = [-30.0, -8.0, -7.1, -7.0, -5.0, -1.0, -0.1, 0.0, 0.1, 2.5, 6.0, 7.2, 40.0, inf, -inf, nan, None]
+    for r in spark.createDataFrame([(v,) for v in x], "x double").select("x", special.norm_cdf(c("x")).alias("p")).collect():
+        assert r.p is None if r.x is None or math.isnan(r.x) else math.isclose(r.p, 0.5 * math.erfc(-r.x / math.sqrt(2)), rel_tol=1e-8, abs_tol=1e-15) and abs(r.p - 0.5 * math.erfc(-r.x / math.sqrt(2))) < 1e-14
+    p = [1e-300, 1e-20, 1e-5, 0.01, 0.3, 0.4999, 0.5, 0.51, 0.999, 1 - 1e-12, 0.0, 1.0, -1.0, 2.0, nan, None]
+    for r in spark.createDataFrame([(v,) for v in p], "p double").select("p", special.norm_ppf("p").alias("z")).collect():
+        assert abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-8 if r.p and 0 < r.p < 1 else r.z is None
+    points = [(float(a), float(v)) for a in (0.02, 0.5, 1, 3.3, 40, 900, 25_000) for v in (0, 1e-6, 0.3, 1, 1.6, 4.4, 39, 41.5, 60, 905, 24_800, 25_002.5)] + [(1.0, inf)]
+    columns = [special.gamma_p(c("a"), c("x")).alias("p"), special.gamma_q(c("a"), c("x")).alias("q"), special.lgamma(c("a")).alias("l")]
+    for r in spark.createDataFrame(points, "a double, x double").select("a", "x", *columns).collect():
+        assert abs(r.p - brute_gamma_p(r.a, r.x)) < 1e-10 and abs(r.p + r.q - 1) < 1e-12 and math.isclose(r.l, math.lgamma(r.a), rel_tol=1e-13, abs_tol=1e-13)
+    betas = [(a, b, v) for a in (0.5, 2.0, 35.0, 3000.0) for b in (0.5, 3.0, 500.0) for v in (0.0, 1e-3, 0.2, 0.77, 0.93, 1.0)]
+    for r in spark.createDataFrame(betas, "a double, b double, x double").select("*", special.beta_i(c("a"), c("b"), c("x")).alias("p")).collect():
+        assert abs(r.p - (1.0 if r.x == 1 else brute_beta_i(r.a, r.b, r.x))) < 1e-10
+    euler = 0.5772156649015329
+    one = spark.range(1).select(*[f(F.lit(v)) for f, v in ((special.digamma, 1.0), (special.digamma, 0.5), (special.trigamma, 1.0), (special.trigamma, 0.5))]).first()
+    assert np.allclose(one, [-euler, -euler - 2 * math.log(2), math.pi**2 / 6, math.pi**2 / 2], rtol=1e-14)
+    bad = spark.range(1).select(special.gamma_p(F.lit(-1.0), F.lit(1.0)), special.gamma_p(F.lit(1.0), F.lit(-1.0)), special.lgamma(F.lit(0.0)), special.beta_i(F.lit(0.0), F.lit(1.0), F.lit(0.5)), special.gamma_cdf(F.lit(1.0), F.lit(1.0), F.lit(0.0)))
+    assert list(bad.first()) == [None] * 5
+    huge = spark.range(1).select(special.gamma_p(F.lit(9e8), F.lit(9e8 + 3e4)), special.gamma_p(F.lit(1.1e9), F.lit(1.1e9 + math.sqrt(1.1e9)))).first()
+    assert abs(huge[0] - huge[1]) < 1e-5 and abs(huge[0] - NormalDist().cdf(1)) < 1e-5
+    assert "Python" not in spark.range(1).select(special.f_sf(F.lit(2.0), F.lit(3.0), F.lit(9.0)))._jdf.queryExecution().toString()
+
+
+def test_gamma_by_maximum_likelihood(spark):
+    """The fold of Newton steps finds the maximum of the likelihood that a search over shapes finds."""
+    rng = np.random.default_rng(5)
+    samples = {f"s{i}": np.maximum(rng.gamma(k, 3, n), 1e-9) for i, (k, n) in enumerate([(0.05, 40), (0.7, 9), (2, 2), (30, 50), (5000, 30)])}
+    rows = [(s, float(v)) for s, vs in samples.items() for v in vs] + [("s1", 0.0), ("s1", -1.0), ("s1", None), ("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", 0.0)]
+    got = {r.site: r for r in ssi.gamma_ml_params(spark.createDataFrame(rows, "site string, q double"), ["site"]).collect()}
+    for s, vs in samples.items():
+        mean, mean_log = vs.mean(), np.log(vs).mean()
+
+        def likelihood(k):
+            return (k - 1) * mean_log - k - k * math.log(mean / k) - math.lgamma(k)
+
+        low, high = 1e-3, 1e6
+        for _ in range(200):  # golden sections of the log shape
+            a, b = low * (high / low) ** 0.382, low * (high / low) ** 0.618
+            low, high = (low, b) if likelihood(a) > likelihood(b) else (a, high)
+        assert math.isclose(got[s].shape, low, rel_tol=1e-4) and math.isclose(got[s].scale, mean / got[s].shape, rel_tol=1e-12)
+        assert likelihood(got[s].shape) >= likelihood(low) - 1e-10 * abs(likelihood(low))
+    assert got["s1"].p0 == 2 / 11 and [got[s].shape for s in ("one", "same", "none")] == [None] * 3 and got["none"].p0 == 1
+
+
+def test_own_distribution(spark, monthly):
+    """A distribution of the user's own: log-normal, against numpy."""
+    def params(values, by):
+        return values.where("q > 0").groupBy(*by).agg(F.avg(F.ln("q")).alias("mu"), F.stddev_samp(F.ln("q")).alias("sigma"))
+
+    own = ssi.Distribution(params, lambda q: special.norm_cdf((F.ln(q) - F.col("mu")) / F.col("sigma")))
+    got = {(r.site, r.ts): r.ssi for r in ssi.SSI(window=1, dist=own).fit_transform(monthly).collect()}
+    rows = [(r.site, r.ts, r.q) for r in monthly.collect()]
+    x = np.log([q for s, ts, q in rows if s == "B" and ts.month == 3])
+    assert all(abs(got[s, ts] - (math.log(q) - x.mean()) / x.std(ddof=1)) < 1e-6 for s, ts, q in rows if s == "B" and ts.month == 3)
 
 
 def test_draws_do_not_depend_on_partitions(spark):
@@ -83,12 +148,36 @@ def test_drought_start_rules(spark):
     assert round(first.magnitude, 6) == -3.3 and last.start == day(2)
 
 
+def dry_spells(values, least=3, end_after=3):
+    """(first, last + 1) by walking: a state, a start and two counters."""
+    spells, dry, start, stop, against, count = [], False, 0, 0, 0, 0
+    for i, v in enumerate(values):
+        if not dry:
+            if v < 0:
+                start = i if count == 0 else start
+                count, against = count + 1, max(0, against - 1)
+                if count >= least:
+                    dry, count, against = True, 0, 0
+            else:
+                count, against = max(0, count - 1), against + 1
+                if against > 6:
+                    count = against = 0
+        elif v < 0:
+            stop = i if against == 0 else stop
+            against = max(0, against - 1)
+        else:
+            stop = i if against == 0 else stop
+            against += 1
+            if against >= end_after:
+                spells.append((start, stop))
+                dry, count, against = False, 0, 0
+    return spells + ([(start, len(values))] if dry else [])
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.sampled_from([-2.0, -1.0, 0.5, 1.0]), max_size=40))
 def test_hysteresis(spark, values):
-    chain = find.Chain.__new__(find.Chain)
-    chain.o = find.Options()
-    want = [(day(a), day(b - 1), b - a) for a, b, _ in chain.droughts(np.array(values))]
+    want = [(day(a), day(b - 1), b - a) for a, b in dry_spells(values) if b > a and np.mean(values[a:b]) < -0.6]
     df = spark.createDataFrame([("s", day(i), v) for i, v in enumerate(values)], "site string, ts date, ssi double")
     assert sorted((r.start, r.end, r.duration) for r in drought.hysteresis(df).collect()) == want
 
@@ -267,22 +356,6 @@ def test_autoregression(spark):
     assert all(abs(r.q - (5 + 0.1 * (79 + r.step) + ((79 + r.step) % 4) * 2)) < 0.2 for r in t.collect())
 
 
-def test_find(monthly):
-    g = find.FINDGenerator(n_years=15, n_iterations=15, n_temp_reductions=3).fit(monthly.where("site IN ('A', 'B')"), target_frequency=2)
-    out = g.generate(2, seed=1)
-    assert out.count() == 2 * 2 * 180 and out.where("q IS NULL OR q < 0").count() == 0
-    assert sorted(out.collect()) == sorted(g.generate(2, seed=1).collect())
-
-
-def test_annealing_improves(monthly):
-    obs = np.array([r.q for r in monthly.where("site = 'A'").orderBy("ts").collect()])
-    c = find.Chain(obs, find.Options(n_years=15, n_iterations=30, n_temp_reductions=3), np.random.default_rng(0))
-    c.describe()
-    x = c.initial()
-    aim = (-1.2, 10.0, 3.0)
-    assert c.objective(c.anneal(x, lambda v: c.objective(v, aim)), aim) <= c.objective(x, aim)
-
-
 def test_ensemble_files(spark, tmp_path):
     rows = [(r, s, day(i), float(r * 10 + i)) for r in (3, 7, 9) for s in "AB" for i in range(3)]
     e = spark.createDataFrame(rows, "realization int, site string, ts date, q double")
@@ -342,21 +415,11 @@ def test_diagnostics(spark):
     assert same.count() == 0
 
 
-def test_find_scenario_is_whole(spark, sf, monkeypatch):
-    """find_scenario reads all seven sites and anneals with the default options; the HMM queries iterate as often as by default."""
+def test_hmm_queries_iterate_by_default(spark, sf, monkeypatch):
     from tarnflow import queries
 
     seen = {}
 
-    def generate(self, n_realizations=1, n_years=None, seed=0):
-        seen["options"], seen["years"] = self.o, n_years
-        seen["sites"] = {r.site for r in self.monthly.select("site").distinct().collect()}
-        return self.monthly
-
-    monkeypatch.setattr(find.FINDGenerator, "generate", generate)
-    queries.QUERIES["find_scenario"](spark, sf)
-    assert seen == {"options": find.Options(), "years": None, "sites": {f"L{n}" for n in range(1, 8)}}
-
     def fit(self, monthly):
         seen["rounds"] = self.rounds
         raise StopIteration
@@ -387,15 +450,3 @@ def test_index_options(spark):
             ssi.SSI(**bad)
     with pytest.raises(ValueError):
         flows.realization_numbers(spark.createDataFrame([(1.5,)], "realization double"))
-
-
-def test_special_functions_of_arrays():
-    """The array forms against the scalar ones and the standard library."""
-    x = np.concatenate([np.linspace(-12, 12, 241), [np.nan, np.inf, -np.inf]])
-    want = np.array([special.norm_p(v) for v in x])
-    got = special.norm_p_all(x)
-    assert np.allclose(got[:241], want[:241], rtol=1e-11, atol=0) and np.isnan(got[241]) and got[242:].tolist() == [1.0, 0.0]
-    p = np.concatenate([np.logspace(-15, -0.31, 200), 1 - np.logspace(-12, -0.31, 200), [0.5, 0.0, 1.0, np.nan]])
-    assert np.allclose(special.norm_q_all(p), [special.norm_q(v) for v in p], rtol=1e-9, atol=1e-12, equal_nan=True)
-    a, v = (z.ravel() for z in np.meshgrid([0.05, 0.5, 1.0, 3.3, 40.0, 900.0], [0.0, 1e-6, 0.3, 1.0, 4.2, 39.0, 60.0, 950.0]))
-    assert np.allclose(special.gamma_pq(a, v)[0], [special.gamma_p(i, j) for i, j in zip(a, v)], rtol=1e-10, atol=1e-14)

@@ -23,12 +23,12 @@ def plain(v):
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10]
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 5) + 0.0
+        return "nan" if math.isnan(v) else v + 0.0
     return v
 
 
 def close(a, b):
-    return all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-3 * max(1e-3, abs(x)) ) for x, y in zip(a, b))
+    return all(x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-6 * max(1.0, abs(x))) for x, y in zip(a, b))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -46,9 +46,8 @@ def test_oracle(spark, sf, db, name):
 def test_runs(spark, sf, name):
     got = queries.QUERIES[name](spark, sf)
     assert got.columns
-    if name != "find_scenario":  # its 9,000 steps a chain take minutes; test_find runs it with fewer
-        rows = got.collect()
-        assert rows and not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
+    rows = got.collect()
+    assert rows and not any(isinstance(v, float) and math.isnan(v) for r in rows for v in r)
 
 
 def test_flows_lose_nothing(spark, sf):
