@@ -87,8 +87,9 @@ def resampled(flow: DataFrame, freq: str, agg: str = "sum", by: list[str] = KEYS
     out = flow.groupBy(*by, LABELS[freq](F.col("ts")).alias("ts")).agg(value.alias("q"))
     if not fill:
         return out
-    step = {"D": "1 day", "W-SUN": "7 days", "MS": "1 month", "AS": "1 year"}[freq]
-    spine = out.groupBy(*by).agg(F.explode(F.expr(f"sequence(min(ts), max(ts), interval {step})")).alias("ts"))
+    step = {"D": "1 day", "W-SUN": "7 days", "MS": "1 month", "M": "1 month", "AS": "1 year", "A": "1 year"}[freq]
+    begin = "trunc(min(ts), 'month')" if freq == "M" else "trunc(min(ts), 'year')" if freq == "A" else "min(ts)"  # from first days, as month ends differ in length
+    spine = out.groupBy(*by).agg(F.explode(F.expr(f"sequence({begin}, max(ts), interval {step})")).alias("ts")).withColumn("ts", LABELS[freq](F.col("ts")))
     return spine.join(out, [*by, "ts"], "left").withColumn("q", F.coalesce("q", F.lit(0.0)) if agg == "sum" else F.col("q"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .windows import rolling_trimmed
 
 KEYS = ["site"]
@@ -83,3 +84,24 @@ def hysteresis(ssi: DataFrame, by: list[str] = KEYS, least: int = 3, end_after:
     mean = F.aggregate(inside, F.lit(0.0), lambda a, x: a + x["ssi"]) / F.size(inside)
     out = found.select(*by, F.get("v", F.col("e.start"))["ts"].alias("start"), F.get("v", F.col("e.stop") - 1)["ts"].alias("end"), (F.col("e.stop") - F.col("e.start")).cast("long").alias("duration"), mean.alias("intensity"))
     return out.where(F.col("intensity") < intensity)
+
+
+def outside(series: DataFrame, spans: DataFrame, by: list[str] = KEYS, bucket: int = 128) -> DataFrame:
+    """The rows of series (by, ts, ...) on days that no span (by, start, end; both days inside) covers.
+
+    A span is laid over the buckets of `bucket` days that it touches, so a row meets only spans of its own bucket.
+    """
+    number = lambda day: F.floor(F.unix_date(day) / bucket)
+    laid = spans.where("start <= end").select(*by, "start", "end", F.explode(F.sequence(number(F.col("start")), number(F.col("end")))).alias("_bucket"))
+    s, e = series.withColumn("_bucket", number(F.col("ts"))).alias("s"), laid.alias("e")
+    same = F.col("s.ts").between(F.col("e.start"), F.col("e.end")) & (F.col("s._bucket") == F.col("e._bucket"))
+    for c in by:
+        same = same & (F.col(f"s.{c}") == F.col(f"e.{c}"))
+    return s.join(e, same, "left_anti").drop("_bucket")
+
+
+def calm_quartiles(ssi: DataFrame, spans: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """(by, q1, q2, q3) of the index on days outside droughts; a series that is all drought has no row."""
+    calm = outside(ssi.where("ssi IS NOT NULL").select(*by, "ts", F.col("ssi").alias("q")), spans, by)
+    q = quantiles(calm, [0.25, 0.5, 0.75], by)
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("i") == k, F.col("q"))).alias(f"q{k + 1}") for k in range(3)])

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 KEYS = ["site"]
 SEASONS = {"dayofyear": F.dayofyear, "week": F.weekofyear, "month": F.month}
 
@@ -35,18 +37,29 @@ def month_correlations(z: DataFrame, by: list[str] = KEYS, year: str = "hist_idx
     return a.join(b, [*by, year]).groupBy(*by, "m1", "m2").agg(F.corr("x", "y").alias("r"))
 
 
+def site_pairs(flow: DataFrame, itself: bool) -> DataFrame:
+    """(ts, site1, site2, x, y) for the pairs of sites in name order (with themselves, if wanted) that share a date.
+
+    A date's values travel once, as one array, and the upper triangle is made of it where it stands; the sums by pair that
+    follow are combined before they are sent. Dates, not pairs, are shuffled.
+    """
+    rows = flow.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("site", "q"))).alias("_v"))
+    first = rows.select("ts", "_v", F.posexplode("_v").alias("_i", "_a"))
+    second = F.explode(F.slice("_v", F.col("_i") + (1 if itself else 2), F.size("_v")))
+    pairs = first.select("ts", "_a", second.alias("_b"))
+    return pairs.select("ts", F.col("_a.site").alias("site1"), F.col("_b.site").alias("site2"), F.col("_a.q").alias("x"), F.col("_b.q").alias("y"))
+
+
 def site_correlations(flow: DataFrame) -> DataFrame:
     """(site1, site2, r) for all ordered pairs of sites, over their common dates."""
-    a = flow.select("ts", F.col("site").alias("site1"), F.col("q").alias("x"))
-    b = flow.select("ts", F.col("site").alias("site2"), F.col("q").alias("y"))
-    return a.join(b, "ts").groupBy("site1", "site2").agg(F.corr("x", "y").alias("r"))
+    half = site_pairs(flow, True).groupBy("site1", "site2").agg(F.corr("x", "y").alias("r"))
+    turned = F.when(F.col("site1") == F.col("site2"), F.array(F.struct("site1", "site2"))).otherwise(F.array(F.struct("site1", "site2"), F.struct(F.col("site2").alias("site1"), F.col("site1").alias("site2"))))
+    return half.select(F.explode(turned).alias("_p"), "r").select("_p.site1", "_p.site2", "r")
 
 
 def site_dispersions(ssi: DataFrame) -> DataFrame:
     """(site1, site2, dispersion): summed squared differences for each pair of sites in name order."""
-    a = ssi.select("ts", F.col("site").alias("site1"), F.col("q").alias("x"))
-    b = ssi.select("ts", F.col("site").alias("site2"), F.col("q").alias("y"))
-    return a.join(b, "ts").where("site1 < site2").groupBy("site1", "site2").agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("dispersion"))
+    return site_pairs(ssi, False).groupBy("site1", "site2").agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("dispersion"))
 
 
 def autocorrelation(flow: DataFrame, lags: list[int], by: list[str] = KEYS) -> DataFrame:
@@ -64,9 +77,8 @@ def probabilities(n: int = 50, low: float = 0.0001, high: float = 0.9999) -> lis
 
 
 def flow_duration(flow: DataFrame, p: list[float], by: list[str] = KEYS) -> DataFrame:
-    """(by, i, p, q): exact quantiles, linearly interpolated."""
-    out = flow.groupBy(*by).agg(F.percentile("q", F.array(*map(F.lit, p))).alias("v"))
-    return out.select(*by, F.posexplode("v").alias("i", "q")).withColumn("p", F.get(F.array(*map(F.lit, p)), F.col("i")))
+    """(by, i, p, q): exact quantiles, linearly interpolated; a series may be of any length."""
+    return quantiles(flow, p, by)
 
 
 def annual_duration_envelope(flow: DataFrame, p: list[float], by: list[str] = KEYS) -> DataFrame:
@@ -125,11 +137,11 @@ def rank_sum(flow: DataFrame, sample: str, first: str, by: list[str]) -> DataFra
 def rank_sum_pairs(flow: DataFrame, sample: str, by: list[str]) -> DataFrame:
     """(by, first, second, n1, n2, z): the statistic for each pair of samples, in name order.
 
-    Every row goes to the pairs that its sample is part of; the names of all samples travel as one array.
+    Every row goes to the pairs that its sample is part of; the names of a group's samples travel as one array.
     """
-    names = flow.select(sample).distinct().agg(F.collect_list(sample).alias("_names"))
+    names = flow.where("q IS NOT NULL").groupBy(*by).agg(F.collect_set(sample).alias("_names"))
     other = F.explode(F.array_remove("_names", F.col(sample)))
-    both = flow.crossJoin(F.broadcast(names)).withColumn("_other", other).withColumn("first", F.least(sample, "_other")).withColumn("second", F.greatest(sample, "_other"))
+    both = flow.join(names, by).withColumn("_other", other).withColumn("first", F.least(sample, "_other")).withColumn("second", F.greatest(sample, "_other"))
     return _rank_sums(both, F.col(sample) == F.col("first"), [*by, "first", "second"])
 
 
@@ -162,13 +174,72 @@ def kernel_density(flow: DataFrame, points: int, by: list[str] = KEYS) -> DataFr
     return rows.groupBy(*by, "x").agg((F.sum(kernel) / F.first("n")).alias("density"))
 
 
-def stationary(transition: list[list[float]]) -> list[float]:
-    """The distribution that a transition matrix keeps."""
-    import numpy as np
+def binned_density(flow: DataFrame, points: int, bins: int = 400, by: list[str] = KEYS) -> DataFrame:
+    """(by, x, density): as `kernel_density`, from counts on a grid of `bins` steps, for series of any length.
+
+    Each value gives its two neighbours on the grid shares by its distance to them (linear binning); kernels then run over
+    the grid, bins x points terms a series, so the rows meet no grid point but those two. The error is of the order of the
+    squared ratio of a step to the bandwidth. A series of one value, or of equal ones, has no density.
+    """
+    some = flow.where("q IS NOT NULL")
+    ends = some.groupBy(*by).agg(F.min("q").alias("a"), F.max("q").alias("b"), F.count("*").alias("n"), F.stddev_samp("q").alias("s")).where("b > a")
+    ends = ends.withColumn("h", F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).withColumn("d", (F.col("b") - F.col("a")) / bins)
+    at = (F.col("q") - F.col("a")) / F.col("d")
+    left = F.least(F.floor(at), F.lit(bins - 1)).cast("int")
+    placed = some.join(ends, by).select(*by, at.alias("_at"), left.alias("_k"))
+    sums = placed.groupBy(*by, "_k").agg(F.sum(F.col("_k") + 1 - F.col("_at")).alias("_l"), F.sum(F.col("_at") - F.col("_k")).alias("_r"))
+    shares = F.explode(F.array(F.struct(F.col("_k").alias("k"), F.col("_l").alias("w")), F.struct((F.col("_k") + 1).alias("k"), F.col("_r").alias("w"))))
+    grid = sums.select(*by, shares.alias("_g")).groupBy(*by, F.col("_g.k").alias("k")).agg(F.sum("_g.w").alias("w"))
+    weights = grid.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("_g")).join(ends, by)  # bins + 1 entries at most
+    x = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / (points - 1))
+    each = weights.select(*by, "_g", "a", "d", "h", "n", F.explode(x).alias("x"))
+    z = lambda g: (F.col("x") - F.col("a") - g["k"] * F.col("d")) / F.col("h")
+    total = F.aggregate("_g", F.lit(0.0), lambda acc, g: acc + g["w"] * F.exp(-0.5 * z(g) * z(g)))
+    return each.select(*by, "x", (total / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def stationary(transition: Column, doublings: int = 40) -> Column:
+    """The distribution that a transition matrix (rows of probabilities) keeps.
+
+    The chain that stays where it is every other step keeps the same one and always settles; it is squared `doublings` times.
+    Where several distributions are kept, the one reached from the first state is given.
+    """
+
+    def squared(m: Column) -> Column:
+        columns = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda j: F.transform(m, lambda row: F.get(row, j)))
+        dot = lambda row, column: F.aggregate(F.zip_with(row, column, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+        return F.transform(m, lambda row: F.transform(columns, lambda column: dot(row, column)))
+
+    def rescaled(m: Column) -> Column:
+        return F.transform(m, lambda row: F.transform(row, lambda v: v / F.aggregate(row, F.lit(0.0), lambda s, x: s + x)))
 
-    p = np.array(transition)
-    a = np.vstack([p.T - np.eye(len(p)), np.ones(len(p))])
-    return np.linalg.lstsq(a, np.append(np.zeros(len(p)), 1.0), rcond=None)[0].tolist()
+    lazy = F.transform(transition, lambda row, i: F.transform(row, lambda v, j: v / 2 + F.when(i == j, 0.5).otherwise(0.0)))
+    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(doublings)), lazy, lambda m, _: rescaled(squared(m))), F.lit(0))
+
+
+def transitions(states: DataFrame, n: int, by: list[str] = KEYS) -> DataFrame:
+    """(by, p): the matrix of shares of moves between the states 0 to n - 1 of (by, ts, state); a state never left stays."""
+    w = Window.partitionBy(*by).orderBy("ts")
+    moves = states.select(*by, F.col("state").alias("i"), F.lead("state").over(w).alias("j")).where("i IS NOT NULL AND j IS NOT NULL")
+    cells = [F.count_if((F.col("i") == i) & (F.col("j") == j)).alias(f"c{i}_{j}") for i in range(n) for j in range(n)]
+    counted = moves.groupBy(*by).agg(*cells)
+
+    def row(i: int) -> Column:
+        total = sum((F.col(f"c{i}_{j}") for j in range(1, n)), F.col(f"c{i}_0"))
+        return F.array(*[F.when(total > 0, F.col(f"c{i}_{j}") / total).otherwise(float(i == j)) for j in range(n)])
+
+    return counted.select(*by, F.array(*map(row, range(n))).alias("p"))
+
+
+def mixture_density(parts: DataFrame, points: int, by: list[str] = KEYS, reach: float = 4.0) -> DataFrame:
+    """(by, x, density): the mixture of the normal distributions of parts (by, weights, mu, sd: arrays), on a grid that
+    covers all of them `reach` standard deviations wide. Parts without spread are left out."""
+    low = F.array_min(F.zip_with("mu", "sd", lambda m, s: m - reach * s))
+    high = F.array_max(F.zip_with("mu", "sd", lambda m, s: m + reach * s))
+    grid = parts.select(*by, F.filter(F.arrays_zip("weights", "mu", "sd"), lambda k: k["sd"] > 0).alias("_k"), low.alias("_a"), high.alias("_b"))
+    x = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_a") + (F.col("_b") - F.col("_a")) * i / (points - 1)))
+    term = lambda k: k["weights"] * F.exp(-0.5 * F.pow((F.col("x") - k["mu"]) / k["sd"], 2)) / (k["sd"] * math.sqrt(2 * math.pi))
+    return grid.select(*by, "_k", x.alias("x")).select(*by, "x", F.aggregate("_k", F.lit(0.0), lambda s, k: s + term(k)).alias("density"))
 
 
 def deseasonalized(monthly: DataFrame, by: list[str] = KEYS) -> DataFrame:

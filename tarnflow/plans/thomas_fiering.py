@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import normal
 from ..operators.calendar import monthly_totals
+from ..operators.recursion import affine_path
 from .base import Generator
 
 
@@ -57,25 +58,24 @@ class ThomasFieringGenerator(Generator):
         return self
 
     def generate(self, n_realizations: int = 1, n_years: int | None = None, seed: int = 0) -> DataFrame:
-        """Monthly (realization, site, ts, q). The recursion folds over each series; realizations are rows."""
+        """Monthly (realization, site, ts, q). A month's value is an affine map of the one before; the maps are composed over
+        blocks, so a long series is no single row or task."""
         self.check_fitted()
         months = 12 * (n_years or 1)
-        fields = F.struct("month", "mu", "sigma", "rho", "tau")
-        p = self.params.groupBy("site").agg(F.array_sort(F.collect_list(fields)).alias("p"), F.min("x_min").alias("x_min"), F.first("q_min").alias("q_min"), F.first("first_year").alias("first_year"))
-        series = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_realizations - 1))).alias("realization"))
-        noise = F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda t: F.struct(t.alias("t"), normal(seed, "tf", F.col("realization"), F.col("site"), t).alias("e")))
-        rho_of = (lambda m, before: m["rho"]) if self.rho == "reference" else (lambda m, before: before["rho"])
-
-        def step(a, x):
-            m, before = F.get("p", F.pmod(x["t"], F.lit(12))), F.get("p", F.pmod(x["t"] + 11, F.lit(12)))
-            r = rho_of(m, before)
-            later = m["mu"] + r * m["sigma"] / before["sigma"] * (a["x"] - before["mu"]) + F.sqrt(1 - r * r) * m["sigma"] * x["e"]
-            value = F.when(x["t"] == 0, m["mu"] + m["sigma"] * x["e"]).otherwise(later)
-            return F.struct(value.alias("x"), F.concat(a["out"], F.array(value)).alias("out"))
-
-        zero = F.struct(F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("out"))
-        paths = series.select("*", F.posexplode(F.aggregate(noise, zero, step, lambda a: a["out"])).alias("t", "x"))
-        x = F.when(F.col("x") < 0, F.col("x_min")).otherwise(F.col("x"))
-        q = F.exp(x) + F.get("p", F.pmod(F.col("t"), F.lit(12)))["tau"]
-        ts = F.make_date(F.col("first_year") + F.floor(F.col("t") / 12).cast("int"), F.pmod(F.col("t"), F.lit(12)) + 1, F.lit(1))
-        return paths.select("realization", "site", ts.alias("ts"), F.when(q < 0, F.col("q_min")).otherwise(q).alias("q"))
+        p = self.params
+        before = p.select("site", (F.pmod("month", F.lit(12)) + 1).alias("month"), F.col("mu").alias("mu0"), F.col("sigma").alias("sigma0"), F.col("rho").alias("rho0"))
+        least = p.groupBy("site").agg(F.min("x_min").alias("x_least"))
+        monthly = p.join(before, ["site", "month"]).join(least, "site")
+        series = monthly.withColumn("realization", F.explode(F.sequence(F.lit(0), F.lit(n_realizations - 1))))
+        steps = series.where(F.col("month") <= months).withColumn("t", F.explode(F.sequence(F.col("month") - 1, F.lit(months - 1), F.lit(12))))
+        r, e = F.col("rho" if self.rho == "reference" else "rho0"), normal(seed, "tf", F.col("realization"), F.col("site"), F.col("t"))
+        slope = r * F.col("sigma") / F.col("sigma0")
+        first = F.col("t") == 0
+        a = F.when(first, F.lit(0.0)).otherwise(slope)
+        b = F.when(first, F.col("mu") + F.col("sigma") * e).otherwise(F.col("mu") - slope * F.col("mu0") + F.sqrt(1 - r * r) * F.col("sigma") * e)
+        paths = affine_path(steps.select("realization", "site", "t", a.alias("a"), b.alias("b")), ["realization", "site"], months)
+        facts = p.join(least, "site").select("site", (F.col("month") - 1).alias("_m"), "tau", "x_least", "q_min", "first_year")
+        out = paths.withColumn("_m", F.pmod("t", F.lit(12))).join(facts, ["site", "_m"])
+        q = F.exp(F.when(F.col("x") < 0, F.col("x_least")).otherwise(F.col("x"))) + F.col("tau")
+        ts = F.make_date(F.col("first_year") + F.floor(F.col("t") / 12).cast("int"), F.col("_m") + 1, F.lit(1))
+        return out.select("realization", "site", ts.alias("ts"), F.when(q < 0, F.col("q_min")).otherwise(q).alias("q"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.rng import normal, uniform
 from .operators import calendar as cal
-from .operators import drought, ensemble, ssi, stats, windows
+from .operators import drought, ensemble, quantiles, ssi, stats, windows
 from .plans import autoregression, hmm, kirsch, nowak, thomas_fiering
 from .sources import flows
 
@@ -45,9 +45,7 @@ def flow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    q = flow(spark, sf)
-    first, last = (FIRST, LAST) if whole else map(str, q.agg(F.min("ts"), F.max("ts")).first())
-    return flows.densified(q, first, last)
+    return flows.densified(flow(spark, sf), *(FIRST, LAST) if whole else ())
 
 
 def by_flag(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,9 +143,12 @@ def positive_flow(spark, sf):
     return cal.positive(dense(spark, sf))
 
 
-@query(f"WITH {DENSE}, n AS (SELECT site, ts, nullif(q, 0) AS q FROM dense) SELECT * FROM n WHERE site IN (SELECT site FROM n GROUP BY 1 HAVING count(*) = count(q))")
+@query("WITH e AS (SELECT event_type || ' ' || hour(ts) AS site, CAST(ts AS DATE) AS ts, sum(value) AS q FROM events GROUP BY 1, 2), d AS (SELECT DISTINCT site FROM e), n AS (SELECT d.site, t.ts, round(e.q, 4) AS q FROM d CROSS JOIN (SELECT DISTINCT ts FROM e) t LEFT JOIN e ON e.site = d.site AND e.ts = t.ts) SELECT * FROM n WHERE site IN (SELECT site FROM n GROUP BY 1 HAVING count(*) = count(q))")
 def sites_without_gaps(spark, sf):
-    return cal.sites_without_gaps(cal.zero_to_null(dense(spark, sf)))
+    """Sites are event types by hour, some of which have an event every day."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    daily = e.groupBy(F.concat_ws(" ", "event_type", F.hour("ts")).alias("site"), F.to_date("ts").alias("ts")).agg(F.sum("value").alias("q"))
+    return rounded(cal.sites_without_gaps(flows.densified(daily, fill=None)), 4)
 
 
 @query(f"WITH {DENSE}, n AS (SELECT site, ts, nullif(q, 0) AS q FROM dense) SELECT * FROM n WHERE ts IN (SELECT ts FROM n GROUP BY 1 HAVING count(*) = count(q))")
@@ -337,6 +338,15 @@ def histogram_density(spark, sf):
     return rounded(stats.histogram(months(spark, sf), 10))
 
 
+@query(f"""WITH {DENSE}, e AS (SELECT site, min(q) AS a, (max(q) - min(q)) / 200 AS d, count(*) AS n, stddev_samp(q) * pow(count(*), -0.2) AS h FROM dense GROUP BY 1),
+ at_ AS (SELECT site, a, d, n, h, (q - a) / d AS u, least(floor((q - a) / d), 199) AS k FROM dense JOIN e USING (site)),
+ g AS (SELECT site, a, d, n, h, k, sum(w) AS w FROM (SELECT site, a, d, n, h, k, k + 1 - u AS w FROM at_ UNION ALL SELECT site, a, d, n, h, k + 1, u - k FROM at_) GROUP BY ALL)
+SELECT site, round(a + 200 * d * i / 49, 6) AS x, round(sum(w * exp(-0.5 * pow((200 * d * i / 49 - k * d) / h, 2))) / (n * h * sqrt(2 * pi())), 8) AS density FROM g, range(50) t(i) GROUP BY site, a, d, n, h, i""")
+def binned_density(spark, sf):
+    b = stats.binned_density(dense(spark, sf), 50, 200)
+    return b.select("site", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+
+
 @query(f"WITH {MONTHS}, e AS (SELECT site, min(q) AS a, max(q) AS b, count(*) AS n, stddev_samp(q) * pow(count(*), -0.2) AS h FROM months GROUP BY 1), g AS (SELECT *, a + (b - a) * i / 19 AS x FROM e, range(20) t(i)) SELECT site, round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - q) / h, 2)) / (h * sqrt(2 * pi()))) / n, 6) AS density FROM g JOIN months USING (site) GROUP BY site, x, n")
 def kernel_density(spark, sf):
     return rounded(stats.kernel_density(months(spark, sf), 20))
@@ -405,7 +415,64 @@ def drought_events_by_realization(spark, sf):
     return rounded(drought.events_of_ensemble(index(spark, sf), ["site"]))
 
 
-@query()
+@query(f"""WITH {INDEX}{EVENTS}, calm AS (SELECT * FROM idx WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.site = idx.site AND idx.ts BETWEEN first_day AND found."end")),
+ v AS (SELECT site, quantile_cont(ssi, [0.25, 0.5, 0.75]) AS v FROM calm GROUP BY 1) SELECT site, round(v[1], 6) AS q1, round(v[2], 6) AS q2, round(v[3], 6) AS q3 FROM v""")
+def calm_quartiles(spark, sf):
+    i = index(spark, sf)
+    return rounded(drought.calm_quartiles(i, drought.events(i).select("site", "start", "end")))
+
+
+DRAWS = uniform_sql(repr("13"), repr("ecdf"), "site", "month", "CAST(r AS INTEGER)")
+
+
+@query(f"""WITH {MONTHS}, k AS (SELECT site, month, row_number() OVER (PARTITION BY site, month ORDER BY q) / (count(*) OVER (PARTITION BY site, month) + 1) AS x, q AS y FROM months),
+ u AS (SELECT site, month, CAST(r AS INTEGER) AS realization, {DRAWS} AS p FROM (SELECT DISTINCT site, month FROM months), range(40) t(r)),
+ low AS (SELECT u.*, k.x AS x0, k.y AS y0 FROM u ASOF LEFT JOIN k ON k.site = u.site AND k.month = u.month AND u.p >= k.x),
+ both_ AS (SELECT low.*, k.x AS x1, k.y AS y1 FROM low ASOF LEFT JOIN k ON k.site = low.site AND k.month = low.month AND low.p <= k.x)
+SELECT site, month, realization, round(p, 9) AS p, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (p - x0) / (x1 - x0) END, 6) AS q FROM both_""")
+def inverse_ecdf_draws(spark, sf):
+    m = months(spark, sf)
+    asked = m.select("site", "month").distinct().select("site", "month", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("realization"))
+    got = quantiles.inverse_ecdf(m, asked.withColumn("p", uniform(13, "ecdf", "site", "month", "realization")), ["site", "month"])
+    return got.select("site", "month", "realization", F.round("p", 9).alias("p"), F.round("q", 6).alias("q"))
+
+
+#: Wet and dry months of the index, as states 0 and 1.
+STATES = INDEX + """, states AS (SELECT site, ts, CASE WHEN ssi < 0 THEN 1 ELSE 0 END AS state, ssi FROM idx),
+ moves AS (SELECT site, state AS i, lead(state) OVER (PARTITION BY site ORDER BY ts) AS j FROM states),
+ off AS (SELECT site, avg(j) FILTER (i = 0) AS p01, 1 - avg(j) FILTER (i = 1) AS p10 FROM moves WHERE j IS NOT NULL GROUP BY 1)"""
+
+
+def _states(spark, sf):
+    return index(spark, sf).select("site", "ts", (F.col("ssi") < 0).cast("int").alias("state"), "ssi")
+
+
+@query(f"WITH {STATES} SELECT site, round(p10 / (p01 + p10), 6) AS wet, round(p01 / (p01 + p10), 6) AS dry FROM off")
+def stationary_states(spark, sf):
+    p = stats.transitions(_states(spark, sf), 2).select("site", stats.stationary(F.col("p")).alias("w"))
+    return rounded(p.select("site", F.get("w", F.lit(0)).alias("wet"), F.get("w", F.lit(1)).alias("dry")))
+
+
+@query(f"""WITH {STATES}, m AS (SELECT site, avg(ssi) FILTER (state = 0) AS m0, avg(ssi) FILTER (state = 1) AS m1, stddev_samp(ssi) FILTER (state = 0) AS s0, stddev_samp(ssi) FILTER (state = 1) AS s1 FROM states GROUP BY 1),
+ g AS (SELECT *, least(m0 - 4 * s0, m1 - 4 * s1) + (greatest(m0 + 4 * s0, m1 + 4 * s1) - least(m0 - 4 * s0, m1 - 4 * s1)) * i / 39 AS x FROM m JOIN off USING (site), range(40) t(i))
+SELECT site, round(x, 6) AS x, round((p10 / s0 * exp(-0.5 * pow((x - m0) / s0, 2)) + p01 / s1 * exp(-0.5 * pow((x - m1) / s1, 2))) / ((p01 + p10) * sqrt(2 * pi())), 6) AS density FROM g""")
+def mixture_density(spark, sf):
+    s = _states(spark, sf)
+    parts = s.groupBy("site").agg(*[F.array(*[f(F.when(F.col("state") == k, F.col("ssi"))) for k in (0, 1)]).alias(n) for f, n in ((F.avg, "mu"), (F.stddev_samp, "sd"))])
+    weighed = parts.join(stats.transitions(s, 2).select("site", stats.stationary(F.col("p")).alias("weights")), "site")
+    return rounded(stats.mixture_density(weighed, 40))
+
+
+@query(f"""WITH RECURSIVE {INDEX}, rows_ AS (SELECT site, ts, ssi, coalesce(ssi < 0, false) AS low, CAST(row_number() OVER (PARTITION BY site ORDER BY ts) - 1 AS INTEGER) AS i, count(*) OVER (PARTITION BY site) AS n FROM idx),
+ walk(site, i, dry, begun, stop, pos, neg, ended) AS (
+  SELECT site, -1, false, 0, 0, 0, 0, false FROM rows_ WHERE i = 0
+  UNION ALL
+  SELECT site, i, CASE WHEN dry THEN NOT ends ELSE low AND neg + 1 >= 3 END, CASE WHEN NOT dry AND low AND neg = 0 THEN i ELSE begun END, CASE WHEN dry AND pos = 0 THEN i ELSE stop END,
+   CASE WHEN dry THEN CASE WHEN ends THEN 0 ELSE up END WHEN low AND neg + 1 >= 3 OR NOT low AND up > 6 THEN 0 ELSE up END,
+   CASE WHEN dry THEN CASE WHEN ends THEN 0 ELSE neg END WHEN low AND neg + 1 >= 3 OR NOT low AND up > 6 THEN 0 WHEN low THEN neg + 1 ELSE greatest(neg - 1, 0) END, dry AND ends
+  FROM (SELECT w.site, r.i, w.dry, w.begun, w.stop, w.pos, w.neg, r.low, CASE WHEN r.low THEN greatest(w.pos - 1, 0) ELSE w.pos + 1 END AS up, w.dry AND NOT r.low AND w.pos + 1 >= 3 AS ends FROM walk w JOIN rows_ r ON r.site = w.site AND r.i = w.i + 1)),
+ spells AS (SELECT site, begun, stop FROM walk WHERE ended UNION ALL SELECT w.site, begun, n FROM walk w JOIN rows_ r ON r.site = w.site AND r.i = w.i WHERE w.dry AND w.i = n - 1)
+SELECT s.site, min(ts) AS "start", max(ts) AS "end", count(*) AS duration, round(avg(ssi), 6) AS intensity FROM spells s JOIN rows_ r ON r.site = s.site AND r.i >= begun AND r.i < stop GROUP BY s.site, begun, stop HAVING avg(ssi) < -0.3""")
 def drought_hysteresis(spark, sf):
     return rounded(drought.hysteresis(index(spark, sf), intensity=-0.3))
 
@@ -498,7 +565,7 @@ def site_pairs_dispersion(spark, sf):
 # ---- tests
 
 
-PAIRS = MONTHS + """, pairs AS (SELECT m.month, least(m.site, o.site) AS first_site, greatest(m.site, o.site) AS second_site, m.site, m.q FROM months m JOIN (SELECT DISTINCT site FROM months) o ON o.site <> m.site),
+PAIRS = MONTHS + """, pairs AS (SELECT m.month, least(m.site, o.site) AS first_site, greatest(m.site, o.site) AS second_site, m.site, m.q FROM months m JOIN (SELECT DISTINCT site, month FROM months) o ON o.month = m.month AND o.site <> m.site),
  ranks AS (SELECT *, rank() OVER (PARTITION BY month, first_site, second_site ORDER BY q) + (count(*) OVER (PARTITION BY month, first_site, second_site, q) - 1) / 2 AS r FROM pairs),
  rank_sums AS (SELECT month, first_site, second_site, count(*) FILTER (site = first_site) AS n1, count(*) FILTER (site = second_site) AS n2, sum(r) FILTER (site = first_site) AS s FROM ranks GROUP BY 1, 2, 3),
  wilcoxon AS (SELECT month, first_site, second_site, n1, n2, (s - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z FROM rank_sums)"""
@@ -554,9 +621,10 @@ def resampled_history(spark, sf):
 # ---- generators
 
 
-@query(f"SELECT id AS k, round({uniform_sql(repr('7'), repr('demo'), 'id')}, 9) AS u, round({normal_sql(7, 'demo', 'id')}, 6) AS e FROM range(500) t(id)")
+@query(f"SELECT o_orderkey AS k, round({uniform_sql(repr('7'), repr('demo'), 'o_orderkey')}, 9) AS u, round({normal_sql(7, 'demo', 'o_orderkey')}, 6) AS e FROM orders")
 def hashed_draws(spark, sf):
-    return spark.range(500).select(F.col("id").alias("k"), F.round(uniform(7, "demo", "id"), 9).alias("u"), F.round(normal(7, "demo", "id"), 6).alias("e"))
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return orders.select(F.col("o_orderkey").alias("k"), F.round(uniform(7, "demo", "o_orderkey"), 9).alias("u"), F.round(normal(7, "demo", "o_orderkey"), 6).alias("e"))
 
 
 TAU = WHOLE_MONTHS + """, t AS (SELECT site, month, max(q) AS a, min(q) AS b, median(q) AS c FROM months GROUP BY 1, 2),
@@ -599,9 +667,15 @@ def tf_generate(spark, sf):
 BOOT = f"boot AS (SELECT CAST(r AS INTEGER) AS realization, CAST(y AS INTEGER) AS syn_year, CAST(m AS INTEGER) AS month, CAST(floor({uniform_sql(repr('3'), repr('boot'), 'r', 'y', 'm')} * 6) AS INTEGER) AS hist_idx FROM range(4) a(r), range(6) b(y), range(1, 13) c(m))"
 
 
-@query(f"WITH {BOOT} SELECT * FROM boot")
+BOOTED = BOOT.replace("* 6)", "* (SELECT max(hist_idx) + 1 FROM z))").replace("range(6) b(y)", "range((SELECT max(hist_idx) + 1 FROM z)) b(y)")
+
+
+@query(f"WITH {SCORES}, {BOOTED} SELECT * FROM boot")
 def bootstrap_indices(spark, sf):
-    return kirsch.bootstrap(spark, 4, 5, 6, 3)
+    """As many years as the record has whole ones, drawn from these."""
+    m = months(spark, sf, whole=True)
+    n = kirsch.complete_scores(m, stats.monthly_moments(m)).agg(F.max("hist_idx")).first()[0] + 1
+    return kirsch.bootstrap(spark, 4, n - 1, n, 3)
 
 
 @query(f"WITH {SCORES}, {BOOT} SELECT realization, site, syn_year, z.month, round(z, 6) AS x FROM boot JOIN z USING (hist_idx, month)")

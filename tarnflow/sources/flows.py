@@ -33,15 +33,27 @@ def read_wide_csv(spark: SparkSession, path: str, date_column: str | None = None
     date_column = date_column or wide.columns[0]
     sites = [c for c in wide.columns if c != date_column]
     if first_day:
-        order = Window.orderBy("_file", "_at")  # a single daily file: its rows are as many as days
-        wide = wide.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-        ts = F.date_add(F.lit(first_day).cast("date"), F.row_number().over(order) - 1)
+        wide = in_file_order(wide)
+        ts = F.date_add(F.lit(first_day).cast("date"), F.col("_row").cast("int"))
     else:
         ts = F.to_date(F.col(date_column))
     cells = F.explode(F.array(*[F.struct(F.lit(s).alias("site"), F.col(f"`{s}`").cast("double").alias("q")) for s in sites]))
     return wide.withColumn("_ts", ts).select(F.col("_ts").alias("ts"), cells.alias("c")).select("c.site", "ts", "c.q")
 
 
+def in_file_order(read: DataFrame) -> DataFrame:
+    """Rows straight from a file reader with _row, their number from 0 in the order of files and of lines inside them.
+
+    Two passes: the first counts the rows of each split of a file; a split's rows go on from those of the splits ahead of it,
+    and a row's place in its split is its scan position. No row moves for this, only one count a split.
+    """
+    at = read.withColumn("_file", F.col("_metadata.file_path")).withColumn("_start", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
+    splits = at.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    shift = splits.select("_file", "_start", (ahead - F.col("_first")).alias("_shift"))
+    return at.join(shift, ["_file", "_start"]).withColumn("_row", F.col("_at") + F.col("_shift")).drop("_file", "_start", "_at", "_shift")
+
+
 def write_wide_csv(flow: DataFrame, path: str) -> None:
     """One row a date, one column a site, in date order."""
     flow.groupBy("ts").pivot("site").agg(F.sum("q")).orderBy("ts").write.csv(path, header=True)
@@ -84,9 +96,13 @@ def days(first: str, last: str) -> F.Column:
     return F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
 
 
-def densified(flow: DataFrame, first: str, last: str, fill: float | None = 0.0) -> DataFrame:
-    """Every site on every day of the range; missing values become fill."""
-    spine = flow.select("site").distinct().select("site", F.explode(days(first, last)).alias("ts"))
+def densified(flow: DataFrame, first: str | None = None, last: str | None = None, fill: float | None = 0.0) -> DataFrame:
+    """Every site on every day of the range, by default from the flow's first to its last day; missing values become fill."""
+    ends = flow.groupBy("site").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    whole = Window.partitionBy()  # one row a site
+    low = F.min("_a").over(whole) if first is None else F.lit(first).cast("date")
+    high = F.max("_b").over(whole) if last is None else F.lit(last).cast("date")
+    spine = ends.select("site", low.alias("_a"), high.alias("_b")).select("site", F.explode(F.sequence("_a", "_b")).alias("ts"))
     out = spine.join(flow, ["site", "ts"], "left")
     return out.withColumn("q", F.coalesce("q", F.lit(fill))) if fill is not None else out
 

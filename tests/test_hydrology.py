@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import rng, special
 from tarnflow.operators import calendar as cal
-from tarnflow.operators import drought, ensemble, ssi, stats, windows
+from tarnflow.operators import drought, ensemble, quantiles, recursion, ssi, stats, windows
 from tarnflow.plans import autoregression, hmm, kirsch, nowak, thomas_fiering
 from tarnflow.sources import flows
 from tarnflow.streaming.totals import streamed_totals
@@ -331,7 +331,7 @@ def test_hmm(spark):
     assert out.count() == 5 * 360 and abs(out.select(F.avg("q")).first()[0] - np.mean([r[2] for r in rows])) < 8
     seasonal = hmm.HMMGenerator(log_transform=True, deseasonalize=True, max_iter=20).fit(df).generate(1, 2)
     assert seasonal.where("q IS NULL").count() == 0
-    pi = stats.stationary(m.p)
+    pi = g.models.select(stats.stationary(F.col("p"))).first()[0]
     assert abs(sum(pi) - 1) < 1e-9 and np.allclose(np.array(pi) @ np.array(m.p), pi)
     with pytest.raises(TypeError):
         hmm.HMMGenerator(n_hidden_states="2")
@@ -450,3 +450,121 @@ def test_index_options(spark):
             ssi.SSI(**bad)
     with pytest.raises(ValueError):
         flows.realization_numbers(spark.createDataFrame([(1.5,)], "realization double"))
+
+
+@pytest.mark.parametrize("small", [1, 40, 10**6])
+def test_quantiles_by_counting(spark, small):
+    """Narrowed ranges give what numpy gives, on ties, single values, heavy tails and huge ranges."""
+    rng = np.random.default_rng(3)
+    groups = {
+        "ties": rng.integers(0, 4, 300).astype(float), "one": np.array([5.0]), "same": np.full(50, 2.5), "normal": rng.normal(size=500), "tails": np.exp(rng.normal(size=300) * 20),
+        "huge": np.array([-1.7e308, 1.7e308, 0.0, 1e-300, 1.0, 2.0, 2.0]), "two": np.array([1.0, 3.0]), "least": np.array([0.0, 5e-324, 5e-324, 0.0]), "mixed": np.concatenate([np.zeros(200), rng.random(20), [1e9]]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None)], "site string, q double").repartition(3)
+    p = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.site, r.i): (r.p, r.q) for r in quantiles.quantiles(df, p, ["site"], small=small, bins=128).collect()}
+    assert set(got) == {(g, i) for g in groups for i in range(len(p))}
+    exact = {r.site: r.v for r in df.groupBy("site").agg(F.percentile("q", F.array(*map(F.lit, p))).alias("v")).collect()}
+    for g, vs in groups.items():
+        for i, x in enumerate(p):
+            assert got[g, i] == (x, exact[g][i])
+            if g != "huge":
+                assert math.isclose(got[g, i][1], np.quantile(vs, x), rel_tol=1e-9, abs_tol=1e-12)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.floats(-2, 2), st.floats(-5, 5)), min_size=1, max_size=60), st.integers(1, 9))
+def test_affine_path(spark, maps, block):
+    rows = [(s, t, a, b * k) for k, s in ((1, "x"), (2, "y")) for t, (a, b) in enumerate(maps)]
+    got = recursion.affine_path(spark.createDataFrame(rows, "site string, t int, a double, b double").repartition(3), ["site"], len(maps), max(block, 2)).collect()
+    for k, s in ((1, "x"), (2, "y")):
+        x, want = 0.0, []
+        for a, b in maps:
+            x = a * x + b * k
+            want.append(x)
+        mine = [r.x for r in sorted((r for r in got if r.site == s), key=lambda r: r.t)]
+        scale = max(1.0, max(map(abs, want)))
+        assert len(mine) == len(want) and all(abs(u - v) < 1e-9 * scale for u, v in zip(mine, want))
+
+
+def test_affine_path_in_several_tasks(spark):
+    rows = spark.range(5000).select(F.lit("s").alias("site"), F.col("id").cast("int").alias("t"), F.lit(0.9).alias("a"), F.sin("id").alias("b"))
+    got = np.array([r.x for r in recursion.affine_path(rows, ["site"], 5000, 16).orderBy("t").collect()])
+    want, x = [], 0.0
+    for i in range(5000):
+        x = 0.9 * x + math.sin(i)
+        want.append(x)
+    assert np.allclose(got, want, rtol=1e-10)
+
+
+def test_interpolated(spark):
+    rng = np.random.default_rng(4)
+    x, ask = np.unique(rng.integers(0, 50, 20)).astype(float), np.concatenate([rng.random(40) * 60 - 5, [0.0, 7.0, 49.0]])
+    y = rng.normal(size=len(x))
+    points = spark.createDataFrame([("a", float(u), float(v)) for u, v in zip(x, y)] + [("one", 1.0, 4.0), ("a", None, 3.0), ("dup", 1.0, 2.0), ("dup", 1.0, 3.0)], "site string, x double, y double")
+    asked = spark.createDataFrame([("a", float(v), i) for i, v in enumerate(ask)] + [("one", 9.0, 0), ("nobody", 1.0, 0), ("a", None, 99), ("dup", 1.0, 0), ("a", float(ask[0]), 0)], "site string, x double, n int")
+    rows = quantiles.interpolated(points, asked, ["site"]).collect()
+    assert len(rows) == len(ask) + 5
+    got = {(r.site, r.n): r.y for r in rows}
+    assert np.allclose([got["a", i] for i in range(len(ask))], np.interp(ask, x, y))
+    assert got["one", 0] == 4 and got["nobody", 0] is None and got["a", 99] is None and got["dup", 0] == 3
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(-2, 30)), max_size=6), st.integers(1, 40))
+def test_days_outside_spans(spark, spans, bucket):
+    series = spark.createDataFrame([("s", day(i), float(i)) for i in range(70)] + [("free", day(3), 1.0)], FLOW)
+    df = spark.createDataFrame([("s", day(a), day(a + n)) for a, n in spans], "site string, start date, end date")
+    got = sorted((r.site, r.ts) for r in drought.outside(series, df, bucket=bucket).collect())
+    assert got == sorted([("s", day(i)) for i in range(70) if not any(a <= i <= a + n for a, n in spans)] + [("free", day(3))])
+
+
+def test_binned_density(monthly):
+    exact = {(r.site, round(r.x, 6)): r.density for r in stats.kernel_density(monthly, 25).collect()}
+    for bins, error in ((50, 2e-2), (400, 5e-4)):
+        got = {(r.site, round(r.x, 6)): r.density for r in stats.binned_density(monthly, 25, bins).collect()}
+        assert set(got) == set(exact) and max(abs(got[k] - exact[k]) for k in exact) < error * max(exact.values())
+
+
+def test_stationary_and_mixture(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 5):
+        p = rng.random((n, n)) + 0.01
+        p /= p.sum(1, keepdims=True)
+        w = np.array(spark.createDataFrame([(p.tolist(),)], "p array<array<double>>").select(stats.stationary(F.col("p"))).first()[0])
+        assert np.allclose(w @ p, w, atol=1e-12) and abs(w.sum() - 1) < 1e-12
+    turns = spark.createDataFrame([([[0.0, 1.0], [1.0, 0.0]],)], "p array<array<double>>").select(stats.stationary(F.col("p"))).first()[0]
+    assert np.allclose(turns, [0.5, 0.5])
+    states = spark.createDataFrame([("s", day(i), v) for i, v in enumerate([0, 0, 1, 0, 2, 2])], "site string, ts date, state int")
+    assert stats.transitions(states, 4).first().p == [[1 / 3, 1 / 3, 1 / 3, 0], [1, 0, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    mixed = stats.mixture_density(spark.createDataFrame([("s", [0.3, 0.7], [0.0, 5.0], [1.0, 2.0])], "site string, weights array<double>, mu array<double>, sd array<double>"), 2001, reach=8.0).orderBy("x").collect()
+    x, d = np.array([(r.x, r.density) for r in mixed]).T
+    assert abs(np.trapezoid(d, x) - 1) < 1e-6 and abs(np.trapezoid(d * x, x) - 3.5) < 1e-4
+
+
+def test_rows_in_file_order(spark, tmp_path):
+    """Files of many splits: dates follow the lines of the first file, then of the next."""
+    at = tmp_path / "wide"
+    at.mkdir()
+    for k in range(3):
+        (at / f"part{k}.csv").write_text("date,s\n" + "".join(f"x,{k * 1000 + i}\n" for i in range(1000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = flows.read_wide_csv(spark, str(at), first_day="2000-01-01")
+        assert got.rdd.getNumPartitions() > 10
+        assert sorted((r.ts, r.q) for r in got.collect()) == [(day(i), float(i)) for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_month_and_year_ends_are_filled(spark):
+    rows = [("s", dt.date(2000, 1, 31), 1.0), ("s", dt.date(2000, 4, 2), 2.0), ("s", dt.date(2002, 2, 1), 4.0)]
+    df = spark.createDataFrame(rows, FLOW)
+    m = {r.ts: r.q for r in cal.resampled(df, "M", fill=True).collect()}
+    assert len(m) == 26 and m[dt.date(2000, 1, 31)] == 1 and m[dt.date(2000, 2, 29)] == 0 and m[dt.date(2000, 4, 30)] == 2 and m[dt.date(2002, 2, 28)] == 4
+    mean = {r.ts: r.q for r in cal.resampled(df, "M", "mean", fill=True).collect()}
+    assert len(mean) == 26 and mean[dt.date(2001, 2, 28)] is None
+    assert {r.ts: r.q for r in cal.resampled(df, "A", fill=True).collect()} == {dt.date(2000, 12, 31): 3, dt.date(2001, 12, 31): 0, dt.date(2002, 12, 31): 4}
