@@ -5,6 +5,7 @@ import random
 import re
 
 import corpus_pipeline
+import pytest
 from tarnflow.llm import decontaminate, exact, toxicity
 from tarnflow.llm.common import stored, table
 
@@ -115,3 +116,32 @@ def test_near_stage_against_brute_force(spark, sf):
     got = ids(corpus_pipeline.near_dedup_stage(spark, docs.repartition(3), sf))
     assert got == brute_near(texts)
     assert len(got) < len(texts) - 100
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, n):
+    """Texts of 12 out of 20 fixed sentences share many shingles, rare ones too, but hardly a pair is near."""
+    from tarnflow.llm import near
+
+    rng = random.Random(9)
+    sentences = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=10)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(sentences, 12))) for i in range(n)], "doc_id long, text string")
+    seen, keep = {}, near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name: seen.setdefault(name, keep(df, name)) if name != "links" else keep(df, name))
+    assert near.drop_near_copies(docs).count() == n
+    assert seen["pairs"].count() <= n // 10
+
+
+def test_sketches_lose_no_pair():
+    """A pair that the bound leaves out differs in more shingles than a similar one may."""
+    import numpy as np
+
+    from tarnflow.llm import near
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 3000)), np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) > rng.random() * 0.3], rng.integers(0, 2**64, int(rng.integers(0, 300)), np.uint64)))
+        apart = np.bitwise_count(np.frombuffer(near.sketch(a), np.uint64) ^ np.frombuffer(near.sketch(b), np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+        assert not near.similar(a, b) or 9 * apart <= len(a) + len(b)
