@@ -118,18 +118,44 @@ def test_near_stage_against_brute_force(spark, sf):
     assert len(got) < len(texts) - 100
 
 
-@pytest.mark.parametrize("n", [500, 2000])
-def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch, n):
-    """Texts of 12 out of 20 fixed sentences share many shingles, rare ones too, but hardly a pair is near."""
+def pairs_compared(monkeypatch, docs):
+    """(how many rows stay, how many pairs were compared by their texts)"""
     from tarnflow.llm import near
 
+    counts, keep = [], near.stored
+
+    def stored_(df, name):
+        out = keep(df, name)
+        if name in ("stars", "pairs"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "stored", stored_)
+    return near.drop_near_copies(docs).count(), sum(counts)
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_pairs_of_unlike_texts(spark, monkeypatch, n):
+    """Texts of 12 out of 20 fixed sentences share many shingles, rare ones too, but hardly a pair is near."""
     rng = random.Random(9)
     sentences = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=10)) for _ in range(20)]
     docs = spark.createDataFrame([(i, " ".join(rng.sample(sentences, 12))) for i in range(n)], "doc_id long, text string")
-    seen, keep = {}, near.stored
-    monkeypatch.setattr(near, "stored", lambda df, name: seen.setdefault(name, keep(df, name)) if name != "links" else keep(df, name))
-    assert near.drop_near_copies(docs).count() == n
-    assert seen["pairs"].count() <= n // 10
+    kept, pairs = pairs_compared(monkeypatch, docs)
+    assert kept == n and pairs <= 8 * n
+
+
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies with changes of their own link to most others; comparisons stay in proportion to their number."""
+    rng = random.Random(10)
+    base = rng.choices([f"w{i}" for i in range(900)], k=200)
+    rows = []
+    for i in range(800):
+        other = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            other[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(other)))
+    kept, pairs = pairs_compared(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept == 1 and pairs <= 30 * 800
 
 
 def test_sketches_lose_no_pair():
