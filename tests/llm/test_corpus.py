@@ -547,12 +547,15 @@ def test_very_long_texts(spark, name):
     """Half a megabyte of one kind neither ends the process nor takes more than time that grows with it."""
     import time
 
+    began = time.perf_counter()
+    sum(range(5_000_000))
+    slowness = max(1.0, (time.perf_counter() - began) / 0.1)  # of this machine, about 0.1 s is usual
     texts = [LONG_TEXTS[name][:3000], LONG_TEXTS[name]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for operator, kinds in ((pii.personal_data, PII), (secrets.secrets, SECRETS)):
         began = time.time()
         short, long = sorted(operator(df).collect())
-        assert time.time() - began < 120 and long.doc_id == 1
+        assert time.time() - began < 120 * slowness and long.doc_id == 1
         spans = base_spans(kinds, texts[0])  # brute force takes time with the square of a run
         assert short.base_sha256 == sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in spans).encode())
 
