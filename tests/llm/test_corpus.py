@@ -417,6 +417,66 @@ def test_html_without_marks():
     assert html_text.main_lines(lines, window=1, surge=71) == ["x" * 70, "y" * 70, "z"]  # no window is
 
 
+def test_html_wrappers_and_teasers():
+    """Names and elements of wrappers cost no text, teasers beside the article are left out, and short items stay with it."""
+    para = "A sentence of the article that is long enough to count as text. "
+    body = "".join(f"<p>{para * n}" for n in (3, 2, 4))
+    want = " ".join((para * n).strip() for n in (3, 2, 4))
+    teaser = "<article><h3>Other</h3><p><a href=/>More of the other story</a></article>"
+    assert html_text.main_text(f"<div class=post>{body}</div>{teaser}{teaser}") == want
+    assert html_text.main_text(f"<div class='content has-sidebar'>{body}</div>") == want
+    assert html_text.main_text(f"<div class=sidebar>{para}</div><form>{body}</form>") == want
+    assert html_text.main_text(f"<form><nav>Menu</nav><article><p>Only this.</article></form>") == "Only this."
+    items = [f"Item {i}" for i in range(12)]
+    assert html_text.main_text(f"<h1>Heading</h1><ul>{''.join(f'<li>{i}' for i in items)}</ul>{body}") == " ".join(["Heading", *items, want])
+    links = "<ul>" + "<li><a href=/>Some link to an other page of the site</a></li>" * 4 + "</ul>"
+    assert html_text.main_text(f"{body * 4}{links}<p>{para}") == " ".join([want] * 4 + [para.strip()])  # a region of little weight
+    assert html_text.main_text(f"<p>{para}<div id=comments><p>{para * 9}<p>{para * 9}<p>{para * 9}</div>") == para.strip()
+    assert html_text.main_text(f"<div class=ad>{para}</div><article><p>Hi</article>") == "Hi"  # an advert may be longer than the article
+
+
+def test_html_windows_move_articles_too():
+    """On pages with an article element the windows decide as well: other parameters, other text."""
+    long, short = "x" * 400, "y" * 9
+    lines = [("slogan", 0, 0), (long, 0, 1), (short, 0, 1), ("z" * 300, 0, 0)]
+    assert html_text.main_lines(lines) == [long, short, "z" * 300]  # a quarter of 300 characters surges
+    assert html_text.main_lines(lines, surge=76) == [long, short] == html_text.main_lines(lines, surge=529)
+    assert html_text.main_lines(lines, window=1, surge=461) == ["slogan", long, short, "z" * 300]  # nothing surges: all that weighs something
+    two = [(long, 0, 1), (short, 0, 2)]
+    assert html_text.main_lines(two) == [long, short] and html_text.main_lines(two, surge=70) == [long]
+
+
+def plain_main_lines(lines, weight, window, surge):
+    """Brute force: regions grow line by line over gaps of fewer than `window` lines without weight."""
+    laid = []
+    for i, line in enumerate(lines):
+        if i and line[2] != lines[i - 1][2]:
+            laid += [None] * window
+        laid.append(i)
+    w = [0 if i is None else weight[i] for i in laid]
+    regions = []
+    for at in (k for k, x in enumerate(w) if x):
+        if regions and at - regions[-1][1] <= window:
+            regions[-1][1] = at
+        else:
+            regions.append([at, at])
+    out = []
+    for a, b in regions:
+        if max(sum(w[max(k, a) : min(k + window, b + 1)]) for k in range(a - window + 1, b + 1)) >= surge:
+            out += [lines[i][0] for i in laid[a : b + 1] if i is not None]
+    return out or [line[0] for line, x in zip(lines, weight) if x]
+
+
+def test_html_windows_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        lines = []
+        for n in rng.integers(1, 90, rng.integers(1, 25)):
+            lines.append((f"{len(lines):03d}" + "w" * int(n), int(rng.choice([0, 0, n, n // 3])), int(rng.choice([0, 0, 1, 1, 2]))))
+        window, surge = int(rng.integers(1, 5)), int(rng.integers(1, 250))
+        assert html_text.main_lines(lines, window, surge) == plain_main_lines(lines, html_text.weights(lines), window, surge)
+
+
 def test_html_names_inside_an_article():
     """Names such as alert or search on an article's own text elements drop nothing; on containers they do."""
     page = "<article><p class=alert>One.</p><p class='search related'>Two.</p><blockquote class=notice>Three.</blockquote><div class=related>No.</div><p>Four.</p></article>"
