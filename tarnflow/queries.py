@@ -761,9 +761,35 @@ def ar_seasonal_trend(spark, sf):
     return rounded(autoregression.AR(lag=2, trend=True, period=12).fit(monthly_series(spark, sf)).generate(24), 4)
 
 
-@query()
+def var_sql(sites: int, steps: int) -> str:
+    """First-order vector autoregression: centred moments, Gauss-Jordan steps, then the recursion on lists of values."""
+    made = [
+        f"WITH RECURSIVE {MONTHS}, v AS (SELECT site, CAST(substr(site, 2) AS INTEGER) AS i, year(ts) * 12 + month(ts) AS t, q FROM series)",
+        f"u AS (SELECT t FROM v GROUP BY 1 HAVING count(q) = {sites})",
+        "z AS (SELECT t, i, q FROM v WHERE t IN (FROM u) AND t - 1 IN (FROM u) UNION ALL SELECT t + 1, 100 + i, q FROM v WHERE t IN (FROM u) AND t + 1 IN (FROM u))",
+        "m AS (SELECT i, avg(q) AS m FROM z GROUP BY 1)",
+        "d AS (SELECT t, i, q - m AS d FROM z JOIN m USING (i))",
+        "g0 AS (SELECT a.i - 100 AS i, b.i AS j, sum(a.d * b.d) AS v FROM d a JOIN d b USING (t) WHERE a.i > 100 GROUP BY 1, 2)",
+    ]
+    for k in range(1, sites + 1):
+        last = f"g{k - 1}"
+        made.append(
+            f"g{k} AS (SELECT g.i, g.j, CASE WHEN g.i = {k} THEN g.v / p.v ELSE g.v - c.v * r.v / p.v END AS v FROM {last} g, (FROM {last} WHERE i = {k} AND j = {100 + k}) p"
+            f" JOIN {last} c ON c.j = {100 + k} JOIN {last} r ON r.i = {k} WHERE c.i = g.i AND r.j = g.j)"
+        )
+    made += [
+        f"b AS (SELECT j AS i, list(v ORDER BY i) AS b FROM g{sites} WHERE j <= 100 GROUP BY 1)",
+        "a AS (SELECT b.i, b.b, m.m - list_dot_product(b.b, (SELECT list(m ORDER BY i) FROM m WHERE i > 100)) AS a FROM b JOIN m USING (i))",
+        "ab AS (SELECT list(a ORDER BY i) AS a, list(b ORDER BY i) AS b FROM a)",
+        "f(step, x) AS (SELECT 0, list(q ORDER BY i) FROM z WHERE i < 100 AND t = (SELECT max(t) FROM z) GROUP BY t"
+        f" UNION ALL SELECT step + 1, [{', '.join(f'ab.a[{k}] + list_dot_product(ab.b[{k}], x)' for k in range(1, sites + 1))}] FROM f, ab WHERE step < {steps})",
+    ]
+    return ", ".join(made) + " SELECT 'L' || k AS site, step, round(x[k], 4) AS q FROM f, (SELECT unnest(range(1, " + str(sites + 1) + ")) AS k) WHERE step > 0"
+
+
+@query(var_sql(7, 12))
 def var_forecast(spark, sf):
-    return rounded(autoregression.VAR(lag=1).fit(cal.resampled(by_flag(spark, sf), "MS")).generate(12), 4)
+    return rounded(autoregression.VAR(lag=1, step="month").fit(monthly_series(spark, sf)).generate(12), 4)
 
 
 @query()

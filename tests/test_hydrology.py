@@ -356,6 +356,27 @@ def test_autoregression(spark):
     assert all(abs(r.q - (5 + 0.1 * (79 + r.step) + ((79 + r.step) % 4) * 2)) < 0.2 for r in t.collect())
 
 
+def test_var_lags_gaps_and_blocks(spark):
+    """Two lags against least squares over whole steps only; long forecasts do not depend on the size of blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 3)).cumsum(axis=0) * 0.3 + rng.normal(size=(90, 3))
+    rows = [(s, day(i), float(x[i, j])) for i in range(90) for j, s in enumerate("abc") if i != 40 and (i, s) != (60, "b")] + [("a", day(70), None)]
+    v = autoregression.VAR(2).fit(spark.createDataFrame(rows, FLOW))
+    whole = [i for i in range(2, 90) if not {i, i - 1, i - 2} & {40, 60}]
+    design = np.array([[1.0, *x[i - 1], *x[i - 2]] for i in whole])
+    coef = np.linalg.lstsq(design, x[whole], rcond=None)[0]
+    assert np.allclose(v.coef, coef, atol=1e-9)
+    past, want = [x[89], x[88]], []
+    for _ in range(50):
+        past.insert(0, np.array([1.0, *past[0], *past[1]]) @ coef)
+        want.append(past[0])
+    for block in (128, 7, 1):
+        got = {(r.site, r.step): r.q for r in v.generate(50, block).collect()}
+        assert len(got) == 150 and all(abs(got[s, k + 1] - want[k][j]) < 1e-6 for k in range(50) for j, s in enumerate("abc"))
+    with pytest.raises(ValueError):
+        autoregression.VAR(3).fit(spark.createDataFrame(rows[:6], FLOW))
+
+
 def test_ensemble_files(spark, tmp_path):
     rows = [(r, s, day(i), float(r * 10 + i)) for r in (3, 7, 9) for s in "AB" for i in range(3)]
     e = spark.createDataFrame(rows, "realization int, site string, ts date, q double")
