@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 from statistics import NormalDist
 
 import numpy as np
@@ -15,6 +16,7 @@ from tarnflow.operators import calendar as cal
 from tarnflow.operators import drought, ensemble, quantiles, recursion, ssi, stats, windows
 from tarnflow.plans import autoregression, hmm, kirsch, nowak, thomas_fiering
 from tarnflow.sources import flows
+from tarnflow.streaming.droughts import streamed_events
 from tarnflow.streaming.totals import streamed_totals
 
 FLOW = "site string, ts date, q double"
@@ -418,6 +420,42 @@ def test_stream(spark, tmp_path):
     assert got == {("a", 1): (2.0, 2), ("a", 2): (2.0, 2)}  # the last day is still open
 
 
+def test_stream_of_droughts(spark, tmp_path):
+    """Shuffled micro-batches give the events of the batch operator; what is later than the watermark is left out."""
+    rng = np.random.default_rng(11)
+    start = dt.datetime(2020, 1, 1)
+    rows = []
+    for site in ("a", "b", "c"):
+        v = np.convolve(rng.normal(size=124), np.ones(5) / 2, "valid")
+        rows += [(site, start + dt.timedelta(days=i), None if i % 37 == 36 else float(x)) for i, x in enumerate(v)]
+    rows += [("z", start + dt.timedelta(days=i), x) for i, x in enumerate((-2.0, -0.5, 0.0, -0.4, 1.0))]
+    rows.sort(key=lambda r: r[1] + dt.timedelta(days=float(rng.uniform(0, 9))))
+    parts = [rows[i : i + 80] for i in range(0, len(rows), 80)]
+    ends = [(s, start + dt.timedelta(days=400), 1.0) for s in ("a", "b", "c", "z")]
+    parts += [ends, [("a", start + dt.timedelta(days=3), -9.0), ("a", start + dt.timedelta(days=420), 1.0)]]  # the first is too late
+    kind = "site string, ts timestamp, ssi double"
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+        time.sleep(0.05)  # files are taken by their time
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set(key, store)
+    try:
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+        out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+        q = streamed_events(stream, late="10 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        q.awaitTermination(200)
+        assert q.exception() is None and not q.isActive
+    finally:
+        spark.conf.unset(key)
+    want = drought.events(spark.createDataFrame(rows + ends, kind)).collect()
+    order = lambda r: (r.site, r.drought_id)
+    got = sorted(spark.read.parquet(out).collect(), key=order)
+    assert len(want) > 6 and len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=order)):
+        assert (a.site, a.drought_id, a.start, a.end, a.duration, a.severity) == (b.site, b.drought_id, b.start, b.end, b.duration, b.severity)
+        assert abs(a.magnitude - b.magnitude) < 1e-9
+
+
 def test_diagnostics(spark):
     df = spark.createDataFrame([("s", day(i), float(v)) for i, v in enumerate([1, 2, 3, 4, 100])], FLOW)
     b = stats.box_stats(df, ["site"]).first()
