@@ -126,7 +126,7 @@ def _rank_sums(flow: DataFrame, first: Column, by: list[str]) -> DataFrame:
     ranked = flow.where("q IS NOT NULL").withColumn("_r", rank).withColumn("_one", first.cast("int"))
     s = ranked.groupBy(*by).agg(F.sum("_one").alias("n1"), F.sum(1 - F.col("_one")).alias("n2"), F.sum(F.col("_r") * F.col("_one")).alias("s"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    return s.select(*by, "n1", "n2", ((F.col("s") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
+    return s.select(*by, "n1", "n2", F.try_divide(F.col("s") - n1 * (n1 + n2 + 1) / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
 
 
 def rank_sum(flow: DataFrame, sample: str, first: str, by: list[str]) -> DataFrame:
@@ -146,13 +146,13 @@ def rank_sum_pairs(flow: DataFrame, sample: str, by: list[str]) -> DataFrame:
 
 
 def levene(flow: DataFrame, sample: str, by: list[str]) -> DataFrame:
-    """(by, k, n, w): Levene's statistic about the samples' medians; its p-value is f_sf(w, k - 1, n - k)."""
+    """(by, k, n, w): Levene's statistic about the samples' medians; its p-value is f_sf(w, k - 1, n - k). Null where no sample varies."""
     centre = flow.groupBy(*by, sample).agg(F.median("q").alias("_m"))
     d = flow.join(centre, [*by, sample]).withColumn("_d", F.abs(F.col("q") - F.col("_m")))
     groups = d.groupBy(*by, sample).agg(F.count("_d").alias("c"), F.avg("_d").alias("a"), F.sum(F.col("_d") * F.col("_d")).alias("s"))
     g = groups.groupBy(*by).agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("a")).alias("t"), F.sum(F.col("c") * F.col("a") * F.col("a")).alias("b"), F.sum("s").alias("s"))
     among, within = F.col("b") - F.col("t") * F.col("t") / F.col("n"), F.col("s") - F.col("b")
-    return g.select(*by, "k", "n", ((F.col("n") - F.col("k")) / (F.col("k") - 1) * among / within).alias("w"))
+    return g.select(*by, "k", "n", F.try_divide(F.try_divide(F.col("n") - F.col("k"), F.col("k") - 1) * among, within).alias("w"))
 
 
 def histogram(flow: DataFrame, bins: int, by: list[str] = KEYS) -> DataFrame:

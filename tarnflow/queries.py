@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.rng import normal, uniform
 from .operators import calendar as cal
-from .operators import drought, ensemble, quantiles, ssi, stats, windows
+from .operators import drought, ensemble, quantiles, ssi, stats, validation, windows
 from .plans import autoregression, hmm, kirsch, nowak, thomas_fiering
 from .sources import flows
 
@@ -595,6 +595,57 @@ def test_p_values(spark, sf):
     return rounded(r.join(v, "month"))
 
 
+# ---- validation: line number 1 stands for history, the others for its ensemble
+
+
+def _spaces(year: str, period: str) -> str:
+    return f"""{MEMBERS}, sums AS (SELECT realization, site, CAST({year} AS INTEGER) AS year, CAST({period} AS INTEGER) AS period, sum(q) AS q FROM members GROUP BY ALL),
+ spaces AS (SELECT realization, site, year, period, 'real' AS space, q FROM sums UNION ALL SELECT realization, site, year, period, 'log', ln(greatest(q, 1e-6)) FROM sums)"""
+
+
+def _boxed(rows: str, by: str) -> str:
+    """The quartiles and whiskers of a table's values, as table box."""
+    inside = "q BETWEEN p[1] - 1.5 * (p[3] - p[1]) AND p[3] + 1.5 * (p[3] - p[1])"
+    return f"""quartiles AS (SELECT {by}, count(*) AS n, quantile_cont(q, [0.25, 0.5, 0.75]) AS p FROM {rows} GROUP BY ALL),
+ box AS (SELECT {by}, n, p[1] AS q1, p[2] AS q2, p[3] AS q3, min(q) FILTER ({inside}) AS low, max(q) FILTER ({inside}) AS high FROM {rows} JOIN quartiles USING ({by}) GROUP BY ALL)"""
+
+
+BOX = ", ".join(f"round({c}, 6) AS {c}" for c in ("q1", "q2", "q3", "low", "high"))
+VALIDATION = """ WITH {spaces}, named AS (SELECT site, period, space, q, CASE realization WHEN 1 THEN 'history' ELSE 'ensemble' END AS sample FROM spaces),
+ x AS (SELECT * FROM named SEMI JOIN (SELECT site, period, space FROM named GROUP BY ALL HAVING count(DISTINCT sample) = 2) USING (site, period, space)), {box},
+ r AS (SELECT *, rank() OVER (PARTITION BY site, period, space ORDER BY q) + (count(*) OVER (PARTITION BY site, period, space, q) - 1) / 2 AS r, abs(q - median(q) OVER (PARTITION BY site, period, space, sample)) AS d FROM x),
+ s AS (SELECT site, period, space, sample, count(*) AS c, sum(r) AS r, avg(d) AS a, sum(d * d) AS s FROM r GROUP BY ALL),
+ t AS (SELECT h.site, h.period, h.space, h.c AS n1, e.c AS n2, h.r AS r, h.c * h.a + e.c * e.a AS t, h.c * h.a * h.a + e.c * e.a * e.a AS b, h.s + e.s AS s FROM s h JOIN s e USING (site, period, space) WHERE h.sample = 'history' AND e.sample = 'ensemble'),
+ w AS (SELECT site, period, space, n1 + n2 AS m, (r - n1 * (n1 + n2 + 1) / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12) AS z, (n1 + n2 - 2) * (b - t * t / (n1 + n2)) / nullif(s - b, 0) AS w FROM t)
+ SELECT site, period, space, sample, n, {rounded}, round(2 * {rank_p}, 6) AS rank_sum_p, CASE WHEN w IS NOT NULL THEN round({levene_p}, 6) END AS levene_p FROM box JOIN w USING (site, period, space)"""
+
+
+def _validation(year: str, period: str) -> str:
+    return VALIDATION.format(spaces=_spaces(year, period), box=_boxed("x", "site, period, space, sample"), rounded=BOX, rank_p=norm_cdf_sql("(-abs(z))"), levene_p=f_sf_sql("w", "1", "(m - 2)"))
+
+
+def _validated(spark: SparkSession, sf: str, scale: str) -> DataFrame:
+    sums = validation.period_sums(members(spark, sf), scale, ["realization", "site"])
+    return rounded(validation.compared(sums.where("realization = 1"), sums.where("realization > 1")))
+
+
+@query(_validation("year(ts)", "month(ts)"))
+def validation_monthly(spark, sf):
+    return _validated(spark, sf, "monthly")
+
+
+@query(_validation("isoyear(ts)", "week(ts)"))
+def validation_weekly(spark, sf):
+    return _validated(spark, sf, "weekly")
+
+
+@query(f"""WITH {_spaces("year(ts)", "month(ts)")}, yearly AS (SELECT site, period, space, year, avg(q) AS mean, stddev_pop(q) AS sd FROM spaces GROUP BY ALL),
+ moments AS (SELECT site, period, space, 'mean' AS moment, mean AS q FROM yearly UNION ALL SELECT site, period, space, 'sd', sd FROM yearly), {_boxed("moments", "site, period, space, moment")}
+ SELECT site, period, space, moment, {BOX} FROM box""")
+def validation_moments(spark, sf):
+    return rounded(validation.moment_boxes(validation.period_sums(members(spark, sf), "monthly", ["realization", "site"])))
+
+
 # ---- ensembles
 
 

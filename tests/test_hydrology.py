@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import rng, special
 from tarnflow.operators import calendar as cal
-from tarnflow.operators import drought, ensemble, quantiles, recursion, ssi, stats, windows
+from tarnflow.operators import drought, ensemble, quantiles, recursion, ssi, stats, validation, windows
 from tarnflow.plans import autoregression, hmm, kirsch, nowak, thomas_fiering
 from tarnflow.sources import flows
 from tarnflow.streaming.droughts import streamed_events
@@ -627,3 +627,34 @@ def test_month_and_year_ends_are_filled(spark):
     mean = {r.ts: r.q for r in cal.resampled(df, "M", "mean", fill=True).collect()}
     assert len(mean) == 26 and mean[dt.date(2001, 2, 28)] is None
     assert {r.ts: r.q for r in cal.resampled(df, "A", fill=True).collect()} == {dt.date(2000, 12, 31): 3, dt.date(2001, 12, 31): 0, dt.date(2002, 12, 31): 4}
+
+
+def test_validation(spark):
+    """Against plain counting; periods of one sample go, constant and missing values have a defined result."""
+    rng_ = np.random.default_rng(5)
+    h = {("A", p): rng_.gamma(2, 3, 12).round(1).tolist() for p in (1, 2)} | {("A", 3): [4.0, 4.0], ("A", 4): [1.0]}
+    e = {("A", p): rng_.gamma(2, 4, 30).round(1).tolist() for p in (1, 2)} | {("A", 3): [4.0, 4.0], ("A", 5): [1.0]}
+    h["A", 1] += [None, 0.0]
+    history = spark.createDataFrame([(s, y, p, v) for (s, p), vs in h.items() for y, v in enumerate(vs)], "site string, year int, period int, q double")
+    members = spark.createDataFrame([(y % 3, s, y // 3, p, v) for (s, p), vs in e.items() for y, v in enumerate(vs)], "realization int, site string, year int, period int, q double")
+    got = {(r.period, r.space, r["sample"]): r for r in validation.compared(history, members).collect()}
+    assert {k[0] for k in got} == {1, 2, 3} and len(got) == 12
+    assert got[3, "real", "history"].levene_p is None and got[3, "log", "ensemble"].rank_sum_p == pytest.approx(1)
+    for p in (1, 2):
+        for space in ("real", "log"):
+            a, b = [np.array([v for v in x["A", p] if v is not None]) for x in (h, e)]
+            if space == "log":
+                a, b = np.log(np.maximum(a, 1e-6)), np.log(np.maximum(b, 1e-6))
+            z = sum(np.sign(x - b).sum() for x in a) / 2 / math.sqrt(len(a) * len(b) * (len(a) + len(b) + 1) / 12)
+            for sample, x in (("history", a), ("ensemble", b)):
+                r = got[p, space, sample]
+                q = np.percentile(x, [25, 50, 75])
+                near = x[(x >= q[0] - 1.5 * (q[2] - q[0])) & (x <= q[2] + 1.5 * (q[2] - q[0]))]
+                assert r.n == len(x) and [r.q1, r.q2, r.q3, r.low, r.high] == pytest.approx([*q, near.min(), near.max()])
+                assert r.rank_sum_p == pytest.approx(2 * NormalDist().cdf(-abs(z)), abs=1e-6) and 0 <= r.levene_p <= 1
+    assert validation.compared(history.where("false"), members).count() == 0
+    boxes = {(r.period, r.space, r.moment): r for r in validation.moment_boxes(members).collect()}
+    means = [np.mean(e["A", 2][i : i + 3]) for i in range(0, 30, 3)]
+    assert boxes[2, "real", "mean"].q2 == pytest.approx(np.median(means)) and boxes[3, "real", "sd"].q2 == pytest.approx(0)
+    with pytest.raises(ValueError):
+        validation.period_sums(members, "daily")
