@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import normal, uniform
+from ..operators.recursion import state_path
 from ..operators.stats import seasonal_factors
 from .base import Generator
 
@@ -98,20 +99,19 @@ class HMMGenerator(Generator):
         """Monthly (realization, site, ts, q) from the January of the record's first year."""
         self.check_fitted()
         months = 12 * (n_years or 1)
-        series = self.models.select("site", "first_year", "start", "p", "mu", "sd", F.explode(F.sequence(F.lit(0), F.lit(n_realizations - 1))).alias("realization"))
+        series = self.models.select("site", "start", "p", F.explode(F.sequence(F.lit(0), F.lit(n_realizations - 1))).alias("realization"))
 
         def pick(weights, u):
             folded = F.aggregate(weights, F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("s")), lambda a, w: F.struct((a["c"] + w).alias("c"), (a["s"] + F.when(a["c"] + w < u, 1).otherwise(0)).alias("s")))
             return F.least(folded["s"], F.size(weights) - 1)
 
-        draws = F.transform(F.sequence(F.lit(0), F.lit(months - 1)), lambda t: F.struct(t.alias("t"), uniform(seed, "hmm", F.col("realization"), F.col("site"), t).alias("u"), normal(seed, "hmm", F.col("realization"), F.col("site"), t).alias("e")))
-
-        def step(a, d):
-            s = F.when(d["t"] == 0, pick(F.col("start"), d["u"])).otherwise(pick(F.get("p", a["s"]), d["u"]))
-            return F.struct(s.alias("s"), F.concat(a["out"], F.array(F.get("mu", s) + F.get("sd", s) * d["e"])).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("s"), F.array().cast("array<double>").alias("out"))
-        paths = series.select("realization", "site", "first_year", F.posexplode(F.aggregate(draws, zero, step, lambda a: a["out"])).alias("t", "x"))
+        steps = series.select("realization", "site", "start", "p", F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("t"))
+        u = uniform(seed, "hmm", F.col("realization"), F.col("site"), F.col("t"))
+        weights = F.when(F.col("t") == 0, F.transform("p", lambda _: F.col("start"))).otherwise(F.col("p"))
+        maps = steps.withColumn("u", u).select("realization", "site", "t", F.transform(weights, lambda w: pick(w, F.col("u"))).alias("m"))
+        states = state_path(maps, ["realization", "site"], months).join(self.models.select("site", "first_year", "mu", "sd"), "site")
+        e = normal(seed, "hmm", F.col("realization"), F.col("site"), F.col("t"))
+        paths = states.select("realization", "site", "first_year", "t", (F.get("mu", F.col("s")) + F.get("sd", F.col("s")) * e).alias("x"))
         ts = F.make_date(F.col("first_year") + F.floor(F.col("t") / 12).cast("int"), F.pmod(F.col("t"), F.lit(12)) + 1, F.lit(1))
         out = paths.select("realization", "site", ts.alias("ts"), (F.exp("x") if self.log else F.col("x")).alias("q"))
         if not self.season:

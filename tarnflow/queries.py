@@ -848,6 +848,12 @@ def hmm_generate(spark, sf):
     return rounded(hmm.HMMGenerator().fit(monthly_series(spark, sf)).generate(2, 3, seed=4), 4)
 
 
+@query()
+def hmm_seasonal(spark, sf):
+    """In log space and without seasons, which come back with the generated flows."""
+    return rounded(hmm.HMMGenerator(log_transform=True, deseasonalize=True).fit(monthly_series(spark, sf)).generate(2, 12, seed=4), 4)
+
+
 @query()
 def hmm_states(spark, sf):
     return hmm.HMMGenerator().fit(monthly_series(spark, sf)).states.select("site", "ts", "state")

@@ -658,3 +658,22 @@ def test_validation(spark):
     assert boxes[2, "real", "mean"].q2 == pytest.approx(np.median(means)) and boxes[3, "real", "sd"].q2 == pytest.approx(0)
     with pytest.raises(ValueError):
         validation.period_sums(members, "daily")
+
+
+def test_state_path(spark):
+    """Blocks of any length give the walk that single steps give; a missing step ends its series."""
+    rng_ = np.random.default_rng(2)
+    maps = {k: [rng_.integers(0, 3, 3).tolist() for _ in range(40)] for k in ("a", "b")}
+    rows = [(k, t, m) for k, ms in maps.items() for t, m in enumerate(ms) if (k, t) != ("b", 17)]
+    df = spark.createDataFrame(rows, "k string, t int, m array<int>").repartition(3)
+    want = set()
+    for k, ms in maps.items():
+        state = 0
+        for t, m in enumerate(ms[: 17 if k == "b" else 40]):
+            state = m[state]
+            want.add((k, t, state))
+    assert {tuple(r) for r in recursion.state_path(df.where("k = 'a'"), ["k"], 40, 3).collect()} == {w for w in want if w[0] == "a"}
+    for block in (17, 64):
+        got = {tuple(r) for r in recursion.state_path(df, ["k"], 40, block).collect()}
+        assert got == want
+    assert recursion.state_path(df.where("false"), ["k"], 40, 3).count() == 0
