@@ -266,24 +266,34 @@ def seasonal_factors(monthly: DataFrame, by: list[str] = KEYS) -> DataFrame:
 def ols_by_series(series: DataFrame, lags: int, by: list[str] = KEYS, trend: bool = False, period: int | None = None) -> pd.DataFrame:
     """Coefficients of q on its lags (and a trend, and seasonal dummies), one row a series.
 
-    The normal equations are summed by Spark; only their (1 + lags + ...)^2 entries a series reach the driver.
+    Spark sums products of deviations from the means, for raw products of large flows are all but collinear with the
+    constant; only these (lags + ...)^2 sums a series reach the driver, where they are scaled before they are solved.
     """
     import numpy as np
 
     w = Window.partitionBy(*by).orderBy("t")
-    names = ["const", *[f"lag{k}" for k in range(1, lags + 1)]]
-    terms: list[Column] = [F.lit(1.0), *[F.lag("q", k).over(w) for k in range(1, lags + 1)]]
+    names = [f"lag{k}" for k in range(1, lags + 1)]
+    terms: list[Column] = [F.lag(F.col("q").cast("double"), k).over(w) for k in range(1, lags + 1)]
     if trend:
         names.append("trend")
         terms.append(F.row_number().over(w).cast("double"))
     for s in range(1, period or 1):
         names.append(f"season{s}")
         terms.append((F.pmod(F.row_number().over(w) - 1, F.lit(period)) == s).cast("double"))
-    design = series.select(*by, F.col("q").alias("_y"), *[x.alias(n) for x, n in zip(terms, names)]).na.drop()
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i]
-    rows = design.groupBy(*by).agg(*sums, *[F.sum(F.col(a) * F.col("_y")).alias(f"y{i}") for i, a in enumerate(names)]).collect()
+    design = series.select(*by, F.col("q").cast("double").alias("_y"), *[x.alias(n) for x, n in zip(terms, names)]).na.drop(subset=["_y", *names])
+    all_ = Window.partitionBy(*by)
+    means = [F.avg(c).over(all_).alias(f"_m_{c}") for c in ("_y", *names)]
+    apart = {c: F.col(c) - F.col(f"_m_{c}") for c in ("_y", *names)}
+    sums = [F.sum(apart[a] * apart[b]).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i]
+    sums += [F.sum(apart[a] * apart["_y"]).alias(f"y{i}") for i, a in enumerate(names)]
+    rows = design.select("*", *means).groupBy(*by).agg(*sums, *[F.first(f"_m_{c}").alias(f"_m_{c}") for c in ("_y", *names)]).collect()
     out = []
     for r in rows:
-        xx = np.array([[r[f"{max(i, j)}_{min(i, j)}"] for j in range(len(names))] for i in range(len(names))])
-        out.append([*[r[k] for k in by], *np.linalg.lstsq(xx, np.array([r[f"y{i}"] for i in range(len(names))]), rcond=None)[0]])
-    return pd.DataFrame(out, columns=[*by, *names])
+        xx = np.array([[r[f"{max(i, j)}_{min(i, j)}"] for j in range(len(names))] for i in range(len(names))]).reshape(len(names), len(names))
+        xy = np.array([r[f"y{i}"] for i in range(len(names))])
+        scale = np.sqrt(np.diag(xx))
+        scale[scale == 0] = 1.0
+        slopes = np.linalg.lstsq(xx / np.outer(scale, scale), xy / scale, rcond=None)[0] / scale
+        const = r["_m__y"] - sum(b * r[f"_m_{c}"] for b, c in zip(slopes, names))
+        out.append([*[r[k] for k in by], const, *slopes])
+    return pd.DataFrame(out, columns=[*by, "const", *names])

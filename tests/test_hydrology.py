@@ -358,6 +358,26 @@ def test_autoregression(spark):
     assert all(abs(r.q - (5 + 0.1 * (79 + r.step) + ((79 + r.step) % 4) * 2)) < 0.2 for r in t.collect())
 
 
+def test_autoregression_of_large_flows(spark):
+    """Flows in the millions that vary little: lags are all but collinear with the constant, dummies are tiny beside them."""
+    rng = np.random.default_rng(8)
+    x = 5e7 + 1e4 * rng.normal(size=80).cumsum() + 1e5 * (np.arange(80) % 4)
+    df = spark.createDataFrame([("s", day(i), float(v)) for i, v in enumerate(x)], FLOW)
+    mean = x.mean()
+    for lag, trend, period in ((1, False, None), (2, True, 4)):
+        design = np.array([[1.0, *[x[i - k] - mean for k in range(1, lag + 1)], *([i + 1 - 40] if trend else []), *[i % 4 == s for s in range(1, period or 1)]] for i in range(lag, 80)])
+        coef = np.linalg.lstsq(design, x[lag:] - mean, rcond=None)[0]
+        got = autoregression.AR(lag, trend, period).fit(df).params.iloc[0]
+        want = coef[1:]
+        assert np.allclose([float(v) for v in got[2:]], want, rtol=1e-6, atol=1e-9)
+        path = list(x - mean)
+        for i in range(80, 86):
+            row = [1.0, *[path[i - k] for k in range(1, lag + 1)], *([i + 1 - 40] if trend else []), *[i % 4 == s for s in range(1, period or 1)]]
+            path.append(np.dot(row, coef))
+        made = [r.q for r in autoregression.AR(lag, trend, period).fit(df).generate(6).orderBy("step").collect()]
+        assert np.allclose(made, np.array(path[80:]) + mean, rtol=0, atol=1e-2)
+
+
 def test_var_lags_gaps_and_blocks(spark):
     """Two lags against least squares over whole steps only; long forecasts do not depend on the size of blocks."""
     rng = np.random.default_rng(3)
