@@ -192,9 +192,12 @@ class Tokens:
 
     Pieces are cut where a byte-level pre-tokenizer always cuts, lone spaces; the library does the rest, so text that spells
     a special token becomes that token. Such a token must not reach over a space: ValueError otherwise.
+
+    The library's answer for a piece is many times its ids (texts and places of tokens, masks), so `batch` pieces are
+    asked for at a time.
     """
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 250_000, batch: int = 16_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
@@ -204,10 +207,15 @@ class Tokens:
             raise ValueError(f"{path} is not a byte-level tokenizer")
         if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in state["added_tokens"]):
             raise ValueError(f"{path} has added tokens that depend on the spaces beside them")
-        self.known = Memory(kept)
+        self.known, self.batch = Memory(kept), batch
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(pieces), self.batch):
+            for e in self.tokenizer.encode_batch_fast(pieces[at : at + self.batch], add_special_tokens=False):
+                ids = e.ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
 
     def encode(self, texts: pa.Array) -> pa.Array:
         pieces = Pieces(texts)

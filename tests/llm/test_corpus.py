@@ -235,6 +235,25 @@ def test_byte_bpe_two_steps(hard, empty):
     assert bpe.round_trip(empty, RANKS, P.PATTERN).count() == 0
 
 
+def test_shard_encoder_asks_for_bounded_batches():
+    """However many distinct pieces a slice has, the library's bulky answers are held for one batch."""
+
+    class Spy:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.sizes = tokenizer, []
+
+        def encode_batch_fast(self, pieces, **kw):
+            self.sizes.append(len(pieces))
+            return self.tokenizer.encode_batch_fast(pieces, **kw)
+
+    coder = shards.Tokens(JSON)
+    text = " ".join(f"w{i * 7919}" for i in range(50_000))
+    want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+    coder.tokenizer = spy = Spy(coder.tokenizer)
+    assert np.frombuffer(coder.encode(pa.array([text]))[0].as_py(), "<u4").tolist() == want
+    assert len(spy.sizes) > 1 and max(spy.sizes) <= 16_000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_pieces_and_ids(by_tiktoken, text):
