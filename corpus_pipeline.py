@@ -24,7 +24,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
+    """Operator 3: SimHash with pivot tables, compared exactly and completed: of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
     return near.drop_near_copies(docs)
 
 

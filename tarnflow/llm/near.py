@@ -1,7 +1,8 @@
-"""Near copies by word shingles: every pair whose similarity reaches a bound, by prefixes of rare shingles and exact comparison.
+"""Near copies by word shingles: every pair whose similarity reaches a bound, by SimHash pivots, prefixes of rare shingles and exact comparison.
 
-A SimHash of 64 bits cannot do this job: a pair with similarity 0.8 differs in ten bits or so, often in more, and at such
-a radius unrelated texts meet too. Of two texts with Jaccard similarity 0.8 or more, however, each holds four fifths of its
+SimHash fingerprints of the shingles are linked by pivot tables first, and an exact comparison confirms what they find.
+They cannot find all: a pair with similarity 0.8 differs in ten bits or so, often in more, and at such a radius unrelated
+texts meet too. The rest is found by prefixes. Of two texts with Jaccard similarity 0.8 or more, however, each holds four fifths of its
 shingles in common with the other, so in any one order of all shingles their first fifths (and one more) share a shingle.
 The order puts frequent shingles last; it decides how many pairs are compared, never which ones are found.
 """
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 from .chunks import slices
 from .common import shuffle_parts, stored, text_or_empty
 from .components import components
-from .simhash import UPPER_TO_LOWER, WORD
+from .simhash import UPPER_TO_LOWER, WORD, majority, pivot_links
 from .substrings import runs, sent, unpacked
 
 #: Counters of shingles by the low bits of their hash, for the order only.
 BINS = 1 << 16
 SLICE = 2_000_000
+#: Bits in which fingerprints may differ: most pairs of similarity 0.8 differ in no more.
+RADIUS = 12
 #: Bits of a set's sketch.
 SKETCH = 1024
 
@@ -147,9 +150,10 @@ def near_keys(docs: DataFrame, width: int = 5, block: int = 2048, bucket_bytes:
 
     th is the text's hash, key that of its set of shingles; keys link when their sets have Jaccard similarity 0.8 or more.
 
-    Pairs that share a shingle of their prefixes are candidates. Prefixes are sent packed, by shingle, to tasks that give
-    back only what several keys share. Then each key is compared with the least key under the same shingle, which
-    connects most groups by as many comparisons as they have members. Under each shingle that still holds unconnected keys,
+    Fingerprints are linked by their pivot distances; the forest of those links and keys of equal fingerprints are compared
+    first. It is not complete at this radius, so pairs that share a shingle of their prefixes are candidates too. Prefixes are sent packed, by shingle, to tasks that give
+    back only what several keys share. Then each key is compared with the least key under the same shingle, if they are
+    not connected, which takes as many comparisons as a group has members. Under each shingle that still holds unconnected keys,
     these meet by their sketches, dealt over pairs of blocks, where a bound that no similar pair breaks leaves out most
     pairs. Of the others, first a forest is compared by texts, which connects what is alike, and then all that are still
     unconnected. Nothing is capped.
@@ -159,21 +163,22 @@ def near_keys(docs: DataFrame, width: int = 5, block: int = 2048, bucket_bytes:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, np.int64)
-        names = ["doc_id", "th", "key", "bits", "bin", "n"]
+        names = ["doc_id", "th", "key", "fp", "bits", "bin", "n"]
         for part in in_slices(batches):
-            keys, bits = [], []
+            keys, prints, bits = [], [], []
             for t in part.column(2).to_pylist():
                 s = shingles(t, width)
                 counts += np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
                 keys.append(key_of(s))
+                prints.append(majority(s))
                 bits.append(sketch(s))
             none = pa.nulls(len(keys), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), none, none], names)
         seen = np.flatnonzero(counts)
         none = pa.nulls(len(seen), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(counts[seen])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(counts[seen])], names)
 
-    passed = stored(source.mapInArrow(first, "doc_id long, th long, key long, bits binary, bin long, n long"), "keys")
+    passed = stored(source.mapInArrow(first, "doc_id long, th long, key long, fp long, bits binary, bin long, n long"), "keys")
     each = passed.where("bin IS NULL").select("doc_id", "th", "key")
     counts = np.zeros(BINS, np.int64)
     for r in passed.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("n").alias("n")).collect():
@@ -212,7 +217,20 @@ def near_keys(docs: DataFrame, width: int = 5, block: int = 2048, bucket_bytes:
     heads = posts.groupBy("shingle").agg(F.min(F.struct("key", "size", "at")).alias("head"))
     met = posts.join(heads, "shingle")
     fits = may_reach(F.col("head.size"), F.col("head.at"), F.col("size"), F.col("at"))
-    stars = stored(met.where(F.col("key") > F.col("head.key")).where(fits).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    heads_and_others = met.where(F.col("key") > F.col("head.key")).where(fits).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct()
+
+    def pivoted() -> DataFrame:
+        """(a, b): what SimHash and its pivot tables link."""
+        prints = passed.where("bin IS NULL").select("key", "fp").distinct()
+        nodes = stored(prints.groupBy("fp").agg(F.min("key").alias("rep")), "nodes")
+        same = prints.join(nodes, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+        linked = pivot_links(nodes, RADIUS, block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return stored(same.union(linked).distinct(), "pairs")
+
+    def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """The pairs that no links connect."""
+        one, other = label.toDF("a", "_a"), label.toDF("b", "_b")
+        return pairs.join(one, "a", "left").join(other, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
     def fetched(pairs: DataFrame) -> DataFrame:
         """(key, text) of all keys of some pairs."""
@@ -230,12 +248,14 @@ def near_keys(docs: DataFrame, width: int = 5, block: int = 2048, bucket_bytes:
             for b in batches:
                 for at in range(0, b.num_rows, 50):
                     some = b.slice(at, 50)
-                    mask = [similar(shingles(x, width), shingles(y, width)) for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist())]
+                    left, right, x, y = (c.to_pylist() for c in some.columns)
+                    sets = {k: shingles(t, width) for k, t in (dict(zip(left, x)) | dict(zip(right, y))).items()}  # a key names one set
+                    mask = [similar(sets[i], sets[j]) for i, j in zip(left, right)]
                     yield some.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
         texts = stored(fetched(pairs), "texts")
         one, other = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-        return stored(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+        return stored(pairs.join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
     def meeting(label: DataFrame, forest: bool) -> DataFrame:
         """(a, b): pairs that meet under a shingle whose keys are in several components."""
@@ -262,7 +282,10 @@ def near_keys(docs: DataFrame, width: int = 5, block: int = 2048, bucket_bytes:
 
         return cols.mapInPandas(meet, "a long, b long").distinct()
 
-    tried, links = stars, verified(stars)
+    tried = pivoted()
+    links = verified(tried)
+    stars = stored(apart(heads_and_others, components(links)).join(tried, ["a", "b"], "left_anti"), "stars")
+    tried, links = tried.union(stars), links.union(verified(stars))
     for forest in (True, False):
         pairs = stored(meeting(components(links), forest).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried, links = tried.union(pairs), links.union(verified(pairs))

@@ -28,13 +28,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     shingles = list(map(" ".join, zip(*(words[i:] for i in range(width))))) or [" ".join(words)]
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(shingles), CHUNK):
-        part = shingles[at : at + CHUNK]
-        h = np.fromiter((digest(s, seed) for s in part), np.uint64, len(part))
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        ones += np.unpackbits(h[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -86,22 +89,11 @@ def linked_within(fp: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndar
     return order[np.array(left, int)], order[np.array(right, int)]
 
 
-def near_groups(docs: DataFrame, most: int = 3, width: int = 3, block: int = 2048) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs.
-
-    Documents link when their fingerprints differ in at most `most` (3 or fewer) bits; component_id is the smallest
-    doc_id that can be reached. Null and wordless texts have the fingerprint zero and link like any other. Rows with a
-    null doc_id get a component but never name one. Repeated rows stay repeated.
+def pivot_links(nodes: DataFrame, most: int, block: int = 2048) -> DataFrame:
+    """(a, b): a spanning forest of the links, of at most `most` bits, among nodes (fp, rep) that share two of the five runs of bits.
 
-    Copies are collapsed before anything is compared: one row for each distinct fingerprint, with its pivot distances.
-    Each goes to ten buckets (two of five runs of bits equal, which any link shares at least once), and buckets of one
-    go no further. A bucket of more than `block` fingerprints is dealt over pairs of blocks, so no task holds more than
-    two blocks, none is capped, and each returns a spanning forest of its links, not the pairs.
+    At most three bits that differ leave two runs equal, so these links are all there; of wider ones only some are.
     """
-    if most > 3:
-        raise ValueError("runs of bits are laid out for at most three differing bits")
-    each = stored(fingerprints(docs, width), "fingerprints")
-    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     distances = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("short") for p in pivots()])
     pairs = [(i, j) for i in range(len(RUNS)) for j in range(i)]
 
@@ -131,7 +123,26 @@ def near_groups(docs: DataFrame, most: int = 3, width: int = 3, block: int = 204
                 z.append(np.asarray(rep)[j])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(z)} if a else {"a": [], "b": []})
 
-    links = cols.mapInPandas(link, "a long, b long")
+    return cols.mapInPandas(link, "a long, b long")
+
+
+def near_groups(docs: DataFrame, most: int = 3, width: int = 3, block: int = 2048) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs.
+
+    Documents link when their fingerprints differ in at most `most` (3 or fewer) bits; component_id is the smallest
+    doc_id that can be reached. Null and wordless texts have the fingerprint zero and link like any other. Rows with a
+    null doc_id get a component but never name one. Repeated rows stay repeated.
+
+    Copies are collapsed before anything is compared: one row for each distinct fingerprint, with its pivot distances.
+    Each goes to ten buckets (two of five runs of bits equal, which any link shares at least once), and buckets of one
+    go no further. A bucket of more than `block` fingerprints is dealt over pairs of blocks, so no task holds more than
+    two blocks, none is capped, and each returns a spanning forest of its links, not the pairs.
+    """
+    if most > 3:
+        raise ValueError("runs of bits are laid out for at most three differing bits")
+    each = stored(fingerprints(docs, width), "fingerprints")
+    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    links = pivot_links(nodes, most, block)
     found = components(links)
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -158,6 +158,37 @@ def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert kept == 1 and pairs <= 30 * 800
 
 
+def test_near_stage_links_by_simhash_pivots(spark, sf, monkeypatch):
+    """The stage's first pairs come from SimHash and pivot tables; what these miss is found all the same."""
+    from tarnflow.llm import near
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(30):
+        base = rng.choices([f"w{i}" for i in range(4000)], k=300)
+        near_by, far = list(base), list(base)
+        near_by[7] = "x"
+        for at in range(5, 300, 60):
+            far[at] = "y"
+        texts += [base, near_by, far]
+    texts = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    seen, links = [], near.pivot_links
+
+    def pivot_links_(nodes, *args):
+        out = near.stored(links(nodes, *args), "seen")
+        seen.append(({r.rep: r.fp for r in nodes.collect()}, {frozenset(r) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(near, "pivot_links", pivot_links_)
+    got = ids(corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(texts, "doc_id long, text string"), sf))
+    assert got == brute_near(texts) == list(range(0, 90, 3))
+    (prints, pairs), sets = seen[0], [near.shingles(t) for _, t in texts]
+    fp = {near.key_of(s): near.majority(s) for s in sets}
+    assert all(p % (1 << 64) == fp[k] for k, p in prints.items())
+    assert all((fp[a] ^ fp[b]).bit_count() <= near.RADIUS for a, b in pairs)
+    assert sum(frozenset(map(near.key_of, sets[k : k + 2])) in pairs for k in range(0, 90, 3)) >= 15
+
+
 def test_sketches_lose_no_pair():
     """A pair that the bound leaves out differs in more shingles than a similar one may."""
     import numpy as np
