@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memory, Pieces, gathered, listed, slices
+from .common import KEPT, leaving_none
 
 #: Each step joins the token positions of all unfinished words with the merge table and contracts every word's leftmost
 #: pair of least rank. A word without a mergeable pair comes out once more with done set, which ends it.
@@ -160,6 +161,8 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+KEPT.append(coder.cache_clear)
+
 #: Bytes of text that a worker encodes, or of ids that it decodes, at a time.
 AT_ONCE = 4_000_000
 
@@ -222,4 +225,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
                 yield batch(**columns)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
-    return with_text(docs).mapInArrow(run, schema)
+    return with_text(docs).mapInArrow(leaving_none(run, forget=False), schema)

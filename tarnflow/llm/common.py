@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,5 +49,33 @@ def text_or_empty(text: str = "text") -> F.Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+#: Each empties what an operator keeps in a worker process between its tasks.
+KEPT: list[Callable[[], None]] = []
+
+
+def lean(forget: bool = True) -> None:
+    """Gives a worker's free memory back to the system; with forget, also what other operators keep in it. Workers outlive a stage."""
+    if forget:
+        for drop in KEPT:
+            drop()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def leaving_none(run: Callable[[Iterator], Iterator], forget: bool = True) -> Callable[[Iterator], Iterator]:
+    """A task's function for mapInArrow or mapInPandas that leaves no free memory in its worker: an idle worker keeps what it has.
+
+    Memory is given back when run has ended, so that what it held is free by then.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        lean(forget)
+        yield from run(batches)
+        lean(forget)
+
+    return task
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import slices
-from .common import stored, text_or_empty
+from .common import leaving_none, stored, text_or_empty
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, seed: int, blo
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), COLUMNS.values())], list(COLUMNS))
 
-        return source.mapInArrow(run, "doc_id long, item_id long, covered long, n_tokens long, n_tiles long, coverage double, th long"), sent
+        return source.mapInArrow(leaving_none(run), "doc_id long, item_id long, covered long, n_tokens long, n_tiles long, coverage double, th long"), sent
 
     if blocks == 1:
         return scan(0)[0]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import slices
-from .common import stored
+from .common import leaving_none, stored
 from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                 fp = np.fromiter((fingerprint(t, width) for t in part.column(1).to_pylist()), np.uint64, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(leaving_none(run), "doc_id long, fp long")
 
 
 def pivots(count: int = 24) -> list[int]:
@@ -123,7 +123,7 @@ def pivot_links(nodes: DataFrame, most: int, block: int = 2048) -> DataFrame:
                 z.append(np.asarray(rep)[j])
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(z)} if a else {"a": [], "b": []})
 
-    return cols.mapInPandas(link, "a long, b long")
+    return cols.mapInPandas(leaving_none(link), "a long, b long")
 
 
 def near_groups(docs: DataFrame, most: int = 3, width: int = 3, block: int = 2048) -> DataFrame:

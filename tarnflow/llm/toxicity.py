@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 # A seed lexicon of insults in four languages; labelled rows add terms to it.
 SEEDS = (
@@ -35,6 +35,7 @@ def each(texts: pa.Array) -> Iterator[str | None]:
     """The texts, a few hundred at a time as Python strings."""
     for at in range(0, len(texts), 200):
         yield from texts.slice(at, 200).to_pylist()
+    lean()
 
 
 def terms_of(text: str | None) -> tuple[Counter, int]:

@@ -202,3 +202,86 @@ def test_sketches_lose_no_pair():
         apart = np.bitwise_count(np.frombuffer(near.sketch(a), np.uint64) ^ np.frombuffer(near.sketch(b), np.uint64)).sum()
         assert apart <= len(np.setxor1d(a, b))
         assert not near.similar(a, b) or 9 * apart <= len(a) + len(b)
+
+
+def test_what_a_forest_settles_meets_once(spark, monkeypatch):
+    """Texts that share rare shingles, none near: nothing is left to meet a second time."""
+    from tarnflow.llm import near
+
+    rng = random.Random(12)
+    sentences = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=10)) for _ in range(20)]
+    rows = [(i, " ".join(rng.sample(sentences, 6))) for i in range(200)]
+    counts, keep = [], near.stored
+
+    def stored_(df, name):
+        out = keep(df, name)
+        if name == "unsettled":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "stored", stored_)
+    assert sorted(r.doc_id for r in near.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_near(rows)
+    assert len(counts) == 2 and counts[0] > 200 and counts[1] < counts[0] / 2
+
+
+def test_shingles_of_many_texts():
+    """Texts worked on together have the shingles, fingerprints and sketches that each has alone."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    from tarnflow.llm import near
+    from tarnflow.llm.simhash import majority
+
+    rng = random.Random(13)
+    texts = ["", " \t\n", "a", " A  b\x0b", "a b c d", "a b c d e", "É\x1c\xa0é b c d e f", "x " * 9000, *(" ".join(rng.choices(["w", "V", "É", "x9"], k=k)) for k in range(40)), ""]
+    sets = near.Shingles(pa.array(texts))
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        w = min(5, len(words))
+        want = set()
+        for run in zip(*(words[k:] for k in range(w))):
+            h = w
+            for word in run:
+                h = (h ^ xxhash.xxh64_intdigest(word)) * 0x9E3779B97F4A7C15 % 2**64
+                h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+                h ^= h >> 32
+            want.add(h)
+        assert sets[i].tolist() == sorted(want) == near.shingles(t).tolist()
+    assert sets.fingerprints().tolist() == [majority(sets[i]) for i in range(len(texts))]
+    assert sets.sketches() == [near.sketch(sets[i]) for i in range(len(texts))]
+    long = near.Shingles(pa.array([" ".join(f"w{k}" for k in range(n)) for n in (258, 259, 260, 514, 515, 3000)]))
+    assert long.fingerprints().tolist() == [majority(long[i]) for i in range(len(long))]
+    assert (long.counts() == sum(np.bincount(long[i] % near.BINS, minlength=near.BINS) for i in range(len(long)))).all()
+
+
+@pytest.mark.parametrize("forest", [False, True])
+def test_groups_that_meet_together(monkeypatch, forest):
+    """Groups at once give the pairs that each gives alone, and tell where the forest leaves something out."""
+    import numpy as np
+
+    from tarnflow.llm import near
+
+    rng = np.random.default_rng(14)
+    for small in (512, 15):
+        monkeypatch.setattr(near, "SMALL", small)
+        monkeypatch.setattr(near, "AT_ONCE", 50)
+        n = rng.integers(2, 30, 25)
+        m, base = int(n.sum()), np.repeat(rng.integers(0, 2**64, (25, 16), np.uint64), n, axis=0)
+        own, key, label, size, at = (rng.integers(lo, hi, m) for lo, hi in ((0, 2), (0, 10**6), (0, 6), (100, 140), (0, 15)))
+        bits = base ^ (rng.integers(0, 2**64, (m, 16), np.uint64) & np.where(rng.random((m, 16)) < 0.06, np.uint64(2**64 - 1), np.uint64(0)))
+        split, cut = rng.random(25) < 0.5, np.cumsum(n)[:-1]
+        left, right, more = near.pairs_of_groups(n, split, own, key, label, size, at, bits, forest)
+        each = list(zip(*(np.split(x, cut) for x in (own, key, label, size, at, bits))))
+        alone = [near.pairs_between((0, int(two)), *x, forest) for two, x in zip(split, each)]
+        every = [near.pairs_between((0, int(two)), *x, False) for two, x in zip(split, each)]
+        assert sorted(zip(left.tolist(), right.tolist())) == sorted((a, b) for x in alone for a, b in zip(x[0].tolist(), x[1].tolist()))
+        assert len(left) > 20 and all(more[g] or len(alone[g][0]) == len(every[g][0]) for g in range(25))
+
+
+def test_workers_drop_the_coder_before_near_dedup():
+    import public_tokenizers
+    from tarnflow.llm import bpe, near
+
+    bpe.coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert list(near.leaving_none(near.in_slices)(iter([]))) == [] and bpe.coder.cache_info().currsize == 0
