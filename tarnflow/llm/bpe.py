@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memory, Pieces, gathered, listed, slices
-from .common import KEPT, leaving_none
+from .common import KEPT, lean, leaving_none
 
 #: Each step joins the token positions of all unfinished words with the merge table and contracts every word's leftmost
 #: pair of least rank. A word without a mergeable pair comes out once more with done set, which ends it.
@@ -68,7 +68,7 @@ FROM (SELECT t.d, v.chars FROM coded t JOIN vocabulary v ON v.id = t.tok ORDER B
 class Coder:
     """A rank file loaded into an in-memory DuckDB; a worker process keeps one and a bounded memory of words."""
 
-    def __init__(self, path: str, pattern: str, kept: int = 250_000):
+    def __init__(self, path: str, pattern: str, kept: int = 60_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -86,7 +86,7 @@ class Coder:
         self.db.unregister("loaded")
         self.known = Memory(kept)
 
-    def encode_words(self, words: list[str], step: int = 40_000) -> list[str]:
+    def encode_words(self, words: list[str], step: int = 10_000) -> list[str]:
         """The ids of words, joined by spaces. Whole tokens are looked up, as the rank file's library does."""
         raw = [w.encode() for w in words]
         out = [None if rank is None else str(rank) for rank in map(self.ranks.get, raw)]
@@ -163,8 +163,8 @@ def coder(path: str, pattern: str) -> Coder:
 
 KEPT.append(coder.cache_clear)
 
-#: Bytes of text that a worker encodes, or of ids that it decodes, at a time.
-AT_ONCE = 4_000_000
+#: Bytes of text that a worker encodes, or of ids that it decodes, at a time. What it needs besides is many times that.
+AT_ONCE = 1_000_000
 
 
 def with_text(docs: DataFrame) -> DataFrame:
@@ -212,17 +212,21 @@ def digests(column: pa.Array) -> pa.Array:
 def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row, with ids also (ids array): encodes, then decodes the ids, in one pass."""
 
+    def rows(c: Coder, part: pa.RecordBatch) -> pa.RecordBatch:
+        got = c.encode(part.column(1))
+        n = got.n_tokens()
+        columns = {"doc_id": part.column(0), "n_tokens": n, "ids_sha256": digests(got.decimal()), "decoded_sha256": digests(got.decoded())}
+        if ids:
+            offsets = np.concatenate([[0], np.cumsum(n.to_numpy())]).astype(np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got.numbers()))
+        return batch(**columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in batches:
             for part in slices(b, "text", AT_ONCE):
-                got = c.encode(part.column(1))
-                decimal, n = got.decimal(), got.n_tokens()
-                columns = {"doc_id": part.column(0), "n_tokens": n, "ids_sha256": digests(decimal), "decoded_sha256": digests(got.decoded())}
-                if ids:
-                    offsets = np.concatenate([[0], np.cumsum(n.to_numpy())]).astype(np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(got.numbers()))
-                yield batch(**columns)
+                yield rows(c, part)
+                lean(forget=False)  # else what slices leave free piles up
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     return with_text(docs).mapInArrow(leaving_none(run, forget=False), schema)

@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -254,6 +257,37 @@ def test_shard_encoder_asks_for_bounded_batches():
     assert len(spy.sizes) > 1 and max(spy.sizes) <= 16_000
 
 
+ENCODER_MEMORY = """
+import random, resource, sys
+import pyarrow as pa, public_tokenizers as P
+from tarnflow.llm import bpe
+
+class Task:
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+path, task = P.path("byte_bpe_50k.tiktoken"), Task()
+bpe.with_text = lambda docs: task
+bpe.round_trip(None, path, P.PATTERN, ids=True)
+rng = random.Random(8)
+words = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(200_000)]
+texts = pa.array([" ".join(rng.choices(words, k=200)) for _ in range(6_000)])
+rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": texts})
+bpe.coder(path, P.PATTERN)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in task.run(iter([rows])))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_encoder_memory_of_a_task():
+    """A task over 10 MB of text with 200,000 distinct words adds little to its worker's memory."""
+    said = subprocess.run([sys.executable, "-c", ENCODER_MEMORY], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, sys.path))})
+    n, mb = map(int, said.stdout.split())
+    assert n == 6000 and mb < 180
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_pieces_and_ids(by_tiktoken, text):
