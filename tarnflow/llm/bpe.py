@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -12,11 +11,12 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memory, Pieces, gathered, listed, slices
+from .chunks import Columns, Pieces, gathered, listed, slices
 from .common import KEPT, lean, leaving_none
 
 #: Each step joins the token positions of all unfinished words with the merge table and contracts every word's leftmost
@@ -68,7 +68,7 @@ FROM (SELECT t.d, v.chars FROM coded t JOIN vocabulary v ON v.id = t.tok ORDER B
 class Coder:
     """A rank file loaded into an in-memory DuckDB; a worker process keeps one and a bounded memory of words."""
 
-    def __init__(self, path: str, pattern: str, kept: int = 60_000):
+    def __init__(self, path: str, pattern: str, kept: int = 9_000_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -84,18 +84,19 @@ class Coder:
             self.db.register("loaded", pa.table(columns))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
         self.db.unregister("loaded")
-        self.known = Memory(kept)
+        self.known = Columns(kept, pa.string(), pa.binary())
 
-    def encode_words(self, words: list[str], step: int = 10_000) -> list[str]:
+    def encode_words(self, words: pa.Array, step: int = 16_000) -> pa.Array:
         """The ids of words, joined by spaces. Whole tokens are looked up, as the rank file's library does."""
-        raw = [w.encode() for w in words]
-        out = [None if rank is None else str(rank) for rank in map(self.ranks.get, raw)]
-        todo = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(raw[i]))
-        many = bisect.bisect_right(todo, SHORT, key=lambda i: len(raw[i]))
-        for part in [todo[at : min(at + step, many)] for at in range(0, many, step)] + [[i] for i in todo[many:]]:
-            some = [raw[i] for i in part]
-            n = np.fromiter(map(len, some), np.int64, len(some))
-            tok = self.byte_ids[np.frombuffer(b"".join(some), np.uint8)]
+        out = pa.array([None if rank is None else str(rank) for rank in map(self.ranks.get, listed(words.cast(pa.binary())))], pa.string())
+        sizes = pc.binary_length(words).to_numpy()
+        todo = np.flatnonzero(pc.is_null(out).to_numpy(zero_copy_only=False))
+        todo = todo[np.argsort(sizes[todo], kind="stable")]
+        many = int(np.searchsorted(sizes[todo], SHORT, "right"))
+        made = [out]
+        for part in [todo[at : min(at + step, many)] for at in range(0, many, step)] + [todo[i : i + 1] for i in range(many, len(todo))]:
+            n = sizes[part]
+            tok = self.byte_ids[np.frombuffer(words.take(pa.array(part)).buffers()[2], np.uint8, n.sum())]
             if n[-1] > SHORT:
                 zeros = np.zeros(len(tok), np.int32)
                 following = np.append(tok[1:], -1).astype(np.int32)
@@ -104,52 +105,61 @@ class Coder:
             else:
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tok))
-                self.db.register("words", pa.table({"w": pa.array(np.arange(len(some), dtype=np.int32)), "toks": toks}))
+                self.db.register("words", pa.table({"w": pa.array(np.arange(len(part), dtype=np.int32)), "toks": toks}))
                 got = self.db.sql(ENCODE)
-            for i, ids in zip(part, listed(got.to_arrow_table()["ids"])):
-                out[i] = ids
-        return out
+            made += got.to_arrow_table()["ids"].cast(pa.string()).chunks
+        at = np.arange(len(words))
+        at[todo] = len(words) + np.arange(len(todo))
+        return pa.concat_arrays(made).take(pa.array(at))
 
-    def both_ways(self, words: list[str]) -> list[tuple[str, bytes]]:
+    def both_ways(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """The ids of words, and what the ids decode to."""
         ids = self.encode_words(words)
-        return list(zip(ids, self.decode(ids)))
+        return ids, self.decode(ids)
 
     def encode(self, texts: pa.Array) -> Coded:
         """The ids of each text, by its distinct words, and their bytes, decoded."""
         words = Pieces(texts, self.pattern.findall)
-        return Coded(words, self.known.all_of(words, self.both_ways))
+        return Coded(words, *self.known.all_of(words.distinct, self.both_ways))
 
-    def decode(self, coded: list[str]) -> list[bytes]:
-        """The bytes of each list of ids, by an ordered aggregation; ids are given as decimal text."""
-        n = np.fromiter((c.count(" ") + 1 if c else 0 for c in coded), np.int64, len(coded))
-        tok = np.array(" ".join(filter(None, coded)).split(), np.int32)
+    def decode(self, coded: pa.Array) -> pa.Array:
+        """The bytes of each list of ids, by an ordered aggregation; ids are given as decimal text, null as none."""
+        n, tok = numbered(coded)
         d = np.repeat(np.arange(len(coded), dtype=np.int32), n)
         self.db.register("coded", pa.table({"d": pa.array(d), "pos": pa.array(np.arange(len(tok), dtype=np.int32)), "tok": pa.array(tok)}))
         got = self.db.sql(DECODE).to_arrow_table()
         out = [b""] * len(coded)
         for d, chars in zip(listed(got["d"]), listed(got["chars"])):
             out[d] = chars.encode("latin-1")
-        return out
+        return pa.array(out, pa.binary())
+
+
+def numbered(coded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids in decimal, joined by spaces, null as none: how many each has, and all ids."""
+    some = pc.greater(pc.fill_null(pc.binary_length(coded), 0), 0)
+    lists = pc.split_pattern(coded.filter(some), " ")
+    n = np.zeros(len(coded), np.int64)
+    n[some.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+    return n, lists.flatten().cast(pa.int32()).to_numpy()
 
 
 class Coded:
     """Texts as ids: words, and for each distinct one its ids in decimal with what they decode to."""
 
-    def __init__(self, words: Pieces, made: list[tuple[str, bytes]]):
-        self.words, self.ids, self.bytes = words, [x for x, _ in made], [x for _, x in made]
+    def __init__(self, words: Pieces, ids: pa.Array, decoded: pa.Array):
+        self.words, self.ids, self.bytes = words, ids, decoded
 
     def decimal(self) -> pa.Array:
         """Each text's ids joined by one space."""
         return self.words.joined(self.ids, pa.string(), " ")
 
     def n_tokens(self) -> pa.Array:
-        return pa.array(self.words.summed(np.fromiter((x.count(" ") + 1 for x in self.ids), np.int64, len(self.ids))))
+        return pa.array(self.words.summed(pc.count_substring(self.ids, " ").to_numpy().astype(np.int64) + 1))
 
     def numbers(self) -> np.ndarray:
         """The ids of all texts, one after the other."""
-        n = np.fromiter((x.count(" ") + 1 for x in self.ids), np.int64, len(self.ids))
-        return gathered(np.array(" ".join(self.ids).split(), np.int32), n, self.words.codes)
+        n, tok = numbered(self.ids)
+        return gathered(tok, n, self.words.codes)
 
     def decoded(self) -> pa.Array:
         """The bytes of each text's ids."""
@@ -200,7 +210,7 @@ def decoded(coded: DataFrame, path: str, pattern: str) -> DataFrame:
         c = coder(path, pattern)
         for b in batches:
             for part in slices(b, "ids", AT_ONCE):
-                yield batch(doc_id=part.column(0), bytes=pa.array(c.decode([x or "" for x in part.column(1).to_pylist()]), pa.binary()))
+                yield batch(doc_id=part.column(0), bytes=c.decode(part.column(1)))
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 

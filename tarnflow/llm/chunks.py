@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable, Iterator
+import string
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ def listed(values: pa.Array) -> list:
 class Pieces:
     """Texts as numbers of distinct pieces; a text's pieces joined give the text.
 
-    Texts are cut before each lone space, and then, where a piece is more than letters behind its space, by `split`.
+    Texts are cut before each lone space, and then, where a piece is more than letters behind its space, by `split`; of
+    letters with punctuation behind them, both are a piece. The distinct pieces are a list, with `split` an Arrow array.
     """
 
     def __init__(self, texts: pa.Array, split: Callable[[str], list[str]] | None = None):
@@ -46,27 +48,21 @@ class Pieces:
         coded = parts.flatten().dictionary_encode()
         self.offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))])
         codes = coded.indices.to_numpy().astype(np.int64)
-        words = listed(coded.dictionary)
         first = self.offsets[:-1]
         heads, back = np.unique(codes[first], return_inverse=True)
-        codes[first] = len(words) + back
-        distinct = [" " + w for w in words] + [words[i] for i in heads.tolist()]  # some only stand at the beginning of a text
+        codes[first] = len(coded.dictionary) + back
         if split is None:
-            self.distinct, self.codes = distinct, codes
+            words = listed(coded.dictionary)
+            self.distinct, self.codes = [" " + w for w in words] + [words[i] for i in heads.tolist()], codes  # some only stand at the beginning of a text
         else:
-            letters = listed(pc.utf8_is_alpha(coded.dictionary))
-            letters += [letters[i] for i in heads.tolist()]
-            cut = [[d] if one else split(d) for d, one in zip(distinct, letters)]
-            coded = pa.array(list(itertools.chain.from_iterable(cut)), pa.string()).dictionary_encode()
-            n = np.fromiter(map(len, cut), np.int64, len(cut))
-            self.codes = gathered(coded.indices.to_numpy(), n, codes)
+            made, n, self.distinct = cut(coded.dictionary, heads, split)
+            self.codes = gathered(made, n, codes)
             self.offsets = np.concatenate([[0], np.cumsum(n[codes])])[self.offsets]
-            self.distinct = listed(coded.dictionary)
         self.counts = np.bincount(self.codes, minlength=len(self.distinct))
 
-    def joined(self, values: list, kind: pa.DataType, between: str | bytes) -> pa.Array:
+    def joined(self, values: list | pa.Array, kind: pa.DataType, between: str | bytes) -> pa.Array:
         """For each text, the values of its pieces joined."""
-        taken = pa.array(values, kind).take(pa.array(self.codes))
+        taken = (values if isinstance(values, pa.Array) else pa.array(values, kind)).take(pa.array(self.codes))
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(self.offsets.astype(np.int32)), taken), between)
 
     def summed(self, numbers: np.ndarray) -> np.ndarray:
@@ -74,6 +70,28 @@ class Pieces:
         return np.diff(np.concatenate([[0], np.cumsum(numbers[self.codes])])[self.offsets])
 
 
+def cut(words: pa.Array, heads: np.ndarray, split: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words behind a space, then the words numbered heads alone, each in pieces: all pieces' numbers, how many each has, the distinct pieces."""
+    at = pa.array(heads)
+    stems = pc.ascii_rtrim(words, characters=string.punctuation)
+    plain = pc.utf8_is_alpha(stems)
+    tails = pc.subtract(pc.binary_length(words), pc.binary_length(stems))
+    spaced, stems_spaced = (pc.binary_join_element_wise(" ", x, "") for x in (words, stems))
+    whole, stems, plain, tails = (pa.concat_arrays([x, y.take(at)]) for x, y in ((spaced, words), (stems_spaced, stems), (plain, plain), (tails, tails)))
+    plain, tails = plain.to_numpy(zero_copy_only=False).astype(bool), tails.to_numpy()
+    tailed = plain & (tails > 0)
+    ends = [w[-k:] for w, k in zip(listed(whole.filter(pa.array(tailed))), tails[tailed].tolist())]
+    other = [split(w) for w in listed(whole.filter(pa.array(~plain)))]
+    n = 1 + tailed
+    n[~plain] = np.fromiter(map(len, other), np.int64, len(other))
+    coded = pa.concat_arrays([stems.filter(pa.array(plain)), pa.array(ends, pa.string()), pa.array(itertools.chain.from_iterable(other), pa.string())]).dictionary_encode()
+    start = np.cumsum(n) - n
+    in_turn = np.concatenate([start[plain], start[tailed] + 1, np.flatnonzero(np.repeat(~plain, n))])
+    numbers = np.empty(len(coded), np.int64)
+    numbers[in_turn] = coded.indices.to_numpy()
+    return numbers, n, coded.dictionary
+
+
 def gathered(values: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """values in runs of n, the runs that codes name one after the other."""
     start, m = np.cumsum(n) - n, n[codes]
@@ -109,6 +127,45 @@ class Memory(dict):
         return out
 
 
+class Columns:
+    """Values of pieces as Arrow columns, for at most `kept` bytes of pieces, counting EACH more for each piece.
+
+    Unlike Memory it holds pieces that a slice has once, too. When more are held, those longest not asked for are dropped,
+    down to three quarters. No piece may take a hundredth.
+    """
+
+    EACH = 20
+
+    def __init__(self, kept: int, *kinds: pa.DataType):
+        self.kept, self.columns = kept, [pa.array([], kind) for kind in (pa.string(), *kinds)]
+        self.turn, self.asked = 0, np.zeros(0, np.int64)
+
+    def all_of(self, keys: pa.Array, make: Callable[[pa.Array], Sequence[pa.Array]]) -> list[pa.Array]:
+        """The values of distinct pieces, a column each; those that are not held are made together."""
+        self.turn += 1
+        met = pc.index_in(self.columns[0], value_set=keys)
+        rows = np.flatnonzero(met.is_valid().to_numpy(zero_copy_only=False))
+        at = np.full(len(keys), -1)
+        at[met.drop_null().to_numpy()] = rows
+        self.asked[rows] = self.turn
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return [x.take(pa.array(at)) for x in self.columns[1:]]
+        at[new] = len(self.asked) + np.arange(len(new))
+        more = keys.take(pa.array(new))
+        self.columns = [pa.concat_arrays(x) for x in zip(self.columns, (more, *make(more)))]
+        self.asked = np.append(self.asked, np.full(len(new), self.turn))
+        out = [x.take(pa.array(at)) for x in self.columns[1:]]
+        sizes = pc.binary_length(self.columns[0]).to_numpy().astype(np.int64) + self.EACH
+        left = sizes < self.kept // 100
+        if sizes[left].sum() > self.kept:
+            latest = np.argsort(-self.asked, kind="stable")
+            left[latest] &= np.cumsum(np.where(left, sizes, 0)[latest]) <= self.kept * 3 // 4
+        if not left.all():
+            self.columns, self.asked = [x.filter(pa.array(left)) for x in self.columns], self.asked[left]
+        return out
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold about `most` bytes in a column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()

@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -288,6 +289,42 @@ def test_encoder_memory_of_a_task():
     assert n == 6000 and mb < 180
 
 
+def test_words_of_earlier_slices_are_not_encoded_again(by_tiktoken):
+    """Also words that each slice has only once are remembered from slice to slice."""
+    c = bpe.Coder(RANKS, P.PATTERN)
+    encode, asked = c.encode_words, []
+    c.encode_words = lambda words, *rest: asked.append(len(words)) or encode(words, *rest)
+    words = [f"{chr(97 + i % 26)}qx{chr(97 + i // 26)}zv" for i in range(600)]
+    for k in range(4):
+        text = " ".join(["x", *words[k:], *words[:k]])
+        assert c.encode(pa.array([text])).numbers().tolist() == by_tiktoken.encode_ordinary(text)
+    assert sum(asked) <= 602  # "x" with and without a space, too
+
+
+def test_remembered_columns_are_bounded():
+    """Values stay right while pieces are dropped; what is asked for each time stays, and long pieces are not held."""
+    rng = np.random.default_rng(5)
+    held, asked = chunks.Columns(40_000, pa.int64(), pa.binary()), []
+
+    def make(keys):
+        asked.extend(keys.to_pylist())
+        return pa.array([int(k[1:]) for k in keys.to_pylist()]), keys.cast(pa.binary())
+
+    for _ in range(40):
+        keys = ["w1", "w2", "w" + "0" * 400 + "3", *(f"w{i}" for i in np.unique(rng.integers(4, 9_000, 300)))]
+        numbers, raw = held.all_of(pa.array(keys), make)
+        assert numbers.to_pylist() == [int(k[1:]) for k in keys] and raw.to_pylist() == [k.encode() for k in keys]
+        assert pc.binary_length(held.columns[0]).to_numpy().sum() + 20 * len(held.columns[0]) <= 40_000
+    assert asked.count("w1") == asked.count("w2") == 1 and asked.count("w" + "0" * 400 + "3") == 40
+
+
+def test_words_with_punctuation_behind(by_tiktoken):
+    texts = ["don't 'tis it's' boys' l'été, été... ___ a_b' x's. 's 't", "abc,", "été?! Ünd; (so) end.", ",", "a'll' b'LL' ½, ²; x² ﬁ, ª! ǅ. ʰ? ⅷ; e\u0301, \u0301.", "日本語、 日本語. \n tab\t. no\xa0break, "]
+    got = bpe.coder(RANKS, P.PATTERN).encode(pa.array(texts))
+    assert got.decimal().to_pylist() == [" ".join(map(str, by_tiktoken.encode_ordinary(t))) for t in texts]
+    assert got.decoded().to_pylist() == [t.encode() for t in texts]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_pieces_and_ids(by_tiktoken, text):
